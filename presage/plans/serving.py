@@ -123,7 +123,7 @@ def replay(series: DataFrame, markers: DataFrame, threshold: float, steps: int =
         .groupBy("machine_id", first_visible("time").alias("position"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first_event"))
     )
-    grid = spans.select("machine_id", "t0", "span", F.explode(F.sequence(F.lit(0), F.lit(steps))).cast("long").alias("position"))
+    grid = spans.select("machine_id", "t0", "span", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("position"))
     so_far = Window.partitionBy("machine_id").orderBy("position")
     ever = Window.partitionBy("machine_id")
     early = happened.groupBy("machine_id").agg(F.min("first_event").alias("first_event"))
@@ -136,7 +136,7 @@ def replay(series: DataFrame, markers: DataFrame, threshold: float, steps: int =
     )
     now = F.expr(f"t0 + (span * position) div {steps}")
     return filled.select(
-        "machine_id", "position", now.alias("at"),
+        "machine_id", "position", now.alias("replay_time"),
         *[F.col(f"state.{c}").alias(c) for c in ("window_start", *_STATE)],
         (F.col("state.max_predicted_risk") >= threshold).alias("alert"),
         "n_events",
