@@ -118,7 +118,7 @@ def csv_ingest(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"),
         F.count("end_time").alias("n_end_time"),
         F.count("cpi").alias("n_cpi"),
-        F.sum("start_time").alias("start_time_sum"),
+        F.max("start_time").alias("last_start"),
         F.max("canonical_memory_usage").cast("double").alias("mem_max"),
     )
 
@@ -135,7 +135,7 @@ def shard_selection(spark, sf_dir):
     }
     out = None
     for name, df in picks.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("start_time").alias("start_time_sum")).select(
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("start_time").alias("first_start")).select(
             F.lit(name).alias("pick"), "*"
         )
         out = one if out is None else out.unionByName(one)
@@ -215,13 +215,13 @@ def usage_sample(spark, sf_dir):
 @query
 def exhaustion_pattern(spark, sf_dir):
     t = load_trace(spark, sf_dir)
-    return eda.exhaustion_pattern(staged(t.usage, "usage"), t.task_events)
+    return eda.exhaustion_pattern(t.usage, t.task_events)
 
 
 @query
 def load_before_removal(spark, sf_dir):
     t = load_trace(spark, sf_dir)
-    return eda.load_before_removal(staged(t.usage, "usage"), t.machine_events)
+    return eda.load_before_removal(t.usage, t.machine_events)
 
 
 @query
@@ -411,7 +411,7 @@ def random_holdout(spark, sf_dir):
 def balanced_weights(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"))
     return split.balanced_weights(lines, "label").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.sum("weight").alias("weight_sum")
+        F.count(F.lit(1)).alias("n"), F.min("weight").alias("weight"), F.max("weight").alias("weight_max")
     )
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N_BUCKETS = 1024
-_SKETCH_ERROR = 0.1 / N_BUCKETS
+_SKETCH_ACCURACY = 10 * N_BUCKETS
+_CUTS = ", ".join(f"{i / N_BUCKETS!r}D" for i in range(1, N_BUCKETS))
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -31,8 +32,8 @@ def order_splits(df: DataFrame, order: str) -> list[float]:
 
     The only thing that reaches the driver; its size does not depend on the data.
     """
-    cuts = [i / N_BUCKETS for i in range(1, N_BUCKETS)]
-    return sorted({q for q in df.approxQuantile(order, cuts, _SKETCH_ERROR) if math.isfinite(q)})
+    sketch = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({_CUTS}), {_SKETCH_ACCURACY})")
+    return sorted({q for q in df.agg(sketch).first()[0] or [] if math.isfinite(q)})
 
 
 def with_order_bucket(df: DataFrame, order: str, splits: Sequence[float]) -> DataFrame:
@@ -139,9 +140,79 @@ def exact_quantiles(
     return counts.groupBy(*keys).agg(*found).select(*keys, *out)
 
 
-def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, median) for several columns in one pass over the melted frame."""
-    melted = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
+# Relative rank error of the sketch that brackets a column's quantile.
+_BRACKET_ERROR = 0.001
+
+
+def _double(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+
+
+def column_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    quantiles: Mapping[str, float],
+    method: str = "linear",
+) -> DataFrame:
+    """(feature, one column per quantile): exact quantiles of whole columns.
+
+    A sketch of all columns, made in one pass, brackets each quantile; a second
+    pass counts what lies below and inside each bracket; only values inside a
+    bracket (some thousandths of the rows) are shuffled to find the exact rank.
+    Should a bracket miss its rank, it is widened to everything.
+    """
+    if method not in ("linear", "nearest"):
+        raise ValueError(f"unknown quantile method {method!r}")
+    spark = df.sparkSession
+    names = list(quantiles)
+    values = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
+    edges = ", ".join(
+        _double(min(max(q + side, 0.0), 1.0))
+        for q in quantiles.values() for side in (-2 * _BRACKET_ERROR, 2 * _BRACKET_ERROR)
+    )
+    accuracy = int(1 / _BRACKET_ERROR)
+    sketched = values.agg(*[
+        F.expr(f"percentile_approx(`{c}`, array({edges}), {accuracy})") for c in columns
+    ]).first()
+    brackets = {
+        (c, name): (found[2 * i], found[2 * i + 1])
+        for c, found in zip(columns, sketched) if found
+        for i, name in enumerate(names)
+    }
+    schema = "feature string, quantile string, low long, high long, part double, lo double, hi double"
+    if not brackets:
+        return spark.createDataFrame([], "feature string, " + ", ".join(f"`{n}` double" for n in names))
+    counted = values.agg(*[
+        F.expr(part) for (c, _), (lo, hi) in brackets.items() for part in (
+            f"count(`{c}`)", f"count_if(`{c}` < {_double(lo)})",
+            f"count_if(`{c}` BETWEEN {_double(lo)} AND {_double(hi)})",
+        )
+    ]).first()
+    targets = []
+    for i, ((c, name), (lo, hi)) in enumerate(brackets.items()):
+        n, below, inside = counted[3 * i: 3 * i + 3]
+        position = (n - 1) * quantiles[name]
+        if method == "nearest":
+            low = high = math.floor(position + 0.5)
+        else:
+            low, high = math.floor(position), math.ceil(position)
+        if not (below <= low and high < below + inside):
+            lo, hi, below = float("-inf"), float("inf"), 0
+        targets.append((c, name, low - below, high - below, position - low if low < high else 0.0, lo, hi))
+    cells = ", ".join(
+        f"IF(`{c}` BETWEEN {_double(lo)} AND {_double(hi)}, "
+        f"named_struct('feature', '{c}', 'quantile', '{name}', 'value', `{c}`), NULL)"
+        for c, name, _, _, _, lo, hi in targets
+    )
+    near = values.selectExpr(f"inline(array_compact(array({cells})))")
+    ranked = running(near, "value", {"n": ("sum", F.lit(1))}, ["feature", "quantile"]).join(
+        spark.createDataFrame(targets, schema), ["feature", "quantile"]
+    )
+    ends = ranked.groupBy("feature", "quantile", "part").agg(
+        F.expr("max(value) FILTER (WHERE low BETWEEN n_run - n AND n_run - 1)").alias("at_low"),
+        F.expr("max(value) FILTER (WHERE high BETWEEN n_run - n AND n_run - 1)").alias("at_high"),
     )
-    return exact_quantiles(melted, "value", {"median": 0.5}, keys=["feature"])
+    return ends.groupBy("feature").agg(*[
+        F.expr(f"max(at_low + (at_high - at_low) * part) FILTER (WHERE quantile = '{name}')").alias(name)
+        for name in names
+    ])

@@ -7,18 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presage.config import SplitConfig
-from presage.operators.ordered import column_medians, exact_quantiles
+from presage.operators.ordered import column_quantiles
 from presage.operators.sampling import sample_exact
 
 
-def time_cutoff(windows: DataFrame, test_frac: float = 0.2, time: str = "window_end") -> DataFrame:
-    """One row (cutoff): the window end at rank ``round((n - 1) * (1 - test_frac))``."""
-    return exact_quantiles(windows, time, {"cutoff": 1 - test_frac}, method="nearest")
-
-
 def fit_cutoff(windows: DataFrame, test_frac: float = 0.2, time: str = "window_end") -> int | None:
-    """The cutoff as a plain number, so that later filters on it reach the file scan."""
-    return time_cutoff(windows, test_frac, time).first()["cutoff"]
+    """The window end at rank ``round((n - 1) * (1 - test_frac))``, as a plain number, so
+    that later filters on it reach the file scan."""
+    row = column_quantiles(windows, [time], {"cutoff": 1 - test_frac}, method="nearest").first()
+    return int(row["cutoff"]) if row else None
 
 
 def split_at(windows: DataFrame, cutoff: int | None, embargo_us: int = 0, time: str = "window_end"):
@@ -30,7 +27,7 @@ def split_at(windows: DataFrame, cutoff: int | None, embargo_us: int = 0, time:
 
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column (one number each reaches the driver)."""
-    return {r["feature"]: r["median"] for r in column_medians(train, columns).collect()}
+    return {r["feature"]: r["median"] for r in column_quantiles(train, columns, {"median": 0.5}).collect()}
 
 
 def fill_medians(df: DataFrame, medians: Mapping[str, float], columns: Sequence[str]) -> DataFrame:

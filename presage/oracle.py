@@ -335,14 +335,14 @@ inc AS (SELECT o_custkey, count(*) AS n_rows, max(o_totalprice) AS top_price FRO
     out["csv_ingest"] = sql(
         TRACE,
         f"""SELECT {E}, count(*) AS n_rows, count(*) FILTER (task_index <> 3) AS n_end_time, CAST(0 AS BIGINT) AS n_cpi,
-            CAST(sum(start_time) AS BIGINT) AS start_time_sum, max(canonical_memory_usage) AS mem_max
+            max(start_time) AS last_start, max(canonical_memory_usage) AS mem_max
             FROM task_usage GROUP BY {E}""",
         ["mem_max"],
     )
     out["shard_selection"] = sql(
         f"{TRACE}, s AS (SELECT start_time, (start_time // {HOUR}) % 500 AS shard FROM task_usage)",
         " UNION ALL ".join(
-            f"SELECT '{pick}' AS pick, count(*) AS n_rows, CAST(sum(start_time) AS BIGINT) AS start_time_sum FROM s WHERE {cond}"
+            f"SELECT '{pick}' AS pick, count(*) AS n_rows, min(start_time) AS first_start FROM s WHERE {cond}"
             for pick, cond in {
                 "continuous": "shard <= 172", "snapshots": "shard > 172", "range": "shard BETWEEN 10 AND 40",
                 "spaced": "shard % 25 = 0 AND shard // 25 < 20",
@@ -539,7 +539,7 @@ GROUP BY 1, 2"""
     out["balanced_weights"] = sql(
         """l AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
 c AS (SELECT label, count(*) AS n, (SELECT count(*) FROM l) / (2.0::DOUBLE * count(*)) AS weight FROM l GROUP BY label)""",
-        "SELECT label, n, weight, weight * n AS weight_sum FROM c", ["weight", "weight_sum"],
+        "SELECT label, n, weight, weight AS weight_max FROM c", ["weight", "weight_max"],
     )
 
     stat_names = [f"{c}_{s}" for c in ZSCORE_FEATURES for s in ("mu", "sigma")]

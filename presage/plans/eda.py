@@ -9,7 +9,7 @@ from presage.config import (
 from presage.functions import clip, code_name, day_bucket, hour_bucket
 from presage.operators.histogram import distinct_with_null, group_counts
 from presage.operators.joins import lookback_join, prefix_at
-from presage.operators.ordered import exact_quantiles
+from presage.operators.ordered import column_quantiles
 from presage.operators.windows import first_attributes
 
 
@@ -55,12 +55,7 @@ def failure_lines(task_events: DataFrame) -> DataFrame:
 
 def usage_quantiles(usage: DataFrame, columns=("cpu_rate", "canonical_memory_usage")) -> DataFrame:
     """p50, p90 and p99 of each column (value at the nearest rank), NULLs left out."""
-    melted = usage.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
-    )
-    return exact_quantiles(
-        melted, "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, keys=["feature"], method="nearest"
-    )
+    return column_quantiles(usage, columns, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, method="nearest")
 
 
 def exhaustion_pattern(usage: DataFrame, task_events: DataFrame, min_samples: int = 8,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from presage.config import ENTITY, TASK_LABEL
 from presage.functions import minutes_between
-from presage.operators.ordered import exact_quantiles
+from presage.operators.ordered import column_quantiles
 
 
 def first_alerts(scored: DataFrame, threshold: Column | float, score: str = "score",
@@ -47,8 +47,8 @@ def lead_time_summary(alerts: DataFrame) -> DataFrame:
         "detection_rate",
         F.when(F.col("n_failures") > 0, F.col("n_detected") / F.col("n_failures")).otherwise(0.0),
     )
-    quantiles = exact_quantiles(alerts, value, {"p25_min": 0.25, "median_min": 0.5, "p75_min": 0.75})
-    packed = quantiles.select(F.struct("*").alias("q")).scalar()
+    quantiles = column_quantiles(alerts, [value], {"p25_min": 0.25, "median_min": 0.5, "p75_min": 0.75})
+    packed = quantiles.select(F.struct("p25_min", "median_min", "p75_min").alias("q")).scalar()
     return counts.withColumn("__q", packed).select(
         *counts.columns, *[F.col(f"__q.{c}").alias(c) for c in ("p25_min", "median_min", "p75_min")]
     )

@@ -12,6 +12,7 @@ from presage.session import staged
 def stored_split(windows: DataFrame, features: Sequence[str] = TASK_FEATURES, label: str = TASK_LABEL,
                  keys: Sequence[str] = (*ENTITY, "window_start"), config: SplitConfig = SplitConfig(),
                  balance: bool = True) -> TimeSplit:
-    """A time split whose sides are files: iterative fits read them again and again."""
+    """A time split over stored windows; the (small, undersampled) train side is stored
+    too, as iterative fits read it again and again."""
     split = time_split(staged(windows, "windows"), features, label, keys, config, balance)
-    return TimeSplit(staged(split.train, "train"), staged(split.test, "test"), split.cutoff, split.medians)
+    return TimeSplit(staged(split.train, "train"), split.test, split.cutoff, split.medians)
