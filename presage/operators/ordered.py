@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N_BUCKETS = 1024
-_SKETCH_ACCURACY = 10 * N_BUCKETS
+_SKETCH_ACCURACY = 2 * N_BUCKETS
+_SKETCH_GROUPS = 512
 _CUTS = ", ".join(f"{i / N_BUCKETS!r}D" for i in range(1, N_BUCKETS))
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -27,13 +28,27 @@ def _join_kind(kind: str, before: Column, inside: Column) -> Column:
     return (F.least if kind == "min" else F.greatest)(before, inside)
 
 
+def _in_groups(df: DataFrame) -> DataFrame:
+    """Add ``__group``: input partitions dealt out to a bounded number of sketches, so
+    that no single task has to merge the partial sketches of a whole cluster."""
+    return df.withColumn("__group", F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)))
+
+
 def order_splits(df: DataFrame, order: str) -> list[float]:
     """At most N_BUCKETS - 1 sampled quantiles of ``order``, strictly increasing.
 
-    The only thing that reaches the driver; its size does not depend on the data.
+    Quantiles of the groups' quantiles: near enough, as splits decide only how
+    evenly buckets fill. They are the only thing that reaches the driver, and
+    their number does not depend on the data.
     """
-    sketch = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({_CUTS}), {_SKETCH_ACCURACY})")
-    return sorted({q for q in df.agg(sketch).first()[0] or [] if math.isfinite(q)})
+    def sketch(column):
+        return F.expr(f"percentile_approx({column}, array({_CUTS}), {_SKETCH_ACCURACY})")
+
+    per_group = _in_groups(df.select(F.col(order).cast("double").alias("v"))).groupBy("__group").agg(
+        sketch("v").alias("qs")
+    )
+    merged = per_group.select(F.explode("qs").alias("v")).agg(sketch("v")).first()[0]
+    return sorted({q for q in merged or [] if math.isfinite(q)})
 
 
 def with_order_bucket(df: DataFrame, order: str, splits: Sequence[float]) -> DataFrame:
@@ -156,7 +171,7 @@ def column_quantiles(
 ) -> DataFrame:
     """(feature, one column per quantile): exact quantiles of whole columns.
 
-    A sketch of all columns, made in one pass, brackets each quantile; a second
+    Sketches of all columns, made in one pass, bracket each quantile; a second
     pass counts what lies below and inside each bracket; only values inside a
     bracket (some thousandths of the rows) are shuffled to find the exact rank.
     Should a bracket miss its rank, it is widened to everything.
@@ -171,14 +186,16 @@ def column_quantiles(
         for q in quantiles.values() for side in (-2 * _BRACKET_ERROR, 2 * _BRACKET_ERROR)
     )
     accuracy = int(1 / _BRACKET_ERROR)
-    sketched = values.agg(*[
-        F.expr(f"percentile_approx(`{c}`, array({edges}), {accuracy})") for c in columns
+    per_group = _in_groups(values).groupBy("__group").agg(*[
+        F.expr(f"percentile_approx(`{c}`, array({edges}), {accuracy})").alias(f"q{i}") for i, c in enumerate(columns)
+    ])
+    # The overall quantile lies between the smallest and the largest of the groups' own.
+    sketched = per_group.agg(*[
+        F.expr(part) for i in range(len(columns)) for j in range(len(names))
+        for part in (f"min(q{i}[{2 * j}])", f"max(q{i}[{2 * j + 1}])")
     ]).first()
-    brackets = {
-        (c, name): (found[2 * i], found[2 * i + 1])
-        for c, found in zip(columns, sketched) if found
-        for i, name in enumerate(names)
-    }
+    found = iter(zip(sketched[::2], sketched[1::2]))
+    brackets = {(c, name): edge for c in columns for name in names if (edge := next(found))[0] is not None}
     schema = "feature string, quantile string, low long, high long, part double, lo double, hi double"
     if not brackets:
         return spark.createDataFrame([], "feature string, " + ", ".join(f"`{n}` double" for n in names))

@@ -14,12 +14,15 @@ from presage.operators.windows import first_attributes
 
 
 def trace_overview(task_events: DataFrame, machine_events: DataFrame) -> DataFrame:
-    """Span in days and the number of machines, jobs and tasks, in one row."""
-    span = (F.max("time") - F.min("time")) / F.lit(float(US_PER_DAY))
-    counted = task_events.agg(
-        span.alias("span_days"),
+    """Span in days and the number of machines, jobs and tasks, in one row.
+
+    Rows are reduced to one per task first; jobs are then counted over tasks.
+    """
+    tasks = task_events.groupBy(*ENTITY).agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    counted = tasks.agg(
+        ((F.max("last") - F.min("first")) / F.lit(float(US_PER_DAY))).alias("span_days"),
         distinct_with_null("job_id").alias("n_jobs"),
-        F.count_distinct(F.struct(*ENTITY)).alias("n_tasks"),
+        F.count(F.lit(1)).alias("n_tasks"),
     )
     machines = machine_events.agg(distinct_with_null("machine_id").alias("n")).scalar()
     return counted.withColumn("n_machines", machines)
@@ -70,7 +73,8 @@ def exhaustion_pattern(usage: DataFrame, task_events: DataFrame, min_samples: in
     failed = task_events.where(
         (F.col("event_type") == FAIL) & F.col("machine_id").isNotNull() & (F.col("memory_request") > 0)
     ).select(*keys, "time", "memory_request")
-    samples = usage.where(F.col("machine_id").isNotNull()).select(
+    # Failures are few: usage of other tasks leaves before anything is shuffled or ordered.
+    samples = usage.join(failed.select(*keys).distinct(), keys, "left_semi").select(
         *keys, F.col("end_time").alias("time"), F.struct("start_time", F.col("canonical_memory_usage").alias("mem")).alias("s")
     )
     seen = prefix_at(samples, failed, keys, "time", {
@@ -96,7 +100,8 @@ def load_before_removal(usage: DataFrame, machine_events: DataFrame, span_us: in
     removed = machine_events.where(
         (F.col("event_type") == REMOVE) & F.col("machine_id").isNotNull()
     ).select("machine_id", F.col("time").alias("remove_time")).distinct()
-    points = usage.where(F.col("machine_id").isNotNull()).groupBy("machine_id", "start_time").agg(
+    concerned = usage.join(removed.select("machine_id").distinct(), "machine_id", "left_semi")
+    points = concerned.groupBy("machine_id", "start_time").agg(
         F.sum("cpu_rate").alias("cpu_rate_sum"), F.count(F.lit(1)).alias("n_tasks")
     )
     edges = removed.select(

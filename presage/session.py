@@ -5,6 +5,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Streaming state on disk: it may outgrow executor memory.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app: str = "presage", master: str | None = None, **conf) -> SparkSession:
     """A session with UTC times, ANSI casts and AQE. ``conf`` keys use ``__`` for dots."""
@@ -14,6 +17,7 @@ def build_session(app: str = "presage", master: str | None = None, **conf) -> Sp
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     )
     if master:
         builder = builder.master(master)
