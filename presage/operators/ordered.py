@@ -1,7 +1,8 @@
 """Running totals and exact quantiles over a global order, without a global sort.
 
 Rows are first collapsed per order value, so one hot value is one row however
-often it occurs. The order axis is then cut at sampled quantiles, which gives
+often it occurs. Inputs counted to be small are then ordered in one window per
+key. For all others the order axis is cut at sampled quantiles, which gives
 buckets of even size: a group of any key holds at most about 1/1024 of all
 collapsed rows in one bucket. Bucket totals give each bucket its starting
 point (at most 1,024 rows per key are ordered for that), and the running
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 N_BUCKETS = 1024
 _SKETCH_ACCURACY = 2 * N_BUCKETS
 _SKETCH_GROUPS = 512
+# Groups counted to hold no more rows than this are ordered in one task each.
+ONE_TASK_ROWS = 100_000
 _CUTS = ", ".join(f"{i / N_BUCKETS!r}D" for i in range(1, N_BUCKETS))
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -35,7 +38,8 @@ def _in_groups(df: DataFrame) -> DataFrame:
 
 
 def order_splits(df: DataFrame, order: str) -> list[float]:
-    """At most N_BUCKETS - 1 sampled quantiles of ``order``, strictly increasing.
+    """At most N_BUCKETS - 1 sampled quantiles of ``order``, strictly increasing; none when
+    there are at most ONE_TASK_ROWS rows in all.
 
     Quantiles of the groups' quantiles: near enough, as splits decide only how
     evenly buckets fill. They are the only thing that reaches the driver, and
@@ -45,16 +49,18 @@ def order_splits(df: DataFrame, order: str) -> list[float]:
         return F.expr(f"percentile_approx({column}, array({_CUTS}), {_SKETCH_ACCURACY})")
 
     per_group = _in_groups(df.select(F.col(order).cast("double").alias("v"))).groupBy("__group").agg(
-        sketch("v").alias("qs")
+        sketch("v").alias("qs"), F.count("v").alias("n")
     )
-    merged = per_group.select(F.explode("qs").alias("v")).agg(sketch("v")).first()[0]
+    merged, n = per_group.select(F.posexplode("qs").alias("i", "v"), "n").agg(
+        sketch("v"), F.sum(F.when(F.col("i") == 0, F.col("n")))
+    ).first()
+    if (n or 0) <= ONE_TASK_ROWS:
+        return []
     return sorted({q for q in merged or [] if math.isfinite(q)})
 
 
 def with_order_bucket(df: DataFrame, order: str, splits: Sequence[float]) -> DataFrame:
     """Add ``__bucket``, a monotone and evenly filled function of the numeric ``order`` column."""
-    if not splits:
-        return df.withColumn("__bucket", F.lit(0.0))
     lookup = Bucketizer(
         splits=[float("-inf"), *splits, float("inf")], inputCol="__order", outputCol="__bucket",
         handleInvalid="keep",
@@ -68,25 +74,39 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     keys: Sequence[str] = (),
     descending: bool = False,
+    splits: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per (keys, order value) with running aggregates in that order.
 
     ``aggs`` maps a name to ``(kind, column)``, kind being sum, min or max.
+    ``splits`` replaces the sampled cuts of the order axis; a caller that knows
+    its groups to be small passes none at all.
     For each name the result has ``name`` (this order value alone),
     ``name_run`` (up to and including it) and ``name_total`` (the whole key).
     """
     keys = list(keys)
-    splits = order_splits(df, order)
+    if splits is None:
+        splits = order_splits(df, order)
     collapsed = df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(
         *[_FOLD[kind](col).alias(name) for name, (kind, col) in aggs.items()]
     )
-    rows = with_order_bucket(collapsed, order, splits)
+    rows = with_order_bucket(collapsed, order, splits) if splits else collapsed
 
     def ordered(partition, column):
         spec = Window.partitionBy(*partition)
         return spec.orderBy(F.col(column).desc() if descending else F.col(column).asc())
 
-    inside = ordered([f"rows.{c}" for c in (*keys, "__bucket")], f"rows.{order}").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    if not splits:
+        inside = ordered(keys or [F.lit(0)], order).rowsBetween(*so_far)
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
+        return rows.select(*keys, order, *[c for name, (kind, _) in aggs.items() for c in (
+            F.col(name),
+            _FOLD[kind](name).over(inside).alias(f"{name}_run"),
+            _FOLD[kind](name).over(whole).alias(f"{name}_total"),
+        )])
+
+    inside = ordered([f"rows.{c}" for c in (*keys, "__bucket")], f"rows.{order}").rowsBetween(*so_far)
     # At most N_BUCKETS rows per key reach these two windows.
     earlier = ordered(keys or [F.lit(0)], "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
@@ -205,7 +225,7 @@ def column_quantiles(
             f"count_if(`{c}` BETWEEN {_double(lo)} AND {_double(hi)})",
         )
     ]).first()
-    targets = []
+    targets, widened = [], False
     for i, ((c, name), (lo, hi)) in enumerate(brackets.items()):
         n, below, inside = counted[3 * i: 3 * i + 3]
         position = (n - 1) * quantiles[name]
@@ -214,7 +234,7 @@ def column_quantiles(
         else:
             low, high = math.floor(position), math.ceil(position)
         if not (below <= low and high < below + inside):
-            lo, hi, below = float("-inf"), float("inf"), 0
+            lo, hi, below, widened = float("-inf"), float("inf"), 0, True
         targets.append((c, name, low - below, high - below, position - low if low < high else 0.0, lo, hi))
     cells = ", ".join(
         f"IF(`{c}` BETWEEN {_double(lo)} AND {_double(hi)}, "
@@ -222,7 +242,10 @@ def column_quantiles(
         for c, name, _, _, _, lo, hi in targets
     )
     near = values.selectExpr(f"inline(array_compact(array({cells})))")
-    ranked = running(near, "value", {"n": ("sum", F.lit(1))}, ["feature", "quantile"]).join(
+    small = all(counted[3 * i + 2] <= ONE_TASK_ROWS for i in range(len(targets))) and not widened
+    ranked = running(
+        near, "value", {"n": ("sum", F.lit(1))}, ["feature", "quantile"], splits=[] if small else None
+    ).join(
         spark.createDataFrame(targets, schema), ["feature", "quantile"]
     )
     ends = ranked.groupBy("feature", "quantile", "part").agg(

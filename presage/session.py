@@ -1,5 +1,7 @@
 """Session defaults and the shared folder for data that must outlive its executors."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     own = tempfile.mkdtemp(prefix="presage-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 

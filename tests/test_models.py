@@ -57,6 +57,8 @@ def test_tuning(spark, planted):
     rows = trials.collect()
     assert len(rows) == 2 and rows[0]["mean_pr_auc"] >= rows[1]["mean_pr_auc"] > 0.3
     assert best.trees == rows[0]["trees"]
+    final = models.refit_tuned(train, ["id"], best, min_trees=8, features=FEATURES, label="y")
+    assert final.stages[-1].getMaxIter() == 8 and auc(models.score(final, planted[1])) > 0.75
 
 
 def test_draws_stay_in_their_ranges():

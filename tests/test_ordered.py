@@ -2,11 +2,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from presage.operators import ordered
 from presage.operators.histogram import distinct_with_null, histogram, share_over
 from presage.operators.joins import latest_as_of, lookback_join, prefix_at
 from presage.operators.ordered import column_quantiles, exact_quantiles, running
 
 
+@pytest.fixture(autouse=True, params=["cut", "whole"])
+def path(request, monkeypatch):
+    """Both ways of ordering: small groups whole, and everything in cut pieces."""
+    if request.param == "cut":
+        monkeypatch.setattr(ordered, "ONE_TASK_ROWS", -1)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows share one key and one value."""
@@ -65,8 +73,6 @@ def test_column_quantiles(spark):
 
 
 def test_a_missed_bracket_is_widened(spark, monkeypatch):
-    from presage.operators import ordered
-
     monkeypatch.setattr(ordered, "_BRACKET_ERROR", 0.4)
     df = spark.createDataFrame([(float(i),) for i in range(1001)], "x double")
     assert column_quantiles(df, ["x"], {"m": 0.5}).first()["m"] == 500.0

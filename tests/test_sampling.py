@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presage.operators.sampling import (
-    random_holdout, rank_by_hash, sample_exact, shuffled, stratified_folds, stratified_holdout,
+    hash_chunk, random_holdout, rank_by_hash, sample_exact, shuffled, stratified_folds, stratified_holdout,
 )
 from presage.operators.split import balanced_weights, fill_medians, fit_medians, undersample
 from presage.operators.sequences import entity_subset, lookback
@@ -45,6 +45,11 @@ def test_shuffle_is_a_permutation(rows):
     assert got != sorted(got) and sorted(got) == list(range(3000))
 
 
+def test_chunks_cover_everything_once(rows):
+    sizes = [r["count"] for r in rows.withColumn("chunk", hash_chunk(["id"], 4)).groupBy("chunk").count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 3000 and min(sizes) > 500
+
+
 def test_undersample(rows):
     kept = undersample(rows, "y", ["id"], 2.5, 42).groupBy("y").count().collect()
     assert dict(map(tuple, kept)) == {1: 150, 0: 375}
