@@ -14,7 +14,7 @@ from presage.config import (
     ENTITY, MACHINE_EVENT_NAMES, MACHINE_FEATURES, MACHINE_LABEL, TASK_EVENT_NAMES, TASK_FEATURES,
     TASK_LABEL, US_PER_DAY, US_PER_HOUR, SplitConfig, WindowConfig,
 )
-from presage.functions import hour_bucket, sigmoid
+from presage.functions import hour_bucket, sigmoid, wall_micros
 from presage.operators import histogram as hist
 from presage.operators import labels, metrics, sampling, sequences, split, windows
 from presage.operators.ordered import exact_quantiles
@@ -206,7 +206,7 @@ def usage_sample(spark, sf_dir):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate_us", "l_extendedprice_s"]
     keyed = lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("l_shipdate_us"),
+        wall_micros("l_shipdate").alias("l_shipdate_us"),
         (F.col("l_extendedprice") * 100).cast("decimal(20,0)").cast("long").alias("l_extendedprice_s"),
     )
     return sampling.sample_exact(keyed, 2000, keys, 42)
@@ -463,7 +463,7 @@ def discount_scores(spark, sf_dir):
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         (F.col("l_discount") * 10).alias("score"),
         F.col("l_extendedprice").alias("price"),
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("window_end"),
+        wall_micros("l_shipdate").alias("window_end"),
         "l_linestatus",
     )
 

@@ -10,6 +10,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def wall_micros(column: str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{column}`)")
+
+
 def floor_to(t, width_us: int) -> Column:
     """Start of the left-closed window of ``width_us`` that holds ``t``, aligned to 0.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presage.config import US_PER_MIN
+from presage.functions import wall_micros
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ def _keyed(events: DataFrame) -> DataFrame:
         (F.floor(F.col("user_id") / F.lit(10))).cast("long").alias("job_id"),
         (F.col("user_id") % 10).alias("task_index"),
         (F.col("user_id") % 20).alias("machine_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("time"),
+        wall_micros("ts").alias("time"),
         "event_type",
         "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
