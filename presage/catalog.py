@@ -669,7 +669,8 @@ STREAM_DELAY = "10 minutes"
 
 def _event_stream(spark, sf_dir):
     schema = load_events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A glob, as the table may be one file or a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
 def _closed_windows(spark, sf_dir):

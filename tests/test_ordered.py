@@ -139,3 +139,21 @@ def test_distinct_counts_null_once(spark):
     df = spark.createDataFrame([(1,), (None,), (None,), (2,)], "x int")
     assert df.agg(distinct_with_null("x")).first()[0] == 3
     assert df.where("x IS NOT NULL").agg(distinct_with_null("x")).first()[0] == 2
+
+
+def test_buckets_stay_small_for_a_hot_key(spark):
+    """A third of the rows under one key, most values in a narrow band."""
+    rng = np.random.default_rng(9)
+    values = np.where(rng.random(60000) < 0.9, rng.normal(100, 0.01, 60000), rng.exponential(1e6, 60000))
+    df = spark.createDataFrame(
+        [("hot" if i % 3 == 0 else str(i % 50), float(v)) for i, v in enumerate(values)], "k string, v double"
+    ).repartition(6)
+    splits = ordered.order_splits(df, "v") or [0.0]
+    if ordered.ONE_TASK_ROWS < 0:
+        sizes = ordered.with_order_bucket(df, "v", splits).groupBy("__bucket").count()
+        assert sizes.agg(F.max("count")).first()[0] < 8 * 60000 / ordered.N_BUCKETS
+        assert sizes.count() > ordered.N_BUCKETS // 2
+    total = running(df, "v", {"n": ("sum", F.lit(1))}, ["k"]).groupBy("k").agg(F.max("n_run").alias("a"), F.max("n_total").alias("b"))
+    assert {r["k"]: r["a"] for r in total.collect()} == {r["k"]: r["b"] for r in total.collect()} == {
+        r["k"]: r["count"] for r in df.groupBy("k").count().collect()
+    }
