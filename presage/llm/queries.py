@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import cascade, chat, lines, mixing, packing, sharding, superminhash
+from presage.llm import cascade, chat, gam, lines, mixing, mtree, packing, pii, sharding, superminhash
 from presage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,23 @@ def op9_pivotal_mixing(spark, sf_dir):
 def op10_sampled_splitters(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_mtree_topk(spark, sf_dir):
+    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return mtree.Index(vectors).top_k(vectors.where(F.col("id") % 50 == 0), 5)
+
+
+@query
+def op6_additive_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = gam.score(docs, gam.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(gam.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_bootstrapped_pii(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
