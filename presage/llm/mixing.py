@@ -6,12 +6,12 @@ by weight until none is above.
 
 Every document of a source asks for target / size copies. The whole part is given; the
 fractional parts, equal within a source, are rounded by the pivotal method: the unit in
-hand meets the next one, and mass moves from one to the other at random until one is 0
-or 1; the other stays in hand. That keeps the sum of the copies. Units meet in the order
-of size, so words are kept nearly as well as copies. Groups of about ``GROUP`` units run
-at once; each hands one unit of fractional mass to the next level, where the units of a
-source meet again, until every source has one. The last one is rounded to the nearer.
-Draws come from a hash of row and level, so reruns agree.
+hand meets the next one by size, and words move from one to the other at random until
+one of them is whole; the other stays in hand. That keeps the words of all together.
+Groups of about ``GROUP`` units run at once; each hands one fractional unit to the next
+level, where the units of a source meet again, until every source has one. The last is
+rounded to the nearer, so a source misses its target by half a document at most. Draws
+come from a hash of row and level, so reruns agree.
 
 Defined results: a null or empty text has size 0; sources with no words take nothing;
 repeated rows are told apart by a number and rounded one by one; an empty table gives an
@@ -71,31 +71,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     return weighed.select("source", "size", F.least(share, limit).alias("target"))
 
 
-def _meet(p: float, q: float, draw: float) -> tuple[float, float]:
-    """One step of the pivotal method for two fractional probabilities: sums and expectations stay."""
-    total = p + q
-    if total < 1.0:
-        return (total, 0.0) if draw * total < p else (0.0, total)
-    return (1.0, total - 1.0) if draw * (2.0 - total) < 1.0 - q else (total - 1.0, 1.0)
+def _meet(p: float, q: float, s: float, t: float, draw: float) -> tuple[float, float]:
+    """One step of the pivotal method for two units of s and t words: words move from one to the other until one
+    is whole. The words of both together, and the expectation of each, stay."""
+    to_p, to_q = min((1 - p) * s, q * t), min(p * s, (1 - q) * t)
+    moved = to_p if draw * (to_p + to_q) < to_q else -to_q
+    return p + moved / s, q - moved / t
 
 
-def round_group(probs: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """All but at most one of the units get 0 or 1."""
+def round_group(probs: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """All but at most one of the units become 0 or 1, in the given order. Units without words are drawn alone."""
     out = probs.astype(float).copy()
     hand = -1
     for i in range(len(out)):
         if not EDGE < out[i] < 1 - EDGE:
             out[i] = round(out[i])
+        elif not sizes[i]:
+            out[i] = draws[i] < out[i]
         elif hand < 0:
             hand = i
         else:
-            out[hand], out[i] = _meet(out[hand], out[i], draws[i])
-            open_hand, open_i = EDGE < out[hand] < 1 - EDGE, EDGE < out[i] < 1 - EDGE
-            if not open_hand:
-                out[hand] = round(out[hand])
-            if not open_i:
-                out[i] = round(out[i])
-            hand = hand if open_hand else i if open_i else -1
+            out[hand], out[i] = _meet(out[hand], out[i], sizes[hand], sizes[i], draws[i])
+            for k in (hand, i):
+                if not EDGE < out[k] < 1 - EDGE:
+                    out[k] = round(out[k])
+            hand = hand if 0 < out[hand] < 1 else i if 0 < out[i] < 1 else -1
     return out
 
 
@@ -107,7 +107,7 @@ def _level(units: DataFrame, level: int, seed: int) -> DataFrame:
 
     def rounded(group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "ascending"), ("uid", "ascending")])
-        out = round_group(group.column("mass").to_numpy(), group.column("draw").to_numpy())
+        out = round_group(*(group.column(c).to_numpy() for c in ("mass", "size", "draw")))
         return group.select(["source", "uid", "size"]).append_column("mass", pa.array(out))
 
     draw = F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
