@@ -29,8 +29,8 @@ from presage.llm.common import ceil_div, small_batches
 from presage.session import staged
 
 GROUP_PIECES = 2048
-#: Words whose ids a worker remembers; then it forgets them all. Some 150 MB.
-CACHE_WORDS = 900_000
+#: Words whose ids a worker remembers; then it forgets them all. Some 400 MB.
+CACHE_WORDS = 2_500_000
 #: A bin filled to this share is closed in the first round.
 WELL_FILLED = 0.995
 
