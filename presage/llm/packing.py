@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from presage.llm.common import ceil_div, small_batches
 from presage.session import staged
 
 GROUP_PIECES = 2048
-#: Words whose ids a worker remembers; then it forgets them all. Some 400 MB.
-CACHE_WORDS = 2_500_000
+#: Words whose ids a worker remembers; then it forgets them all. Some 250 MB.
+CACHE_WORDS = 1_200_000
 #: A bin filled to this share is closed in the first round.
 WELL_FILLED = 0.995
 
@@ -55,34 +56,34 @@ class Capacity:
             raise ValueError("a full piece must fit an empty sequence")
 
 
+#: A comma or full stop between an ASCII letter and white space is a token of its own.
+TAIL = re.compile(rb"([A-Za-z])([.,])(?=\s|$)")
+
+
 class WordIds:
-    """Ids of words as little-endian bytes. The tokenizer's rules never reach over white space, so words are
-    encoded one by one; case is folded by the tokenizer, and a comma or full stop after a letter is a token of
-    its own, so both are taken off before a word is looked up."""
+    """Ids of texts by their words. The tokenizer's rules never reach over white space, it folds case, and it
+    sets a mark after a letter apart; so texts are folded and such marks cut off, and every word met then is
+    encoded once. Texts that might hold a special token aren't folded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        data = text.encode()
+        return TAIL.sub(rb"\1 \2", data if b"<|" in data else data.lower()).split()
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, cut, cores = self.known, [], set()
-        for word in words.difference(known):
-            core, tail = word if b"<|" in word else word.lower(), b""
-            if len(core) > 1 and core[-1] in b".," and core[-2:-1].isalpha():
-                core, tail = core[:-1], core[-1:]
-            cut.append((word, core, tail))
-            cores.update(x for x in (core, tail) if x and x not in known)
-        cores = list(cores)
-        for core, e in zip(cores, self.tokenizer.encode_batch_fast([c.decode() for c in cores], add_special_tokens=False)):
-            known[core] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for word, core, tail in cut:
-            if word != core:
-                known[word] = known[core] + known[tail] if tail else known[core]
+        new = list(words.difference(self.known))
+        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, words: list[bytes]) -> bytes:
+        """Little-endian ids of learned words."""
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -102,7 +103,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, end_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _word_ids(tokenizer)
         for batch in batches:
-            texts = [(x or "").encode().split() for x in batch.column(1).to_pylist()]
+            texts = [ids.words(x or "") for x in batch.column(1).to_pylist()]
             ids.learn(set().union(*texts))
             rows, starts, lengths, crcs = [], [], [], []
             for i, words in enumerate(texts):
