@@ -11,7 +11,7 @@ one of them is whole; the other stays in hand. That keeps the words of all toget
 Groups of about ``GROUP`` units run at once; each hands one fractional unit to the next
 level, where the units of a source meet again, until every source has one. The last is
 rounded to the nearer, so a source misses its target by half a document at most. Draws
-come from a hash of row and level, so reruns agree.
+come from a hash of what a row says and of the level, so reruns agree.
 
 Defined results: a null or empty text has size 0; sources with no words take nothing;
 repeated rows are told apart by a number and rounded one by one; an empty table gives an
@@ -99,29 +99,33 @@ def round_group(probs: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.n
     return out
 
 
-UNITS = "source string, uid long, size long, mass double"
+UNITS = "source string, uid long, key long, spread long, size long, mass double"
 
 
 def _level(units: DataFrame, level: int, seed: int) -> DataFrame:
     """Round within (source, part); a source has as many parts, by a hash, as its units need."""
 
     def rounded(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "ascending"), ("uid", "ascending")])
+        group = group.sort_by([(c, "ascending") for c in ("size", "key", "spread", "uid")])
         out = round_group(*(group.column(c).to_numpy() for c in ("mass", "size", "draw")))
-        return group.select(["source", "uid", "size"]).append_column("mass", pa.array(out))
+        return group.select(["source", "uid", "key", "spread", "size"]).append_column("mass", pa.array(out))
 
-    draw = F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
-    part = F.pmod(F.xxhash64("uid", F.lit(seed + 1), F.lit(level)), F.col("parts"))
+    draw = F.pmod(F.xxhash64("key", "spread", F.lit(seed), F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
+    part = F.pmod(F.xxhash64("key", "spread", F.lit(seed + 1), F.lit(level)), F.col("parts"))
     counts = units.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")).withColumnRenamed("source", "s")
     dealt = units.join(counts, F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", "uid", "size", "mass", draw.alias("draw"), part.alias("part"))
+        "source", "uid", "key", "spread", "size", "mass", draw.alias("draw"), part.alias("part"))
     return dealt.groupBy("source", "part").applyInArrow(rounded, UNITS)
 
 
 def copies(rows: DataFrame, seed: int = 17) -> DataFrame:
-    """uid, copies for stored ``rows`` (source, uid, size, rate): the whole part of the rate and the rounded rest."""
+    """uid, copies for stored ``rows`` (source, uid, key, size, rate): the whole part of the rate and the rounded
+    rest. ``uid`` only tells rows apart; chance hangs on ``key``, a hash of what a row says. Only rows that are
+    equal more than ``GROUP`` times are spread by uid, so that no part gets too many."""
     whole = F.floor("rate")
-    units = rows.select("source", "uid", "size", (F.col("rate") - whole).alias("mass"))
+    many = rows.groupBy("key").count().where(F.col("count") > GROUP).select(F.col("key").alias("many"))
+    units = rows.join(many, F.col("key") == F.col("many"), "left").select(
+        "source", "uid", "key", F.when(F.col("many").isNotNull(), F.col("uid")).otherwise(0).alias("spread"), "size", (F.col("rate") - whole).alias("mass"))
     settled, level = [], 0
     is_open = (F.col("mass") > 0) & (F.col("mass") < 1)
     while True:
@@ -142,19 +146,19 @@ def copies(rows: DataFrame, seed: int = 17) -> DataFrame:
 
 def _mixed(rows: DataFrame, weights: tuple[float, ...], max_copies: int, seed: int) -> DataFrame:
     read = staged(rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), "uid"), "sizes")
+        F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), "uid",
+        F.xxhash64("doc_id", "source", "text").alias("key"),
+    ), "sizes")
     sources = targets(read.groupBy("source").agg(F.sum("size").alias("size")), weights, max_copies).select(
         F.col("source").alias("s"), F.col("size").alias("source_size"), "target")
     rated = staged(read.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "rated")
-    return rated.join(copies(rated, seed), "uid").drop("rate")
+    return rated.join(copies(rated, seed), "uid").drop("rate", "key")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 17) -> DataFrame:
-    """doc_id, uid, size, source, source_size, target, copies: a row for each document.
-
-    ``uid`` numbers the rows as they are read and is stored with them, so rows that are equal in all columns
-    can be told apart; draws hash it."""
+    """doc_id, uid, size, source, source_size, target, copies: a row for each document. ``uid`` numbers the rows
+    as they are read and is stored with them."""
     return _mixed(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("uid")), weights, max_copies, seed)
 
 
