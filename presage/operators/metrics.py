@@ -13,6 +13,11 @@ PROBABILITY_GRID = (0.05, 0.05, 19)
 ZSCORE_GRID = (1.0, 0.25, 29)
 
 
+def _known(score: Column) -> Column:
+    """The score, or an error: a row without a score is a fault upstream and not a negative."""
+    return F.coalesce(score, F.raise_error(F.lit("a row has no score")).cast("double"))
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
@@ -28,8 +33,9 @@ def with_prf(counts: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, flagged: Column, by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn, tn, n_test and n_positive in one pass, with precision, recall and F1."""
+    """tp, fp, fn, tn, n_test and n_positive in one pass, with precision, recall and F1. A NULL flag raises."""
     positive = F.col(label) == 1
+    flagged = F.coalesce(flagged, F.raise_error(F.lit("a row has no score")).cast("boolean"))
     return with_prf(df.groupBy(*by).agg(
         F.count_if(positive & flagged).alias("tp"),
         F.count_if(~positive & flagged).alias("fp"),
@@ -47,9 +53,10 @@ def evaluate(df: DataFrame, label: str, score: str, threshold: Column | float,
     ROC-AUC counts ties half; PR-AUC is average precision (the step sum, not a
     trapezoid). Both are NULL when a class is missing. Rows are reduced to one
     per distinct score, ranked without a global sort, and everything else is an
-    aggregate over that.
+    aggregate over that. A NULL score raises.
     """
     by = list(by)
+    df = df.withColumn(score, _known(F.col(score)))
     threshold = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
     ranked = running(
         df, score,
@@ -87,10 +94,11 @@ def threshold_sweep(df: DataFrame, label: str, score: str, grid: tuple[float, fl
     """Confusion counts and F1 at every grid threshold, in one pass over the scores.
 
     Each row is reduced to how many thresholds it passes; suffix sums over that
-    table (at most grid size + 1 rows) give the counts of every threshold.
+    table (at most grid size + 1 rows) give the counts of every threshold. A NULL
+    score raises.
     """
     points = float_grid(*grid)
-    s = F.col(score)
+    s = _known(F.col(score))
     passed = sum(((s > t) if strict else (s >= t)).cast("int") for t in points)
     by_passed = (
         df.select(passed.alias("passed"), (F.col(label) == 1).cast("long").alias("pos"))

@@ -1,12 +1,10 @@
 """Running totals and exact quantiles over a global order, without a global sort.
 
-Rows are first collapsed per order value, so one hot value is one row however
-often it occurs. Inputs counted to be small are then ordered in one window per
-key. For all others the order axis is cut at sampled quantiles, which gives
-buckets of even size: a group of any key holds at most about 1/1024 of all
-collapsed rows in one bucket. Bucket totals give each bucket its starting
-point (at most 1,024 rows per key are ordered for that), and the running
-window works inside single buckets.
+Rows are first collapsed per (keys, order value) and stored, so one hot value is one
+row however often it occurs. The order axis is cut at sampled quantiles of the
+collapsed rows, in two levels: so many cuts that a bucket holds about BUCKET_ROWS of
+them, whatever their number. Bucket totals give each bucket its starting point, and
+the running window works inside single buckets.
 """
 
 import math
@@ -16,12 +14,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKETS = 1024
-_SKETCH_ACCURACY = 2 * N_BUCKETS
+from presage.session import staged
+
+# Collapsed rows of a bucket, and how many of them are drawn to place its cuts.
+BUCKET_ROWS = 8192
+DRAWN_PER_BUCKET = 64
+# Sketches of one column are made in at most so many groups of rows.
 _SKETCH_GROUPS = 512
-# Groups counted to hold no more rows than this are ordered in one task each.
-ONE_TASK_ROWS = 100_000
-_CUTS = ", ".join(f"{i / N_BUCKETS!r}D" for i in range(1, N_BUCKETS))
+_GROUP_ROWS = 50_000
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -31,36 +31,35 @@ def _join_kind(kind: str, before: Column, inside: Column) -> Column:
     return (F.least if kind == "min" else F.greatest)(before, inside)
 
 
-def _in_groups(df: DataFrame) -> DataFrame:
-    """Add ``__group``: input partitions dealt out to a bounded number of sketches, so
-    that no single task has to merge the partial sketches of a whole cluster."""
-    return df.withColumn("__group", F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)))
+def _evenly(parts: int) -> str:
+    """SQL array of the inner cuts of [0, 1] into ``parts``, and the accuracy that tells them apart."""
+    return f"array({', '.join(f'{i / parts!r}D' for i in range(1, parts))}), {4 * parts}"
 
 
-def order_splits(df: DataFrame, order: str) -> list[float]:
-    """At most N_BUCKETS - 1 sampled quantiles of ``order``, strictly increasing; none when
-    there are at most ONE_TASK_ROWS rows in all.
+def order_splits(collapsed: DataFrame, order: str) -> list[float]:
+    """Strictly increasing cuts of ``order`` that leave about BUCKET_ROWS rows in a bucket.
 
-    Quantiles of the groups' quantiles: near enough, as splits decide only how
-    evenly buckets fill. They are the only thing that reaches the driver, and
-    their number does not depend on the data.
+    A sample of the rows is cut into sqrt(n) parts, and each part into sqrt(n) again. Cuts
+    decide only how evenly buckets fill. They are 8 bytes on the driver for BUCKET_ROWS rows.
+    ``collapsed`` is read three times: pass a stored table.
     """
-    def sketch(column):
-        return F.expr(f"percentile_approx({column}, array({_CUTS}), {_SKETCH_ACCURACY})")
-
-    per_group = _in_groups(df.select(F.col(order).cast("double").alias("v"))).groupBy("__group").agg(
-        sketch("v").alias("qs"), F.count("v").alias("n")
-    )
-    merged, n = per_group.select(F.posexplode("qs").alias("i", "v"), "n").agg(
-        sketch("v"), F.sum(F.when(F.col("i") == 0, F.col("n")))
-    ).first()
-    if (n or 0) <= ONE_TASK_ROWS:
+    rows = collapsed.count()
+    parts = math.ceil(math.sqrt(math.ceil(rows / BUCKET_ROWS)))
+    if parts < 2:
         return []
-    return sorted({q for q in merged or [] if math.isfinite(q)})
+    share = min(1.0, DRAWN_PER_BUCKET / BUCKET_ROWS)
+    drawn = collapsed.where(F.pmod(F.xxhash64(*collapsed.columns), F.lit(1 << 32)) < int(share * (1 << 32))).select(
+        F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    coarse = drawn.agg(F.expr(f"percentile_approx(v, {_evenly(parts)})")).first()[0]
+    coarse = sorted({q for q in coarse or [] if math.isfinite(q)})
+    fine = with_order_bucket(drawn, "v", coarse).groupBy("__bucket").agg(F.expr(f"percentile_approx(v, {_evenly(parts)})").alias("qs"))
+    return sorted({*coarse, *(q for r in fine.collect() for q in r["qs"] or [] if math.isfinite(q))})
 
 
 def with_order_bucket(df: DataFrame, order: str, splits: Sequence[float]) -> DataFrame:
     """Add ``__bucket``, a monotone and evenly filled function of the numeric ``order`` column."""
+    if not splits:
+        return df.withColumn("__bucket", F.lit(0.0))
     lookup = Bucketizer(
         splits=[float("-inf"), *splits, float("inf")], inputCol="__order", outputCol="__bucket",
         handleInvalid="keep",
@@ -74,62 +73,47 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     keys: Sequence[str] = (),
     descending: bool = False,
-    splits: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per (keys, order value) with running aggregates in that order.
 
-    ``aggs`` maps a name to ``(kind, column)``, kind being sum, min or max.
-    ``splits`` replaces the sampled cuts of the order axis; a caller that knows
-    its groups to be small passes none at all.
-    For each name the result has ``name`` (this order value alone),
-    ``name_run`` (up to and including it) and ``name_total`` (the whole key).
+    ``aggs`` maps a name to ``(kind, column)``, kind being sum, min or max. Rows
+    without an order value are left out. For each name the result has ``name``
+    (this order value alone), ``name_run`` (up to and including it) and
+    ``name_total`` (the whole key).
+
+    Keys and bucket are one struct, in which NULLs are equal: the join with the
+    starting points and the window use the same exchange of the stored rows.
     """
     keys = list(keys)
-    if splits is None:
-        splits = order_splits(df, order)
-    collapsed = df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(
+    collapsed = staged(df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(
         *[_FOLD[kind](col).alias(name) for name, (kind, col) in aggs.items()]
-    )
-    rows = with_order_bucket(collapsed, order, splits) if splits else collapsed
+    ), "collapsed")
+    splits = order_splits(collapsed.select(*keys, order), order)
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__bucket").cast("int").alias("b"))
+    rows = with_order_bucket(collapsed, order, splits).withColumn("__at", place)
 
     def ordered(partition, column):
         spec = Window.partitionBy(*partition)
         return spec.orderBy(F.col(column).desc() if descending else F.col(column).asc())
 
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    if not splits:
-        inside = ordered(keys or [F.lit(0)], order).rowsBetween(*so_far)
-        whole = Window.partitionBy(*(keys or [F.lit(0)]))
-        return rows.select(*keys, order, *[c for name, (kind, _) in aggs.items() for c in (
-            F.col(name),
-            _FOLD[kind](name).over(inside).alias(f"{name}_run"),
-            _FOLD[kind](name).over(whole).alias(f"{name}_total"),
-        )])
-
-    inside = ordered([f"rows.{c}" for c in (*keys, "__bucket")], f"rows.{order}").rowsBetween(*so_far)
-    # At most N_BUCKETS rows per key reach these two windows.
-    earlier = ordered(keys or [F.lit(0)], "__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    one_key = [f"__at.k{i}" for i in range(len(keys))] or [F.lit(0)]
+    # A row for each key and bucket reaches these two windows.
+    earlier = ordered(one_key, "__at.b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*one_key)
     starts = (
-        rows.groupBy(*keys, "__bucket")
-        .agg(*[_FOLD[kind](name).alias(name) for name, (kind, _) in aggs.items()])
+        rows.groupBy("__at").agg(*[_FOLD[kind](name).alias(name) for name, (kind, _) in aggs.items()])
         .select(
-            *keys, "__bucket",
+            F.col("__at").alias("__start"),
             *[_FOLD[kind](name).over(earlier).alias(f"__before_{name}") for name, (kind, _) in aggs.items()],
             *[_FOLD[kind](name).over(whole).alias(f"{name}_total") for name, (kind, _) in aggs.items()],
         )
     )
-    same = F.col("rows.__bucket") == F.col("starts.__bucket")
-    for k in keys:
-        same = same & F.col(f"rows.{k}").eqNullSafe(F.col(f"starts.{k}"))
-    inside_fold = {
-        name: _FOLD[kind](f"rows.{name}").over(inside) for name, (kind, _) in aggs.items()
-    }
-    return rows.alias("rows").join(starts.alias("starts"), same).select(
-        *[F.col(f"rows.{c}").alias(c) for c in (*keys, order)],
+    inside = ordered(["__at"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(starts, F.col("__at") == F.col("__start")).select(
+        *keys, order,
         *[c for name, (kind, _) in aggs.items() for c in (
-            F.col(f"rows.{name}").alias(name),
-            _join_kind(kind, F.col(f"__before_{name}"), inside_fold[name]).alias(f"{name}_run"),
+            F.col(name),
+            _join_kind(kind, F.col(f"__before_{name}"), _FOLD[kind](name).over(inside)).alias(f"{name}_run"),
             F.col(f"{name}_total"),
         )],
     )
@@ -175,8 +159,8 @@ def exact_quantiles(
     return counts.groupBy(*keys).agg(*found).select(*keys, *out)
 
 
-# Relative rank error of the sketch that brackets a column's quantile.
-_BRACKET_ERROR = 0.001
+# Rank errors for which a sketch brackets a quantile, the narrow one first.
+_BRACKET_ERRORS = (0.002, 0.02, 0.2)
 
 
 def _double(x: float) -> str:
@@ -191,50 +175,56 @@ def column_quantiles(
 ) -> DataFrame:
     """(feature, one column per quantile): exact quantiles of whole columns.
 
-    Sketches of all columns, made in one pass, bracket each quantile; a second
-    pass counts what lies below and inside each bracket; only values inside a
-    bracket (some thousandths of the rows) are shuffled to find the exact rank.
-    Should a bracket miss its rank, it is widened to everything.
+    Rows are dealt round robin into groups, so that a group looks like the whole
+    however the input is sorted. Sketches of the groups bracket each quantile at
+    several widths; a second pass counts what lies below and inside each bracket,
+    and the values inside the narrowest one that holds the rank are shuffled to
+    find it. The last bracket is the whole axis, so every rank has one.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile method {method!r}")
     spark = df.sparkSession
     names = list(quantiles)
     values = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
-    edges = ", ".join(
-        _double(min(max(q + side, 0.0), 1.0))
-        for q in quantiles.values() for side in (-2 * _BRACKET_ERROR, 2 * _BRACKET_ERROR)
-    )
-    accuracy = int(1 / _BRACKET_ERROR)
-    per_group = _in_groups(values).groupBy("__group").agg(*[
+    schema = "feature string, quantile string, low long, high long, part double, lo double, hi double"
+    sides = [side * e for e in _BRACKET_ERRORS for side in (-1, 1)]
+    edges = ", ".join(_double(min(max(q + side, 0.0), 1.0)) for q in quantiles.values() for side in sides)
+    accuracy = int(2 / _BRACKET_ERRORS[0])
+    rows = values.count()
+    groups = min(_SKETCH_GROUPS, max(1, rows // _GROUP_ROWS))
+    dealt = values.withColumn("__group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    per_group = dealt.groupBy("__group").agg(*[
         F.expr(f"percentile_approx(`{c}`, array({edges}), {accuracy})").alias(f"q{i}") for i, c in enumerate(columns)
     ])
     # The overall quantile lies between the smallest and the largest of the groups' own.
     sketched = per_group.agg(*[
-        F.expr(part) for i in range(len(columns)) for j in range(len(names))
-        for part in (f"min(q{i}[{2 * j}])", f"max(q{i}[{2 * j + 1}])")
+        F.expr(f"{'min' if k % 2 == 0 else 'max'}(q{i}[{len(sides) * j + k}])")
+        for i in range(len(columns)) for j in range(len(names)) for k in range(len(sides))
     ]).first()
-    found = iter(zip(sketched[::2], sketched[1::2]))
-    brackets = {(c, name): edge for c in columns for name in names if (edge := next(found))[0] is not None}
-    schema = "feature string, quantile string, low long, high long, part double, lo double, hi double"
+    found = iter(sketched)
+    brackets = {}
+    for c in columns:
+        for name in names:
+            ends = [next(found) for _ in sides]
+            if ends[0] is not None:
+                brackets[c, name] = [*zip(ends[::2], ends[1::2]), (float("-inf"), float("inf"))]
     if not brackets:
         return spark.createDataFrame([], "feature string, " + ", ".join(f"`{n}` double" for n in names))
-    counted = values.agg(*[
-        F.expr(part) for (c, _), (lo, hi) in brackets.items() for part in (
-            f"count(`{c}`)", f"count_if(`{c}` < {_double(lo)})",
-            f"count_if(`{c}` BETWEEN {_double(lo)} AND {_double(hi)})",
+    counted = iter(values.agg(*[
+        F.expr(part) for (c, _), ladder in brackets.items() for part in (
+            f"count(`{c}`)", *(x for lo, hi in ladder for x in (
+                f"count_if(`{c}` < {_double(lo)})", f"count_if(`{c}` BETWEEN {_double(lo)} AND {_double(hi)})")),
         )
-    ]).first()
-    targets, widened = [], False
-    for i, ((c, name), (lo, hi)) in enumerate(brackets.items()):
-        n, below, inside = counted[3 * i: 3 * i + 3]
-        position = (n - 1) * quantiles[name]
+    ]).first())
+    targets = []
+    for (c, name), ladder in brackets.items():
+        position = (next(counted) - 1) * quantiles[name]
         if method == "nearest":
             low = high = math.floor(position + 0.5)
         else:
             low, high = math.floor(position), math.ceil(position)
-        if not (below <= low and high < below + inside):
-            lo, hi, below, widened = float("-inf"), float("inf"), 0, True
+        sized = [(lo, hi, next(counted), next(counted)) for lo, hi in ladder]
+        lo, hi, below, _ = next(x for x in sized if x[2] <= low and high < x[2] + x[3])
         targets.append((c, name, low - below, high - below, position - low if low < high else 0.0, lo, hi))
     cells = ", ".join(
         f"IF(`{c}` BETWEEN {_double(lo)} AND {_double(hi)}, "
@@ -242,10 +232,7 @@ def column_quantiles(
         for c, name, _, _, _, lo, hi in targets
     )
     near = values.selectExpr(f"inline(array_compact(array({cells})))")
-    small = all(counted[3 * i + 2] <= ONE_TASK_ROWS for i in range(len(targets))) and not widened
-    ranked = running(
-        near, "value", {"n": ("sum", F.lit(1))}, ["feature", "quantile"], splits=[] if small else None
-    ).join(
+    ranked = running(near, "value", {"n": ("sum", F.lit(1))}, ["feature", "quantile"]).join(
         spark.createDataFrame(targets, schema), ["feature", "quantile"]
     )
     ends = ranked.groupBy("feature", "quantile", "part").agg(

@@ -1,11 +1,13 @@
 """Exact, reproducible sampling and ranking by a hash of the row keys.
 
-``rand(seed)`` depends on partitioning; a hash of the keys does not. The first
-hex digits of the hash cut rows into at most 65,536 even buckets, so exact
-ranks need bucket counts plus a sort inside each bucket, never a global sort.
-``keys`` must identify a row.
+``rand(seed)`` depends on partitioning; a hash of the keys does not. The first hex
+digits of the hash cut rows into even buckets, so exact ranks need bucket counts
+plus a sort inside each bucket, never a global sort. As many digits are taken as
+buckets of about BUCKET_ROWS rows need. ``keys`` must identify a row. NULL is a
+stratum like any other.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,21 +15,24 @@ from pyspark.sql import functions as F
 
 from presage.functions import hash_order
 
-_PREFIX_DIGITS = 4  # 16**4 buckets
+BUCKET_ROWS = 8192
 
 
-def _hashed(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    h = df.withColumn("__h", hash_order(keys, seed))
-    return h.withColumn("__b", F.conv(F.substring("__h", 1, _PREFIX_DIGITS), 16, 10).cast("int"))
+def _hashed(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence[str] = ()) -> DataFrame:
+    """Add ``__h``, and ``__at``: strata and bucket in one struct, in which NULLs are equal."""
+    digits = min(7, max(1, math.ceil(math.log(max(df.count() / BUCKET_ROWS, 1), 16))))
+    bucket = F.conv(F.substring("__h", 1, digits), 16, 10).cast("int")
+    return df.withColumn("__h", hash_order(keys, seed)).withColumn(
+        "__at", F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(strata)], bucket.alias("b")))
 
 
-def _bucket_counts(hashed: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """(strata, __b, __before, __size, __total): where each bucket starts and how big all are."""
-    counts = hashed.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__size"))
-    part = list(strata) or [F.lit(0)]
-    earlier = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+def _bucket_counts(hashed: DataFrame, n_strata: int = 0) -> DataFrame:
+    """(__start, __before, __size, __total): where each bucket starts and how big all are."""
+    counts = hashed.groupBy("__at").agg(F.count(F.lit(1)).alias("__size"))
+    part = [f"__at.s{i}" for i in range(n_strata)] or [F.lit(0)]
+    earlier = Window.partitionBy(*part).orderBy("__at.b").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
-        *strata, "__b", "__size",
+        F.col("__at").alias("__start"), "__size",
         F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"),
         F.sum("__size").over(Window.partitionBy(*part)).alias("__total"),
     )
@@ -39,11 +44,10 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence
 
     A stratum may hold nearly all rows: ranks are taken inside (stratum, bucket).
     """
-    strata = list(strata)
-    hashed = _hashed(df, keys, seed)
-    starts = _bucket_counts(hashed, strata)
-    inside = Window.partitionBy(*strata, "__b").orderBy("__h", *keys)
-    ranked = hashed.join(starts, [*strata, "__b"]).withColumn(
+    hashed = _hashed(df, keys, seed, strata)
+    starts = _bucket_counts(hashed, len(strata))
+    inside = Window.partitionBy("__at").orderBy("__h", *keys)
+    ranked = hashed.join(starts, F.col("__at") == F.col("__start")).withColumn(
         rank, F.row_number().over(inside) + F.col("__before")
     )
     extra = [F.col("__total").alias(size)] if size else []
@@ -53,25 +57,23 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence
 def sample_exact(df: DataFrame, n: int | Column, keys: Sequence[str], seed: int) -> DataFrame:
     """The first ``n`` rows in hash order; all rows when there are fewer.
 
-    Only kept rows are shuffled: buckets past the cut are filtered out first,
-    and ranks matter in the single bucket that holds the cut.
+    Whole buckets before the cut are kept as they lie; only the bucket that holds
+    the cut is shuffled and ranked.
     """
     n = F.lit(n) if isinstance(n, int) else n
     hashed = _hashed(df, keys, seed)
     cut = (
-        _bucket_counts(hashed, [])
+        _bucket_counts(hashed)
         .withColumn("__n", n)
         .where((F.col("__before") < F.col("__n")))
-        .agg(F.max(F.struct("__b", (F.col("__n") - F.col("__before")).alias("need"))).alias("cut"))
+        .agg(F.max(F.struct("__start.b", (F.col("__n") - F.col("__before")).alias("need"))).alias("cut"))
         .scalar()
     )
-    near = hashed.withColumn("__cut", cut).where(F.col("__b") <= F.col("__cut.__b"))
-    inside = Window.partitionBy("__b").orderBy("__h", *keys)
-    return (
-        near.withColumn("__rn", F.row_number().over(inside))
-        .where((F.col("__b") < F.col("__cut.__b")) | (F.col("__rn") <= F.col("__cut.need")))
-        .select(*df.columns)
-    )
+    marked = hashed.withColumn("__cut", cut)
+    inside = Window.partitionBy("__at").orderBy("__h", *keys)
+    last = marked.where(F.col("__at.b") == F.col("__cut.b")).withColumn("__rn", F.row_number().over(inside))
+    return marked.where(F.col("__at.b") < F.col("__cut.b")).select(*df.columns).unionByName(
+        last.where(F.col("__rn") <= F.col("__cut.need")).select(*df.columns))
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:

@@ -9,23 +9,26 @@ from presage.operators.metrics import evaluate
 
 
 def with_time_bin(df: DataFrame, n_bins: int = 3, time: str = "window_end") -> DataFrame:
-    """Add ``bin`` (1..n): equal-width, half-open pieces of the time span, the last closed."""
+    """Add ``bin`` (1..n): equal-width, half-open pieces of the time span, the last closed.
+    A row without time has no bin."""
     span = df.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi"))).scalar()
     width = (F.col("__span.hi") - F.col("__span.lo")) / F.lit(float(n_bins))
     place = F.when(width > 0, F.floor((F.col(time) - F.col("__span.lo")) / width)).otherwise(0)
     return df.withColumn("__span", span).withColumn(
-        "bin", (F.least(place, F.lit(n_bins - 1)) + 1).cast("int")
+        "bin", F.when(F.col(time).isNotNull(), F.least(place, F.lit(n_bins - 1)) + 1).cast("int")
     ).drop("__span")
 
 
 def drift_by_bin(scored: DataFrame, threshold: Column | float, n_bins: int = 3, score: str = "score",
                  label: str = TASK_LABEL, strict: bool = False) -> DataFrame:
-    """All metrics per time bin at a threshold that is not re-tuned."""
+    """All metrics per time bin at a threshold that is not re-tuned. Rows without time are a group of their own,
+    whose bin is NULL."""
     binned = with_time_bin(scored, n_bins)
     spans = binned.groupBy("bin").agg(
         days(F.min("window_end")).alias("first_day"), days(F.max("window_end")).alias("last_day")
-    )
-    return evaluate(binned, label, score, threshold, by=["bin"], strict=strict).join(spans, "bin")
+    ).withColumnRenamed("bin", "__bin")
+    rows = evaluate(binned, label, score, threshold, by=["bin"], strict=strict)
+    return rows.join(spans, F.col("bin").eqNullSafe(F.col("__bin"))).drop("__bin")
 
 
 def drift_verdict(bins: DataFrame, tolerance: float = 0.02) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from presage.config import FEATURE_GROUPS, TASK_FEATURES, TASK_LABEL, check_feature_groups
 from presage.operators.metrics import PROBABILITY_GRID, best_threshold, evaluate, threshold_sweep
-from presage.operators.sampling import random_holdout, stratified_folds, stratified_holdout
+from presage.operators.sampling import stratified_folds, stratified_holdout
 from presage.operators.sequences import flat_vector
 from presage.operators.split import balanced_weights
 from presage.session import staged
@@ -161,12 +161,9 @@ def refit_tuned(train: DataFrame, keys: Sequence[str], best: TreeParams, min_tre
 
 
 def fit_sequence_net(train: DataFrame, length: int, n_features: int = len(TASK_FEATURES),
-                     label: str = TASK_LABEL, hidden: int = 64, max_iter: int = 50,
-                     keys: Sequence[str] = ()) -> PipelineModel:
-    """A one-hidden-layer net over the flattened lookback sequence."""
+                     label: str = TASK_LABEL, hidden: int = 64, max_iter: int = 50) -> PipelineModel:
+    """A one-hidden-layer net over the flattened lookback sequence, fitted on all rows."""
     rows = flat_vector(train, output="raw")
-    if keys:
-        rows = random_holdout(rows, keys, 0.1, SEED).where(~F.col("is_validation"))
     return Pipeline(stages=[
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
         MultilayerPerceptronClassifier(

@@ -8,11 +8,10 @@ from presage.operators.joins import latest_as_of, lookback_join, prefix_at
 from presage.operators.ordered import column_quantiles, exact_quantiles, running
 
 
-@pytest.fixture(autouse=True, params=["cut", "whole"])
+@pytest.fixture(autouse=True, params=[64, 8192])
 def path(request, monkeypatch):
-    """Both ways of ordering: small groups whole, and everything in cut pieces."""
-    if request.param == "cut":
-        monkeypatch.setattr(ordered, "ONE_TASK_ROWS", -1)
+    """The same plan with many buckets and with few."""
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", request.param)
 
 
 @pytest.fixture(scope="module")
@@ -72,10 +71,24 @@ def test_column_quantiles(spark):
     assert exact_quantiles(empty, "a", {"p50": 0.5}).first()["p50"] is None
 
 
-def test_a_missed_bracket_is_widened(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "_BRACKET_ERROR", 0.4)
-    df = spark.createDataFrame([(float(i),) for i in range(1001)], "x double")
-    assert column_quantiles(df, ["x"], {"m": 0.5}).first()["m"] == 500.0
+def test_brackets_stay_narrow_on_sorted_input(spark, monkeypatch):
+    seen, plain = [], ordered.running
+    monkeypatch.setattr(ordered, "running", lambda df, *a, **k: (seen.append(df.count()), plain(df, *a, **k))[1])
+    df = spark.range(0, 1_000_000, 1, 100).select(F.col("id").cast("double").alias("x"))
+    assert column_quantiles(df, ["x"], {"m": 0.5}).first()["m"] == 499_999.5
+    assert seen[0] < 20_000
+
+
+def test_one_exchange_after_the_collapse(spark, skewed):
+    _, df = skewed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = running(df, "v", {"n": ("sum", F.lit(1))}, ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one of the rows, one of the bucket totals, and those of the small table of starts
+    over_rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(__at" in line]
+    assert len(over_rows) == 2
 
 
 def test_partition_count_does_not_matter(spark, skewed):
@@ -148,12 +161,18 @@ def test_buckets_stay_small_for_a_hot_key(spark):
     df = spark.createDataFrame(
         [("hot" if i % 3 == 0 else str(i % 50), float(v)) for i, v in enumerate(values)], "k string, v double"
     ).repartition(6)
-    splits = ordered.order_splits(df, "v") or [0.0]
-    if ordered.ONE_TASK_ROWS < 0:
-        sizes = ordered.with_order_bucket(df, "v", splits).groupBy("__bucket").count()
-        assert sizes.agg(F.max("count")).first()[0] < 8 * 60000 / ordered.N_BUCKETS
-        assert sizes.count() > ordered.N_BUCKETS // 2
+    sizes = ordered.with_order_bucket(df, "v", ordered.order_splits(df, "v")).groupBy("__bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] < 8 * ordered.BUCKET_ROWS
+    assert sizes.count() >= 60000 / ordered.BUCKET_ROWS / 4
     total = running(df, "v", {"n": ("sum", F.lit(1))}, ["k"]).groupBy("k").agg(F.max("n_run").alias("a"), F.max("n_total").alias("b"))
     assert {r["k"]: r["a"] for r in total.collect()} == {r["k"]: r["b"] for r in total.collect()} == {
         r["k"]: r["count"] for r in df.groupBy("k").count().collect()
     }
+
+
+def test_one_value_does_not_eat_the_cuts(spark):
+    """99 % zeros and 4,000 distinct values: the collapsed rows are what is cut."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 100 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    collapsed = df.groupBy("v").count()
+    sizes = ordered.with_order_bucket(collapsed, "v", ordered.order_splits(collapsed, "v")).groupBy("__bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] < 8 * ordered.BUCKET_ROWS

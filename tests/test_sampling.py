@@ -32,6 +32,21 @@ def test_ranks_within_strata(rows):
         assert [got[i] for i in order] == [(k + 1, len(order)) for k in range(len(order))]
 
 
+def test_null_is_a_stratum(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("y"))
+    assert stratified_folds(df, "y", ["id"], 3, 1).groupBy("y", "fold").count().where("count <> IF(y IS NULL, 10, 5)").count() == 0
+    assert stratified_holdout(df, "y", ["id"], 0.1, 1).where("is_validation").groupBy("y").count().where("y IS NULL").first()["count"] == 3
+
+
+@pytest.mark.parametrize("size", [1, 8192])
+def test_bucket_size_changes_nothing(rows, size, monkeypatch):
+    from presage.operators import sampling
+
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", size)
+    got = sorted(r["id"] for r in sample_exact(rows, 999, ["id"], 42).collect())
+    assert got == sorted(sorted(range(3000), key=lambda i: (md5(42, i), i))[:999])
+
+
 def test_folds_and_holdout_are_even(rows):
     folds = stratified_folds(rows, "y", ["id"], 3, 1).groupBy("y", "fold").count().collect()
     assert {r["count"] for r in folds if r["y"] == 1} == {50} and {r["count"] for r in folds if r["y"] == 0} == {950}
