@@ -9,11 +9,13 @@ and an element stops once j passes the largest rank that any slot still holds.
 Documents with equal sets form a class and only its first member goes on. Signatures are
 cut into ``BANDS`` bands of ``ROWS`` slots; documents that agree in a band meet in its
 bucket. With 4 slots a band and 32 bands a pair of similarity 0.8 is missed with a chance
-of 5e-8. In a bucket everyone is first compared with one leader, drawn anew for each
-bucket; links are verified on full sets and joined to components. Then buckets that still
-hold several components are finished: their members are compared across components only.
-So a group of near copies costs a few comparisons a document and not all pairs, while no
-link that could join two components is left out.
+of 5e-8. In a bucket everyone is compared with one
+leader, the document that meets most others, on full sets; links are joined to components.
+What a leader leaves apart is then compared with the rest of its group, block by block:
+how two documents differ from their leader says exactly how much they share, and an index
+of these differences finds it without going through pairs one by one. So a group of near
+copies costs a comparison or two a document, and no link that could join two components
+is left out.
 
 Components: edges are first contracted by union-find inside each task to at most a
 forest; then smallest labels are passed along (large-star, small-star) until they rest.
@@ -41,6 +43,8 @@ from presage.session import staged
 ROWS, BANDS = 4, 32
 SLOTS = ROWS * BANDS
 CACHE_WORDS = 400_000
+#: A block of documents that a leader left apart, or of its group.
+BLOCK_ROWS, BLOCK_BYTES = 48, 4_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -142,30 +146,88 @@ def signed_sets(docs: DataFrame, n: int, seed: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """u, v of the pairs whose sets have at least ``percent`` of their union in common, by full sets."""
+COMPARED = "u long, v long, n_u long, n_v long, both long, apart binary"
+
+
+def compared(pairs: DataFrame, texts: DataFrame, n: int, differences: bool) -> DataFrame:
+    """u, v, the sizes of their full sets and of what they share. With ``differences`` also the elements that
+    only one of them has, those of u told apart by a flipped bit."""
     small_batches(pairs.sparkSession)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, mine = Shingles(n), None, None
         for batch in batches:
-            keep = []
+            sizes, apart = [], []
             for u, tu, tv in zip(batch.column("u").to_pylist(), batch.column("tu").to_pylist(), batch.column("tv").to_pylist()):
                 if u != last:  # rows of a leader come one after another
                     last, mine = u, shingles(tu)
                 other = shingles(tv)
-                both = np.intersect1d(mine, other, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                both = np.intersect1d(mine, other, assume_unique=True)
+                sizes.append((len(mine), len(other), len(both)))
+                apart.append(np.concatenate([
+                    np.setdiff1d(other, both, assume_unique=True), ~np.setdiff1d(mine, both, assume_unique=True),
+                ]).tobytes() if differences else None)
+            columns = [pa.array(x, pa.int64()) for x in zip(*sizes)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("v"), *columns, pa.array(apart, pa.binary())], ["u", "v", "n_u", "n_v", "both", "apart"])
 
     left = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
     return left.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select(
-        "u", "v", "tu", "tv").mapInArrow(check, "u long, v long")
-
-
-def _alike_sizes(percent: int):
-    small, large = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-    return 100 * small >= percent * large
+        "u", "v", "tu", "tv").mapInArrow(check, COMPARED)
+
+
+def linked(overlap, n_u, n_v, percent: int):
+    return 100 * overlap >= percent * (n_u + n_v - overlap)
+
+
+def links_of_block(block: pa.Table, percent: int) -> pa.Table:
+    """u, v of documents that the leader of their group left apart (side 0) and any others of it (side 1). With
+    o_x, o_y elements in common with the leader of n_u elements, two documents share exactly
+    o_x + o_y - n_u + (differences from the leader that they share) elements."""
+    side = block.column("side").to_numpy()
+    ids, parts, n, both, n_u = (block.column(c).to_numpy() for c in ("v", "component", "n_v", "both", "n_u"))
+    apart = [np.frombuffer(x, np.uint64) for x in block.column("apart").to_pylist()]
+    right = np.flatnonzero(side == 1)
+    tokens = np.concatenate([apart[j] for j in right] or [np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(right)), [len(apart[j]) for j in right])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    found = []
+    for i in np.flatnonzero(side == 0):
+        low, high = np.searchsorted(tokens, apart[i], "left"), np.searchsorted(tokens, apart[i], "right")
+        hit = low < high
+        at = np.concatenate([owner[a:b] for a, b in zip(low[hit], high[hit])] or [np.empty(0, np.int64)])
+        overlap = both[i] + both[right] - n_u[i] + np.bincount(at, minlength=len(right))
+        for j in right[linked(overlap, n[i], n[right], percent) & (parts[right] != parts[i])]:
+            found.append((ids[i], ids[j]))
+    u, v = zip(*found) if found else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def left_apart(compared_pairs: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v of the links between documents that meet in a bucket and that its leader has not joined.
+
+    Each group of a leader is cut into blocks; every block of documents outside the leader's component meets
+    every block of the group in a task of its own, which finds links by an index of differences."""
+    label = found.withColumnRenamed("component", "c")
+    placed = compared_pairs.select("u", "v").join(label.withColumnRenamed("node", "v"), "v", "left").select(
+        "u", "v", F.coalesce("c", "v").alias("component"))
+    placed = placed.join(label.withColumnRenamed("node", "u"), "u", "left").select(
+        "u", "v", "component", (F.col("component") != F.coalesce("c", "u")).alias("outside"))
+    open_groups = placed.groupBy("u").agg(F.count(F.lit(1)).alias("all"), F.count_if("outside").alias("out")).where("all > 1 and out > 0")
+    members = staged(placed.join(open_groups, "u"), "apart")
+    detail = compared(members.select("u", "v"), texts, n, True).withColumnsRenamed({"u": "x", "v": "y"})
+    rows = staged(members.join(detail, (F.col("u") == F.col("x")) & (F.col("v") == F.col("y"))).drop("x", "y"), "differences")
+    size = rows.groupBy("u").agg(
+        F.ceil(F.greatest(F.count_if("outside") / BLOCK_ROWS, F.sum(F.when(F.col("outside"), F.octet_length("apart"))) / BLOCK_BYTES)).cast("int").alias("outs"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.octet_length("apart")) / BLOCK_BYTES)).cast("int").alias("alls"))
+    sized = rows.drop("all", "out").join(size, "u")
+    own = lambda seed, parts: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    values = ("u", "v", "component", "n_v", "both", "n_u", "apart")
+    left = sized.where("outside").select(*values, F.lit(0).alias("side"), own(1, "outs").alias("i"), every("alls").alias("j"))
+    right = sized.select(*values, F.lit(1).alias("side"), own(2, "alls").alias("j"), every("outs").alias("i"))
+    return left.unionByName(right).groupBy("u", "i", "j").applyInArrow(lambda t: links_of_block(t, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -174,30 +236,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = staged(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    slots = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    draw = F.xxhash64("id", "key")
-    led = slots.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct(draw.alias("draw"), F.col("id").alias("id"), F.col("n").alias("n"))).alias("leader"),
-    ).where("members > 1")
-    members = staged(slots.join(led.select("key", "leader.id", "leader.n").toDF("key", "u", "n_u"), "key"), "members")
-
-    starred = members.where("id != u").select("u", F.col("id").alias("v"), "n_u", F.col("n").alias("n_v"))
-    pairs = staged(starred.where(_alike_sizes(percent)).select("u", "v").distinct(), "pairs")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    slots = firsts.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    shared = slots.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = staged(slots.join(shared, "key"), "members")
+    # the document that meets most others leads its buckets: in a group of copies the one that they come from
+    met = members.groupBy("id").agg(F.sum("members").alias("met"))
+    led = members.join(met, "id").groupBy("key").agg(F.min(F.struct(-F.col("met"), F.col("id").alias("id"))).alias("leader"))
+    pairs = staged(members.join(led, "key").select(F.col("leader.id").alias("u"), F.col("id").alias("v")).where("u != v").distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
-    links = staged(verified(pairs, texts, n, percent), "links")
+    star = staged(compared(pairs, texts, n, False).drop("apart"), "star")
+    links = star.where(linked(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
     found = components(links)
-
-    # what the leaders left apart: buckets with several components, across components only
-    placed = members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    apart = staged(placed.join(mixed, "key", "left_semi"), "apart")
-    one = apart.select("key", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
-    two = apart.select("key", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-    crossed = one.join(two, "key").where(_alike_sizes(percent) & (F.col("c_u") != F.col("c_v")) & (F.col("u") < F.col("v"))).select("u", "v").distinct()
-    known = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = staged(verified(staged(crossed.join(known, ["u", "v"], "left_anti"), "crossed"), texts, n, percent), "more")
+    more = staged(left_apart(star, found, texts, n, percent), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
