@@ -5,8 +5,7 @@ vector x gets sqrt(M^2 - |x|^2) and a query gets 0, so d(q, x)^2 = |q|^2 + M^2 -
 the nearest vectors are those of the highest score.
 
 Up to ``PIVOTS`` drawn vectors cut the space into regions; a region is dealt by a hash
-into parts of at most about ``TREE_ROWS`` rows (more when there are very many rows), and
-each part becomes an M-tree. Its pages are nodes of at most ``PAGE`` entries. An entry
+into parts of some 512 to 65,536 rows, and each part becomes an M-tree. Its pages are nodes of at most ``PAGE`` entries. An entry
 holds its object's distance to the node's routing object; entries of inner nodes also
 hold the covering radius of the page below.
 
@@ -33,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +40,9 @@ from pyspark.sql.window import Window
 from presage.llm.common import ceil_div
 from presage.session import staged
 
-PIVOTS, TREE_ROWS, PAGE, FANOUT, BLOCK = 256, 512, 48, 12, 4096
+PIVOTS, PAGE, FANOUT, BLOCK, BATCH = 256, 128, 12, 4096, 64
+#: Rows of a tree: as many as leave TREES trees, within these bounds.
+TREES, LEAST_ROWS, MOST_ROWS = 32, 512, 65_536
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -56,8 +58,8 @@ def _distance(dots: np.ndarray, reach: float) -> np.ndarray:
 
 
 class Tree:
-    """One M-tree. Objects are rows of ``x`` (with the added coordinate); nodes are
-    (leaf?, members, distance to the routing object, radii, child nodes)."""
+    """One M-tree. Objects are rows of ``x`` (with the added coordinate); nodes are (objects, their vectors,
+    distances to the routing object, radii, child nodes), leaves without the last two."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, norm2: float, seed: int = 1):
         rest = np.sqrt(np.maximum(norm2 - (v * v).sum(axis=1), 0.0))
@@ -65,7 +67,7 @@ class Tree:
         self.nodes: list[tuple] = []
         self._rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(ids)), None)[0]
-        del self._rng
+        del self._rng, self.x, self.ids
 
     def _from(self, obj: int, rows: np.ndarray) -> np.ndarray:
         return _distance(self.x[rows] @ self.x[obj], 2.0 * self.norm2)
@@ -75,7 +77,7 @@ class Tree:
         to = self._from(router, rows) if router is not None else np.zeros(len(rows))
         radius = float(to.max()) if len(rows) else 0.0
         if len(rows) <= PAGE:
-            self.nodes.append((True, rows, to, None, None))
+            self.nodes.append((self.ids[rows], np.ascontiguousarray(self.x[rows, :-1]), to, None, None))
             return len(self.nodes) - 1, radius
         routers = self._rng.choice(rows, min(FANOUT, ceil_div(len(rows), PAGE)), replace=False)
         nearest = np.argmin(np.stack([self._from(r, rows) for r in routers]), axis=0)
@@ -84,49 +86,64 @@ class Tree:
         parts = [(int(r), rows[nearest == k]) for k, r in enumerate(routers) if (nearest == k).any()]
         below = [self._build(part, r) for r, part in parts]
         heads = np.array([r for r, _ in parts])
-        self.nodes.append((False, heads, self._from(router, heads) if router is not None else np.zeros(len(heads)),
+        self.nodes.append((self.ids[heads], np.ascontiguousarray(self.x[heads, :-1]), self._from(router, heads) if router is not None else np.zeros(len(heads)),
                            np.array([b[1] for b in below]), [b[0] for b in below]))
         return len(self.nodes) - 1, radius
 
-    def search(self, q: np.ndarray, k: int, own: int, bound: float = np.inf) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id) within ``bound``, and how many distances were computed."""
-        q = np.append(q, 0.0)
-        reach = float(q @ q) + self.norm2
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray, bounds: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
+        """The k best (score, id) of each query within its bound, and how many distances were computed.
+
+        The queries of a batch take pages together, the page that is nearest to any of them first; a query
+        takes part in a page only while its own bounds don't rule the page out."""
+        reach = (queries * queries).sum(axis=1) + self.norm2
         slack = 1e-6 * (1.0 + np.sqrt(reach))
-        kth, best, computed = bound, [], 0
-        pages: list[tuple[float, int, float | None]] = [(0.0, self.root, None)]
+        limit, best, computed, turn = bounds + slack, [[] for _ in queries], 0, 0
+        everywhere = np.zeros(len(queries))
+        pages: list[tuple[float, int, int, np.ndarray, np.ndarray | None]] = [(0.0, turn, self.root, everywhere, None)]
         while pages:
-            least, at, parent = heapq.heappop(pages)
-            if least > kth + slack:
+            least, _, at, low, parent = heapq.heappop(pages)
+            if least > limit.max():
                 break
-            leaf, rows, to, radii, below = self.nodes[at]
+            active = np.flatnonzero(low <= limit)
+            ids, x, to, radii, below = self.nodes[at]
             if parent is None:
-                near = np.arange(len(rows))
+                near = np.arange(len(x))
             else:
-                near = np.flatnonzero(np.abs(parent - to) - (0.0 if leaf else radii) <= kth + slack)
-            if not len(near):
+                gap = np.abs(parent[active] - to[:, None]) - (0.0 if radii is None else radii[:, None])
+                near = np.flatnonzero((gap <= limit[active]).any(axis=1))
+            if not len(near) or not len(active):
                 continue
-            dots = self.x[rows[near]] @ q
-            computed += len(near)
-            d = _distance(dots, reach)
-            if leaf:
-                for i in np.flatnonzero(d <= kth + slack):
-                    if (name := int(self.ids[rows[near[i]]])) != own:
-                        best.append((int(dots[i]), name))
-                best.sort(key=lambda b: (-b[0], b[1]))
-                del best[k:]
-                if len(best) == k:
-                    kth = min(kth, float(np.sqrt(max(reach - 2.0 * best[-1][0], 0.0))))
+            dots = (x if len(near) == len(x) else x[near]) @ queries[active].T
+            computed += dots.size
+            if radii is None:
+                least_dot = (reach[active] - limit[active] ** 2) / 2.0
+                for c in np.flatnonzero(dots.max(axis=0) >= least_dot):
+                    q, mine = active[c], dots[:, c]
+                    if len(mine) > k + 1:  # its own row may be among the best
+                        least_dot[c] = max(least_dot[c], np.partition(mine, -k - 1)[-k - 1])
+                    hits = np.flatnonzero(mine >= least_dot[c])
+                    found = [(-int(mine[i]), int(ids[near[i]])) for i in hits if ids[near[i]] != own[q]]
+                    best[q] = sorted(best[q] + found)[:k]
+                    if len(best[q]) == k:
+                        limit[q] = min(limit[q], np.sqrt(max(reach[q] + 2.0 * best[q][-1][0], 0.0)) + slack[q])
             else:
-                low = np.maximum(d - radii[near], 0.0)
-                for i in np.flatnonzero(low <= kth + slack):
-                    heapq.heappush(pages, (float(low[i]), below[near[i]], float(d[i])))
-        return best, computed
+                d = _distance(dots, reach[active])
+                down = np.maximum(d - radii[near, None], 0.0)
+                for r in np.flatnonzero((down <= limit[active]).any(axis=1)):
+                    lows, parents = np.full(len(queries), np.inf), np.zeros(len(queries))
+                    lows[active], parents[active] = down[r], d[r]
+                    turn += 1
+                    heapq.heappush(pages, (float(down[r].min()), turn, below[near[r]], lows, parents))
+        return [[(-s, name) for s, name in b] for b in best], computed
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
+    if len(flat) == len(column) * dim:
+        return flat.reshape(len(column), dim).astype(float)
     out = np.zeros((len(column), dim))
-    for i, v in enumerate(column.to_pylist()):
+    for i, v in enumerate(np.split(flat, ends[:-1])):
         out[i, : len(v)] = v
     return out
 
@@ -134,7 +151,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 class Index:
     """Stored trees: ``trees`` (tree long, pages binary), and what routes a query to them."""
 
-    def __init__(self, vectors: DataFrame, tree_rows: int = TREE_ROWS, seed: int = 9):
+    def __init__(self, vectors: DataFrame, tree_rows: int | None = None, seed: int = 9):
         n, dim, norm2, most = vectors.select(
             F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)),
             F.coalesce(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.lit(0.0)),
@@ -143,7 +160,7 @@ class Index:
         if float(most) ** 2 * dim >= 2.0**53:
             raise ValueError("inner products could pass 2^53 and would not be exact")
         self.dim, self.norm2 = dim, norm2
-        rows = max(tree_rows, n // 65_536)
+        rows = tree_rows or min(max(n // TREES, LEAST_ROWS), MOST_ROWS)
         drawn = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(PIVOTS, ceil_div(n, rows))).toArrow()
         self.pivots = self._lifted(_matrix(drawn.column("v"), dim))
         regions = staged(self._routed(vectors), "regions")
@@ -185,8 +202,11 @@ class Index:
             out: list[tuple[int, int, int]] = []
             if tree.num_rows and queries.num_rows:
                 held = pickle.loads(tree.column("pages")[0].as_py())
-                for name, q, bound in zip(queries.column("id").to_pylist(), _matrix(queries.column("v"), dim), queries.column("bound").to_pylist()):
-                    out += [(name, other, score) for score, other in held.search(q, k, name, bound)[0]]
+                names, v, bounds = queries.column("id").to_numpy(), _matrix(queries.column("v"), dim), queries.column("bound").to_numpy()
+                for at in range(0, len(names), BATCH):
+                    part = slice(at, at + BATCH)
+                    for name, best in zip(names[part], held.search(v[part], k, names[part], bounds[part])[0]):
+                        out += [(int(name), other, score) for score, other in best]
             columns = list(zip(*out)) or [(), (), ()]
             return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), columns)})
 
