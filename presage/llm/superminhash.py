@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     led = members.join(met, "id").groupBy("key").agg(F.min(F.struct(-F.col("met"), F.col("id").alias("id"))).alias("leader"))
     pairs = staged(members.join(led, "key").select(F.col("leader.id").alias("u"), F.col("id").alias("v")).where("u != v").distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
+    # ids grow with the documents: they are merged, not broadcast while they happen to be few
+    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     star = staged(compared(pairs, texts, n, False).drop("apart"), "star")
     links = star.where(linked(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
     found = components(links)
