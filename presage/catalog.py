@@ -66,7 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- tables and manifests
 
-PROFILED = ("events", "lineitem", "orders", "documents")
+PROFILED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query
@@ -93,12 +96,12 @@ def feature_manifest(spark, sf_dir):
 def manifest_upsert(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
 
-    def summary(status):
-        return orders.where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(
+    def summary(*status):
+        return orders.where(F.col("o_orderstatus").isin(*status)).groupBy("o_custkey").agg(
             F.count(F.lit(1)).alias("n_rows"), F.max("o_totalprice").alias("top_price")
         )
 
-    return profile.upsert(summary("F"), summary("P"), ["o_custkey"])
+    return profile.upsert(summary("F"), summary("O", "P"), ["o_custkey"])
 
 
 @query
@@ -128,18 +131,16 @@ def shard_selection(spark, sf_dir):
     """Routing, contiguous range and even spacing over a shard number (here: hours)."""
     usage = as_usage(load_events(spark, sf_dir))
     sharded = usage.withColumn("shard", F.pmod(hour_bucket("start_time"), F.lit(500)).cast("int"))
-    near, far = shards.route_shards(sharded)
+    near, far = shards.is_continuous(), ~shards.is_continuous()
     picks = {
-        "continuous": near, "snapshots": far,
-        "range": shards.shard_range(sharded, 10, 40), "spaced": shards.spaced_shards(sharded, 500, 20),
+        "continuous": near, "snapshots": far, "range": shards.in_shard_range(10, 40), "spaced": shards.is_spaced(500, 20),
     }
-    out = None
-    for name, df in picks.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("start_time").alias("first_start")).select(
-            F.lit(name).alias("pick"), "*"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = sharded.agg(*[x for name, chosen in picks.items() for x in (
+        F.count_if(chosen).alias(f"n_{name}"), F.min(F.when(chosen, F.col("start_time"))).alias(f"first_{name}"))])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("pick"), F.col(f"n_{name}").alias("n_rows"), F.col(f"first_{name}").alias("first_start"))
+        for name in picks
+    ])))
 
 
 # ---------------------------------------------------------------- exploration
@@ -300,14 +301,16 @@ def forward_label_next(spark, sf_dir):
 def failing_entities(spark, sf_dir):
     t = load_trace(spark, sf_dir)
     failing = labels.failures(t.task_events).select(*ENTITY).distinct()
-    return t.usage.join(failing, list(ENTITY), "left_semi").groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("n"))
+    counts = t.usage.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(failing, list(ENTITY), "left_semi")
 
 
 @query
 def healthy_entities(spark, sf_dir):
     t = load_trace(spark, sf_dir)
     failing = labels.failures(t.task_events).select(*ENTITY).distinct()
-    return t.usage.join(failing, list(ENTITY), "left_anti").groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("n"))
+    counts = t.usage.groupBy(*ENTITY).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(failing, list(ENTITY), "left_anti")
 
 
 @query
@@ -327,7 +330,7 @@ def lag_sequence_gap_aware(spark, sf_dir):
 def _sequence_columns(df):
     return df.select(*WINDOW_KEYS, F.col("n_seen").cast("long").alias("n_seen"), *[
         F.col("sequence")[step][TASK_FEATURES.index(c)].alias(f"{c}__t{step}")
-        for c in ("cpu_mean", "mem_usage_ratio") for step in range(sequences.SEQUENCE_LENGTH)
+        for c in TASK_FEATURES for step in range(sequences.SEQUENCE_LENGTH)
     ])
 
 
@@ -335,7 +338,7 @@ def _sequence_columns(df):
 def entity_subset(spark, sf_dir):
     t = load_trace(spark, sf_dir)
     built = staged(windows.task_windows(t.usage, t.task_events, DAILY), "windows")
-    return sequences.entity_subset(built, negatives_per_positive=1).select(*WINDOW_KEYS, TASK_LABEL)
+    return sequences.entity_subset(built).select(*WINDOW_KEYS, TASK_LABEL)
 
 
 # ---------------------------------------------------------------- split and balance
@@ -429,7 +432,7 @@ def zscored_windows(spark, sf_dir):
     """All daily windows with a z-score fitted on the negative ones."""
     t = load_trace(spark, sf_dir)
     built = staged(windows.task_windows(t.usage, t.task_events, DAILY, by_machine=True, null_ratio="zero"), "windows")
-    return t, staged(detect.zscore(built, detect.fit_normal(built)), "scored")
+    return t, detect.zscore(built, detect.fit_normal(built))
 
 
 @query
@@ -453,7 +456,7 @@ def zscore_sweep(spark, sf_dir):
 def zscore_report(spark, sf_dir):
     train, test = zscored(spark, sf_dir)
     return models.tuned_report(
-        staged(train, "scored"), staged(test, "scored"), "zscore_anomaly_baseline",
+        train, test, "zscore_anomaly_baseline",
         grid=metrics.ZSCORE_GRID, strict=True,
     )
 
@@ -669,21 +672,27 @@ STREAM_DELAY = "10 minutes"
 
 def _event_stream(spark, sf_dir):
     schema = load_events(spark, sf_dir).schema
-    # A glob, as the table may be one file or a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    # A pattern of one name, as the table may be one file or a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def _closed_windows(spark, sf_dir):
-    """Window features of the stream, drained into a table."""
-    path, state = new_path(spark, "stream-windows"), new_path(spark, "stream-state")
-    stream = jobs.stream_windows(as_usage(_event_stream(spark, sf_dir)), DAILY.window_us, DAILY.min_samples, STREAM_DELAY)
-    jobs.run_to_table(stream, path, state).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def _windows(usage):
+    return jobs.stream_windows(usage, DAILY.window_us, DAILY.min_samples, STREAM_DELAY)
+
+
+def _tail(spark, sf_dir):
+    """Usage of the windows that are still open when the finite input has been drained."""
+    usage = as_usage(load_events(spark, sf_dir))
+    return usage.where(F.col("start_time") >= jobs.closed_until(usage, "start_time", DAILY.window_us, STREAM_DELAY))
 
 
 @query
 def stream_window_features(spark, sf_dir):
-    return _closed_windows(spark, sf_dir).drop("closed_at")
+    """Window features of the stream, drained into a table; a last batch closes the open windows."""
+    path, state = new_path(spark, "stream-windows"), new_path(spark, "stream-state")
+    stream = _windows(as_usage(_event_stream(spark, sf_dir)))
+    jobs.run_to_table(stream, path, state).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).unionByName(_windows(_tail(spark, sf_dir))).drop("closed_at")
 
 
 def _stream_scorer(df):
@@ -694,9 +703,12 @@ def _stream_scorer(df):
 @query
 def stream_alerts(spark, sf_dir):
     path, state = new_path(spark, "stream-alerts"), new_path(spark, "stream-state")
-    stream = jobs.stream_windows(as_usage(_event_stream(spark, sf_dir)), DAILY.window_us, DAILY.min_samples, STREAM_DELAY)
+    stream = _windows(as_usage(_event_stream(spark, sf_dir)))
     jobs.run_alerts(stream, _stream_scorer, ALERT_RISK, path, state).awaitTermination()
-    return spark.read.parquet(path).select(*WINDOW_KEYS, "window_end", "score")
+    last = _stream_scorer(_windows(_tail(spark, sf_dir)))
+    columns = (*WINDOW_KEYS, "window_end", "score")
+    alerts = spark.read.schema(last.schema).parquet(path).select(*columns)
+    return alerts.unionByName(last.where(F.col("score") >= ALERT_RISK).select(*columns))
 
 
 @query
@@ -710,14 +722,37 @@ def stream_first_alerts(spark, sf_dir):
     return jobs.read_first_alerts(spark, path)
 
 
+def _labelled_stream(spark, sf_dir, config):
+    """Closed windows with their first later failure or NULL; a last batch labels the windows left open."""
+    path, state = new_path(spark, "stream-labels"), new_path(spark, "stream-state")
+
+    def labelled(events, usage_from=None):
+        usage = as_usage(events)
+        if usage_from is not None:
+            usage = usage.where(F.col("start_time") >= usage_from)
+        failed = as_task_events(events).where(F.col("event_type") == 3).select(*ENTITY, "time")
+        closed = _windows(usage).select(*WINDOW_KEYS, "window_end", "closed_at")
+        return jobs.stream_labels(closed, failed, config.window_us, config.horizon_us, STREAM_DELAY)
+
+    stream = labelled(_event_stream(spark, sf_dir))
+    jobs.run_to_table(stream, path, state).awaitTermination()
+    done = spark.read.schema(stream.schema).parquet(path)
+    # windows whose horizon the watermark of either side has passed are all in the table
+    events = load_events(spark, sf_dir)
+    until = min(
+        jobs.closed_until(as_usage(events), "start_time", config.window_us, STREAM_DELAY),
+        jobs.closed_until(as_task_events(events).where(F.col("event_type") == 3), "time", config.window_us, STREAM_DELAY),
+    )
+    rest = labelled(events, until - config.horizon_us - 4 * config.window_us).join(done, list(WINDOW_KEYS), "left_anti")
+    return done.unionByName(rest).drop("closed_at")
+
+
 @query
 def stream_labels(spark, sf_dir):
-    """Closed windows joined to later failures; pairs only, as the end of a finite
-    input leaves the last unmatched windows open."""
-    path, state = new_path(spark, "stream-labels"), new_path(spark, "stream-state")
-    closed = jobs.stream_windows(as_usage(_event_stream(spark, sf_dir)), DAILY.window_us, DAILY.min_samples, STREAM_DELAY)
-    failed = as_task_events(_event_stream(spark, sf_dir)).where(F.col("event_type") == 3).select(*ENTITY, "time")
-    joined = jobs.stream_labels(closed.select(*WINDOW_KEYS, "window_end", "closed_at"), failed,
-                                DAILY.window_us, DAILY.horizon_us, STREAM_DELAY)
-    jobs.run_to_table(joined, path, state).awaitTermination()
-    return spark.read.schema(joined.schema).parquet(path).where(F.col("fail_time").isNotNull()).drop("closed_at")
+    return _labelled_stream(spark, sf_dir, DAILY)
+
+
+@query
+def stream_labels_long(spark, sf_dir):
+    """A horizon of two windows: still the first failure alone."""
+    return _labelled_stream(spark, sf_dir, MISMATCHED)

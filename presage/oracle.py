@@ -4,12 +4,22 @@ Windows, joins and rankings are spelled the straightforward way here (global
 sorts, correlated pairs); agreement with the catalog is the correctness check.
 """
 
-from presage.config import MODEL_LABELS, TASK_FEATURES, US_PER_DAY, US_PER_HOUR, ZSCORE_FEATURES
-from presage.functions import float_grid
-from presage.operators.metrics import PROBABILITY_GRID, ZSCORE_GRID
-
-DAY = US_PER_DAY
-HOUR = US_PER_HOUR
+# Fixed values, written out here so that a wrong one in the package shows.
+HOUR = 3_600_000_000
+DAY = 24 * HOUR
+TASK_FEATURES = (
+    "n_samples", "cpu_mean", "cpu_std", "cpu_max", "mem_mean", "mem_std", "mem_max", "mem_peak_mean", "disk_io_mean",
+    "assigned_mem_mean", "cpu_request", "memory_request", "disk_space_request", "scheduling_class", "priority",
+    "mem_usage_ratio", "cpu_usage_ratio",
+)
+ZSCORE_FEATURES = ("cpu_mean", "cpu_max", "mem_mean", "mem_max", "mem_peak_mean", "disk_io_mean")
+MODEL_LABELS = {
+    "zscore_anomaly_baseline": "Z-score (unsupervised)", "logreg_baseline": "Logistic Regression",
+    "boosted_trees": "Boosted trees", "boosted_trees_tuned": "Boosted trees (tuned)", "sequence_net": "Sequence network",
+}
+# 0.05 to 0.95 by 0.05 and 1.0 to 8.0 by 0.25, as doubles add up.
+PROBABILITY_GRID = tuple(0.05 + i * 0.05 for i in range(19))
+ZSCORE_GRID = tuple(1.0 + i * 0.25 for i in range(29))
 E = "job_id, task_index"
 
 TRACE = """
@@ -184,7 +194,7 @@ def evaluate(source, label, score, threshold, by=None, strict=False, name="repor
 
 
 def sweep(source, label, score, grid, strict=False, name="sweep"):
-    points = ", ".join(f"CAST({t!r} AS DOUBLE)" for t in float_grid(*grid))
+    points = ", ".join(f"CAST({t!r} AS DOUBLE)" for t in grid)
     op = ">" if strict else ">="
     return f"""
 {name} AS (
@@ -233,13 +243,19 @@ def _profile(spark_tables):
     return " UNION ALL ".join(parts)
 
 
-# Columns of the profiled driver tables.
+# Columns of the driver tables.
 PROFILED_COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
     "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
     "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
-    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"), "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
 }
 
 
@@ -263,24 +279,26 @@ def _named(column, names):
 
 
 def _sequence(gap):
-    columns = []
-    for c in ("cpu_mean", "mem_usage_ratio"):
+    columns, joins = [], ""
+    for c in TASK_FEATURES:
         for step in range(6):
             back = 5 - step
-            value = (
-                f"(SELECT p.{c} FROM w p WHERE p.job_id = w.job_id AND p.task_index = w.task_index "
-                f"AND p.window_start = w.window_start - {back * DAY})" if gap
-                else f"lag({c}, {back}) OVER e"
-            )
-            columns.append(f"coalesce({value}, 0.0) AS {c}__t{step}")
+            value = f"p{step}.{c}" if gap else f"lag(w.{c}, {back}) OVER e"
+            columns.append(f"coalesce(CAST({value} AS DOUBLE), 0.0) AS {c}__t{step}")
+    if gap:
+        joins = " ".join(
+            f"LEFT JOIN w p{step} ON p{step}.job_id = w.job_id AND p{step}.task_index = w.task_index "
+            f"AND p{step}.window_start = w.window_start - {(5 - step) * DAY}" for step in range(6)
+        )
     seen = (
-        f"count(*) OVER (PARTITION BY {E} ORDER BY window_start RANGE BETWEEN {5 * DAY} PRECEDING AND CURRENT ROW)"
+        f"count(*) OVER (PARTITION BY w.job_id, w.task_index ORDER BY w.window_start RANGE BETWEEN {5 * DAY} PRECEDING AND CURRENT ROW)"
         if gap else "least(row_number() OVER e, 6)"
     )
     return sql(
         f"{TRACE}, {PROFILES}, {task_windows()}",
-        f"SELECT {E}, window_start, {seen} AS n_seen, {', '.join(columns)} FROM w WINDOW e AS (PARTITION BY {E} ORDER BY window_start)",
-        [f"{c}__t{s}" for c in ("cpu_mean", "mem_usage_ratio") for s in range(6)],
+        f"SELECT w.job_id, w.task_index, w.window_start, {seen} AS n_seen, {', '.join(columns)} FROM w {joins} "
+        "WINDOW e AS (PARTITION BY w.job_id, w.task_index ORDER BY w.window_start)",
+        [f"{c}__t{s}" for c in TASK_FEATURES for s in range(6)],
     )
 
 
@@ -328,7 +346,7 @@ def oracle() -> dict[str, str]:
     )
     out["manifest_upsert"] = sql(
         """cur AS (SELECT o_custkey, count(*) AS n_rows, max(o_totalprice) AS top_price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
-inc AS (SELECT o_custkey, count(*) AS n_rows, max(o_totalprice) AS top_price FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)""",
+inc AS (SELECT o_custkey, count(*) AS n_rows, max(o_totalprice) AS top_price FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1)""",
         "SELECT * FROM inc UNION ALL SELECT * FROM cur WHERE o_custkey NOT IN (SELECT o_custkey FROM inc)",
         ["top_price"],
     )
@@ -500,7 +518,7 @@ e AS (SELECT {E}, max(label_fail_soon) AS any_pos FROM w GROUP BY {E}),
 others AS (SELECT {E}, row_number() OVER (ORDER BY {entity_hash}, {E}) AS rn FROM e WHERE any_pos = 0),
 keep AS (
   SELECT {E} FROM e WHERE any_pos = 1
-  UNION ALL SELECT {E} FROM others WHERE rn <= (SELECT count(*) FROM e WHERE any_pos = 1))""",
+  UNION ALL SELECT {E} FROM others WHERE rn <= 10 * (SELECT count(*) FROM e WHERE any_pos = 1))""",
         f"SELECT {E}, window_start, label_fail_soon FROM w JOIN keep USING ({E})",
     )
 
@@ -662,23 +680,20 @@ reg AS (SELECT 'logreg_baseline' AS model, *, 0.7::DOUBLE AS threshold FROM a
         [*METRIC_FLOATS, "threshold"],
     )
 
-    watermark = "wm AS (SELECT max(start_time) - 600000000 AS t FROM task_usage)"
-    out["stream_window_features"] = sql(
-        f"{TRACE}, {_CLOSED}, {watermark}", "SELECT * FROM closed WHERE window_end <= (SELECT t FROM wm)", WINDOW_FLOATS[:9]
-    )
+    out["stream_window_features"] = sql(f"{TRACE}, {_CLOSED}", "SELECT * FROM closed", WINDOW_FLOATS[:9])
     out["stream_alerts"] = sql(
-        f"{TRACE}, {_CLOSED}, {watermark}, r AS (SELECT *, 1.0 / (1.0 + exp(-((cpu_max - cpu_mean) / 10.0 - 2.0))) AS score FROM closed)",
-        f"SELECT {E}, window_start, window_end, score FROM r WHERE window_end <= (SELECT t FROM wm) AND score >= 0.5", ["score"],
+        f"{TRACE}, {_CLOSED}, r AS (SELECT *, 1.0 / (1.0 + exp(-((cpu_max - cpu_mean) / 10.0 - 2.0))) AS score FROM closed)",
+        f"SELECT {E}, window_start, window_end, score FROM r WHERE score >= 0.5", ["score"],
     )
     out["stream_first_alerts"] = sql(
         TRACE, f"SELECT {E}, min(end_time) AS first_alert_time FROM task_usage WHERE cpu_rate >= 100 GROUP BY {E}"
     )
-    out["stream_labels"] = sql(
-        f"""{TRACE}, {_CLOSED},
-wm AS (SELECT least((SELECT max(start_time) FROM task_usage), (SELECT max(time) - 1 FROM task_events WHERE event_type = 3)) - 600000000 AS t),
-cells AS (SELECT {E}, (time - 1) // {DAY} * {DAY} AS cell, min(time) AS fail_time FROM task_events WHERE event_type = 3 GROUP BY ALL)""",
-        f"""SELECT c.job_id, c.task_index, c.window_start, c.window_end, f.fail_time FROM closed c JOIN cells f
-            ON f.job_id = c.job_id AND f.task_index = c.task_index AND f.cell = c.window_end AND f.fail_time <= c.window_end + {DAY}
-            WHERE c.window_end <= (SELECT t FROM wm) AND f.cell + {DAY} <= (SELECT t FROM wm)""",
-    )
+    for name, horizon in (("stream_labels", DAY), ("stream_labels_long", 2 * DAY)):
+        out[name] = sql(
+            f"{TRACE}, {_CLOSED}",
+            f"""SELECT c.job_id, c.task_index, c.window_start, c.window_end, min(f.time) AS fail_time
+                FROM closed c LEFT JOIN (SELECT * FROM task_events WHERE event_type = 3) f
+                  ON f.job_id = c.job_id AND f.task_index = c.task_index AND f.time > c.window_end AND f.time <= c.window_end + {horizon}
+                GROUP BY ALL""",
+        )
     return out

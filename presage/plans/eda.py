@@ -11,6 +11,7 @@ from presage.operators.histogram import distinct_with_null, group_counts
 from presage.operators.joins import lookback_join, prefix_at
 from presage.operators.ordered import column_quantiles
 from presage.operators.windows import first_attributes
+from presage.session import staged
 
 
 def trace_overview(task_events: DataFrame, machine_events: DataFrame) -> DataFrame:
@@ -73,12 +74,13 @@ def exhaustion_pattern(usage: DataFrame, task_events: DataFrame, min_samples: in
     failed = task_events.where(
         (F.col("event_type") == FAIL) & F.col("machine_id").isNotNull() & (F.col("memory_request") > 0)
     ).select(*keys, "time", "memory_request")
-    # Failures are few: usage of other tasks leaves before anything is shuffled or ordered.
-    samples = usage.join(failed.select(*keys).distinct(), keys, "left_semi").select(
-        *keys, F.col("end_time").alias("time"), F.struct("start_time", F.col("canonical_memory_usage").alias("mem")).alias("s")
-    )
+    # Raw usage is only aggregated; what meets the failures is a row per task, machine and time.
+    sample = F.struct("start_time", F.col("canonical_memory_usage").alias("mem"))
+    samples = usage.groupBy(*keys, F.col("end_time").alias("time")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(sample).alias("first"), F.max(sample).alias("last"),
+    ).join(failed.select(*keys).distinct(), keys, "left_semi")
     seen = prefix_at(samples, failed, keys, "time", {
-        "n": ("sum", F.lit(1)), "first": ("min", F.col("s")), "last": ("max", F.col("s")),
+        "n": ("sum", F.col("n")), "first": ("min", F.col("first")), "last": ("max", F.col("last")),
     })
     first, last = F.col("first_run.mem"), F.col("last_run.mem")
     share_first, share_last = first / F.col("memory_request"), last / F.col("memory_request")
@@ -100,10 +102,9 @@ def load_before_removal(usage: DataFrame, machine_events: DataFrame, span_us: in
     removed = machine_events.where(
         (F.col("event_type") == REMOVE) & F.col("machine_id").isNotNull()
     ).select("machine_id", F.col("time").alias("remove_time")).distinct()
-    concerned = usage.join(removed.select("machine_id").distinct(), "machine_id", "left_semi")
-    points = concerned.groupBy("machine_id", "start_time").agg(
+    points = staged(usage.groupBy("machine_id", "start_time").agg(
         F.sum("cpu_rate").alias("cpu_rate_sum"), F.count(F.lit(1)).alias("n_tasks")
-    )
+    ).join(removed.select("machine_id").distinct(), "machine_id", "left_semi"), "points")
     edges = removed.select(
         "machine_id", "remove_time",
         F.inline(F.array(

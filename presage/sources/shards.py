@@ -6,11 +6,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from presage.sources.schemas import table_schema
 
-# The trace's marker for an unknown time (2^64 - 1) and its file name pattern.
+# The trace's marker for an unknown time (2^64 - 1), its file name pattern and the last shard of
+# its continuous part.
 UNKNOWN_TIME = "18446744073709551615"
 SHARD_GLOB = "part-*.csv"
 SHARD_PATTERN = r"part-(\d+)-of-\d+\.csv$"
-
 LAST_CONTINUOUS_SHARD = 172
 
 
@@ -38,22 +38,32 @@ def shard_index():
     return F.regexp_extract(F.col("_metadata.file_name"), SHARD_PATTERN, 1).cast("int")
 
 
+def is_continuous(last_continuous: int = LAST_CONTINUOUS_SHARD):
+    return F.col("shard") <= last_continuous
+
+
+def in_shard_range(first: int, last: int):
+    return F.col("shard").between(first, last)
+
+
+def is_spaced(total: int, n: int):
+    """``n`` evenly spaced shards out of ``total``, counted from shard 0."""
+    step = max(1, total // n)
+    return (F.col("shard") % step == 0) & (F.floor(F.col("shard") / F.lit(step)) < n)
+
+
 def route_shards(df: DataFrame, last_continuous: int = LAST_CONTINUOUS_SHARD):
     """(continuous, snapshots): the two kinds of usage shards must not be mixed."""
-    return (
-        df.where(F.col("shard") <= last_continuous).drop("shard"),
-        df.where(F.col("shard") > last_continuous).drop("shard"),
-    )
+    near = is_continuous(last_continuous)
+    return df.where(near).drop("shard"), df.where(~near).drop("shard")
 
 
 def shard_range(df: DataFrame, first: int, last: int) -> DataFrame:
-    return df.where(F.col("shard").between(first, last))
+    return df.where(in_shard_range(first, last))
 
 
 def spaced_shards(df: DataFrame, total: int, n: int) -> DataFrame:
-    """``n`` evenly spaced shards out of ``total``, counted from shard 0."""
-    step = max(1, total // n)
-    return df.where((F.col("shard") % step == 0) & (F.floor(F.col("shard") / F.lit(step)) < n))
+    return df.where(is_spaced(total, n))
 
 
 def ingest_table(spark: SparkSession, raw_dir: str, out_dir: str, table: str,

@@ -69,11 +69,14 @@ def run_alerts(windows: DataFrame, scorer: Callable[[DataFrame], DataFrame], thr
     )
 
 
-def run_first_alerts(alerts: DataFrame, table_path: str, state_path: str,
-                     keys: Sequence[str] = ENTITY) -> StreamingQuery:
-    """Keep the earliest alert per entity. Each update lands in its batch's folder;
-    ``read_first_alerts`` folds them."""
-    earliest = alerts.groupBy(*keys).agg(F.min("window_end").alias("first_alert_time"))
+def run_first_alerts(alerts: DataFrame, table_path: str, state_path: str, keys: Sequence[str] = ENTITY,
+                     span: str = "1 day", delay: str = "1 hour") -> StreamingQuery:
+    """Keep the earliest alert per entity and ``span`` of time; a span's state leaves once the watermark has
+    passed it. Each update lands in its batch's folder; ``read_first_alerts`` folds them."""
+    earliest = (
+        event_time(alerts, "window_end").withWatermark("ts", delay).groupBy(*keys, F.window("ts", span))
+        .agg(F.min("window_end").alias("first_alert_time")).drop("window")
+    )
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
@@ -94,30 +97,37 @@ def stream_labels(windows: DataFrame, failures: DataFrame, window_us: int, horiz
                   keys: Sequence[str] = ENTITY) -> DataFrame:
     """Closed windows with the first failure in (end, end + horizon], or NULL once none can come.
 
-    Failures are first reduced to their earliest time per grid cell
-    (s, s + width]; a window then meets at most horizon/width cells of its
-    entity instead of every raw failure.
+    A failure is told to every window end that it can label (horizon / width of them), and those are reduced to
+    their earliest failure; a window then meets one row at most. That row is ready a horizon after the end, so
+    the watermark of failures runs a horizon behind it.
     """
     keys = list(keys)
-    width = f"{window_us} microseconds"
-    # A failure on the grid belongs to the cell that ends there.
-    cells = (
-        failures.withColumn("ts", F.timestamp_micros(F.col("time") - 1))
-        .withWatermark("ts", delay)
-        .groupBy(*keys, F.window("ts", width))
+    width = F.lit(window_us)
+    down = lambda t: F.floor(t / width).cast("long") * width
+    ends = F.sequence(-down(F.lit(horizon_us) - F.col("time")), down(F.col("time") - 1), width)
+    first = (
+        failures.select(*[F.col(k).alias(f"f_{k}") for k in keys], "time", F.explode(ends).alias("f_window_end"))
+        .withColumn("ready", F.timestamp_micros(F.col("f_window_end") + F.lit(horizon_us)))
+        .withWatermark("ready", f"{_micros(delay) + horizon_us} microseconds")
+        .groupBy(*[f"f_{k}" for k in keys], "f_window_end", F.window("ready", f"{window_us} microseconds"))
         .agg(F.min("time").alias("fail_time"))
-        .select(
-            *[F.col(k).alias(f"f_{k}") for k in keys], "fail_time",
-            F.unix_micros("window.start").alias("cell"),
-            F.window_time("window").alias("f_closed_at"),
-        )
+        .withColumn("f_closed_at", F.window_time("window"))
     )
-    same = F.lit(True)
+    same = F.col("window_end") == F.col("f_window_end")
     for k in keys:
         same = same & (F.col(k) == F.col(f"f_{k}"))
-    reach = same & (F.col("cell") >= F.col("window_end")) & (
-        F.col("fail_time") <= F.col("window_end") + F.lit(horizon_us)
-    ) & (F.col("f_closed_at") > F.col("closed_at")) & (
-        F.col("f_closed_at") <= F.col("closed_at") + F.expr(f"INTERVAL '{(horizon_us + window_us) / 1e6:f}' SECOND")
+    reach = same & (F.col("f_closed_at") > F.col("closed_at")) & (
+        F.col("f_closed_at") <= F.col("closed_at") + F.expr(f"INTERVAL '{(horizon_us + 2 * window_us) / 1e6:f}' SECOND")
     )
-    return windows.join(cells, reach, "leftOuter").select(*windows.columns, "fail_time")
+    return windows.join(first, reach, "leftOuter").select(*windows.columns, "fail_time")
+
+
+def _micros(delay: str) -> int:
+    amount, unit = delay.split()
+    return int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
+
+
+def closed_until(times: DataFrame, time: str, window_us: int, delay: str) -> int:
+    """The end of the last window that the watermark has passed once a finite input is drained."""
+    last = times.agg(F.max(time)).first()[0]
+    return (last - _micros(delay)) // window_us * window_us if last is not None else 0
