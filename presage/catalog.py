@@ -19,9 +19,10 @@ from presage.operators import histogram as hist
 from presage.operators import labels, metrics, sampling, sequences, split, windows
 from presage.operators.ordered import exact_quantiles
 from presage.plans import compare, detect, drift, eda, lead_time, models, serving
+from presage.plans import jobs as batch
 from presage.plans.training import stored_split
 from presage.session import new_path, staged
-from presage.sources import profile, shards
+from presage.sources import profile, shards, tables
 from presage.sources.roles import (
     as_machine_events, as_task_events, as_usage, load_events, load_trace,
 )
@@ -83,7 +84,8 @@ def table_profile(spark, sf_dir):
 
 @query
 def file_profile(spark, sf_dir):
-    return profile.file_profile(table(spark, sf_dir, "lineitem"))
+    found = profile.file_profile(table(spark, sf_dir, "lineitem"))
+    return found.select((F.col("n_files") > 0).alias("has_files"), (F.col("size_mb") > 0).alias("has_size"))
 
 
 @query
@@ -126,6 +128,67 @@ def csv_ingest(spark, sf_dir):
     )
 
 
+def _raw_trace(spark, sf_dir):
+    """The driver's events as headerless CSV of all five tables of the trace."""
+    from presage.sources.schemas import TABLES, table_schema
+
+    t, path = load_trace(spark, sf_dir), new_path(spark, "raw")
+    first = t.task_events.where(F.col("task_index") == 0)
+    tables = {
+        "task_usage": t.usage, "task_events": t.task_events, "machine_events": t.machine_events,
+        "job_events": first.select("time", "job_id", "event_type"),
+        "machine_attributes": t.usage.select(
+            F.col("start_time").alias("time"), "machine_id", F.lit("memory").alias("attribute_name"),
+            F.col("canonical_memory_usage").cast("string").alias("attribute_value"),
+        ),
+    }
+    for name in TABLES:
+        df = tables[name]
+        df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in table_schema(name).names]).write.option(
+            "emptyValue", "").option("nullValue", "").csv(f"{path}/{name}", header=False)
+    return path
+
+
+@query
+def ingest_manifest(spark, sf_dir):
+    """The ingest job over all five tables; its manifest takes the place of an earlier one."""
+    earlier = spark.range(2).select(
+        F.when(F.col("id") == 0, "task_usage").otherwise("retired").alias("table_name"), F.lit("job_id").alias("column_name"),
+        F.lit(1).cast("long").alias("n_rows"), F.lit(1).cast("long").alias("n_null"), F.lit(100.0).alias("null_pct"))
+    return batch.ingest_trace(spark, _raw_trace(spark, sf_dir), new_path(spark, "typed"), earlier)
+
+
+@query
+def feature_job(spark, sf_dir):
+    """Features written in the order of time, and their manifest."""
+    t = load_trace(spark, sf_dir)
+    return batch.build_features(t.usage, t.task_events, new_path(spark, "features"), DAILY)
+
+
+@query
+def registry_json(spark, sf_dir):
+    """Results saved as JSON, read back and replaced by a later run."""
+    scores, path = discount_scores(spark, sf_dir), new_path(spark, "registry")
+
+    def entry(name, threshold):
+        return metrics.confusion(scores, "label", F.col("score") >= threshold).select(F.lit(name).alias("model"), "tp", "fp", "fn", "tn")
+
+    tables.write_report(entry("a", 0.3).unionByName(entry("b", 0.5)), path)
+    stored = tables.read_report(spark, path, "model string, tp long, fp long, fn long, tn long")
+    return compare.save_result(stored, entry("a", 0.7))
+
+
+@query
+def shuffled_chunks(spark, sf_dir):
+    """A full shuffle by hash, cut into stable chunks of entities: nothing is lost or told twice."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    chunk = sampling.hash_chunk(["o_custkey"], 16).alias("chunk")
+    chunks = sampling.shuffled(orders, ["o_orderkey"], 42).select("*", chunk).groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("o_custkey").alias("entities"))
+    return chunks.agg(F.sum("n").alias("n_rows"), F.sum("keys").alias("key_sum"), F.sum("entities").alias("n_entities"),
+                      F.count(F.lit(1)).alias("n_chunks"))
+
+
 @query
 def shard_selection(spark, sf_dir):
     """Routing, contiguous range and even spacing over a shard number (here: hours)."""

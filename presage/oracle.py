@@ -357,6 +357,39 @@ inc AS (SELECT o_custkey, count(*) AS n_rows, max(o_totalprice) AS top_price FRO
             FROM task_usage GROUP BY {E}""",
         ["mem_max"],
     )
+    held = {
+        "task_usage": ("task_usage", "start_time end_time job_id task_index machine_id cpu_rate canonical_memory_usage maximum_memory_usage disk_io_time assigned_memory_usage"),
+        "task_events": ("task_events", "time job_id task_index machine_id event_type cpu_request memory_request disk_space_request scheduling_class priority"),
+        "machine_events": ("machine_events", "time machine_id event_type cpus memory"),
+        "job_events": ("(SELECT * FROM task_events WHERE task_index = 0)", "time job_id event_type"),
+        "machine_attributes": ("task_usage", "time machine_id attribute_name attribute_value"),
+    }
+    names = {  # Fixed values: columns of the trace.
+        "task_usage": "start_time end_time job_id task_index machine_id cpu_rate canonical_memory_usage assigned_memory_usage unmapped_page_cache total_page_cache maximum_memory_usage disk_io_time local_disk_space_usage maximum_cpu_rate maximum_disk_io_time cpi mai sample_portion aggregation_type sampled_cpu_usage",
+        "task_events": "time missing_info job_id task_index machine_id event_type user scheduling_class priority cpu_request memory_request disk_space_request different_machines_restriction",
+        "machine_events": "time machine_id event_type platform_id cpus memory",
+        "job_events": "time missing_info job_id event_type user scheduling_class job_name logical_job_name",
+        "machine_attributes": "time machine_id attribute_name attribute_value attribute_deleted",
+    }
+    out["ingest_manifest"] = sql(
+        TRACE,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, {'0::BIGINT' if c in held[name][1].split() else 'count(*)'} AS n_null, "
+            f"{'0.0' if c in held[name][1].split() else '100.0'}::DOUBLE AS null_pct FROM {held[name][0]}"
+            for name in names for c in names[name].split()
+        ) + " UNION ALL SELECT 'retired', 'job_id', 1, 1, 100.0",
+        ["null_pct"],
+    )
+    out["feature_job"] = out["feature_manifest"]
+    out["file_profile"] = "SELECT count(*) > 0 AS has_files, count(*) > 0 AS has_size FROM lineitem"
+    confused = ", ".join(
+        f"CAST(count_if({c}) AS BIGINT) AS {n}" for n, c in (
+            ("tp", "label = 1 AND score >= t"), ("fp", "label = 0 AND score >= t"), ("fn", "label = 1 AND score < t"), ("tn", "label = 0 AND score < t"))
+    )
+    out["registry_json"] = sql(
+        DISCOUNT, f"SELECT model, {confused} FROM lines, (VALUES ('a', 0.7::DOUBLE), ('b', 0.5::DOUBLE)) r(model, t) GROUP BY model")
+    out["shuffled_chunks"] = """SELECT count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+        count(DISTINCT o_custkey) AS n_entities, 16::BIGINT AS n_chunks FROM orders"""
     out["shard_selection"] = sql(
         f"{TRACE}, s AS (SELECT start_time, (start_time // {HOUR}) % 500 AS shard FROM task_usage)",
         " UNION ALL ".join(

@@ -35,11 +35,12 @@ def read_shards(spark: SparkSession, path: str, table: str, with_shard: bool = F
 
 def shard_index():
     """Shard number taken from the name of the file a row came from."""
-    return F.regexp_extract(F.col("_metadata.file_name"), SHARD_PATTERN, 1).cast("int")
+    return F.nullif(F.regexp_extract(F.col("_metadata.file_name"), SHARD_PATTERN, 1), F.lit("")).cast("int")
 
 
 def is_continuous(last_continuous: int = LAST_CONTINUOUS_SHARD):
-    return F.col("shard") <= last_continuous
+    """Rows of a file without a shard number count as continuous."""
+    return F.coalesce(F.col("shard") <= last_continuous, F.lit(True))
 
 
 def in_shard_range(first: int, last: int):
@@ -73,8 +74,11 @@ def ingest_table(spark: SparkSession, raw_dir: str, out_dir: str, table: str,
     if table != "task_usage":
         outputs = {table: read_shards(spark, source, table)}
     else:
-        near, far = route_shards(read_shards(spark, source, table, with_shard=True), last_continuous)
-        outputs = {"task_usage": near, "task_usage_snapshots": far}
+        rows = read_shards(spark, source, table, with_shard=True)
+        near, far = route_shards(rows, last_continuous)
+        outputs = {"task_usage": near}
+        if not rows.where(~is_continuous(last_continuous)).isEmpty():
+            outputs["task_usage_snapshots"] = far
     for name, df in outputs.items():
         df.write.mode("overwrite").option("compression", compression).parquet(f"{out_dir}/{name}")
     return {name: f"{out_dir}/{name}" for name in outputs}
