@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presage.config import (
-    ENTITY, MACHINE_EVENT_NAMES, MACHINE_FEATURES, MACHINE_LABEL, TASK_EVENT_NAMES, TASK_FEATURES,
+    ENTITY, FEATURE_GROUPS, MACHINE_EVENT_NAMES, MACHINE_FEATURES, MACHINE_LABEL, TASK_EVENT_NAMES, TASK_FEATURES,
     TASK_LABEL, US_PER_DAY, US_PER_HOUR, SplitConfig, WindowConfig,
 )
 from presage.functions import hour_bucket, sigmoid, wall_micros
@@ -492,10 +492,11 @@ def zscored(spark, sf_dir):
 
 
 def zscored_windows(spark, sf_dir):
-    """All daily windows with a z-score fitted on the negative ones."""
+    """The test side of the daily windows with a z-score fitted on the train side's negative ones."""
     t = load_trace(spark, sf_dir)
     built = staged(windows.task_windows(t.usage, t.task_events, DAILY, by_machine=True, null_ratio="zero"), "windows")
-    return t, detect.zscore(built, detect.fit_normal(built))
+    train, test = split.split_at(built, split.fit_cutoff(built))
+    return t, detect.zscore(test, detect.fit_normal(train))
 
 
 @query
@@ -659,36 +660,81 @@ def model_comparison(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-SMALL_TREES = models.TreeParams(trees=10, depth=4, rate=0.1)
+# Scores of fitted models hang on the last bits of sums, so these queries return what holds of any right fit.
+
+
+def _scored(df, *keys):
+    return df.select(*keys, F.col("score").between(0.0, 1.0).alias("valid"))
+
+
+def _report_facts(report):
+    whole = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") == F.col("n_test")
+    ranked = F.col("roc_auc").isNull() | (F.col("roc_auc").between(0.0, 1.0) & F.col("pr_auc").between(0.0, 1.0))
+    return report.withColumns({"adds_up": whole & (F.col("tp") + F.col("fn") == F.col("n_positive")), "ranked": ranked})
 
 
 @query
 def logreg_scores(spark, sf_dir):
     s = daily_split(spark, sf_dir)
-    model = models.fit_logistic(s.train, max_iter=50)
-    return models.score(model, s.test).select(*WINDOW_KEYS, TASK_LABEL, "score")
+    return _scored(models.score(models.fit_logistic(s.train), s.test), *WINDOW_KEYS, TASK_LABEL)
 
 
 @query
 def logreg_coefficients(spark, sf_dir):
+    """For each coefficient whether the penalised loss is flat there, which says that the fit is the optimum."""
     s = daily_split(spark, sf_dir)
-    return models.coefficients(models.fit_logistic(s.train, max_iter=50), TASK_FEATURES, spark)
+    slopes = models.logistic_slopes(models.fit_logistic(s.train), s.train)
+    return slopes.select("feature", (F.abs("slope") < 1e-3).alias("flat"))
 
 
 @query
 def gbt_scores(spark, sf_dir):
     s = daily_split(spark, sf_dir)
-    model = models.fit_trees(s.train, WINDOW_KEYS, SMALL_TREES)
-    return models.score(model, s.test).select(*WINDOW_KEYS, TASK_LABEL, "score")
+    return _scored(models.score(models.fit_trees(s.train, WINDOW_KEYS), s.test), *WINDOW_KEYS, TASK_LABEL)
+
+
+def _scored_sides(s, model):
+    return (staged(models.score(model, side), "scored") for side in (s.train, s.test))
 
 
 @query
 def gbt_report(spark, sf_dir):
     s = daily_split(spark, sf_dir)
-    model = models.fit_trees(s.train, WINDOW_KEYS, SMALL_TREES)
-    return models.tuned_report(
-        staged(models.score(model, s.train), "scored"), staged(models.score(model, s.test), "scored"), "boosted_trees"
-    )
+    train, test = _scored_sides(s, models.fit_trees(s.train, WINDOW_KEYS))
+    return _report_facts(models.tuned_report(train, test, "boosted_trees")).select("model", "n_test", "n_positive", "adds_up", "ranked")
+
+
+@query
+def gbt_planted(spark, sf_dir):
+    """Trees must rank a label that is planted from two features nearly perfectly."""
+    s = daily_split(spark, sf_dir)
+    planted = ((F.col("cpu_max") > 60) & (F.col("n_samples") > 5)).cast("int")
+    train, test = (side.withColumn(TASK_LABEL, planted) for side in (s.train, s.test))
+    report = metrics.evaluate(models.score(models.fit_trees(train, WINDOW_KEYS, models.TreeParams(trees=60)), test), TASK_LABEL, "score", 0.5)
+    return report.select("n_test", "n_positive", (F.col("roc_auc") > 0.95).alias("found"))
+
+
+@query
+def gbt_lead_time(spark, sf_dir):
+    """Lead time and drift of the fitted trees on the test side, at the threshold tuned on train."""
+    s = daily_split(spark, sf_dir)
+    train, test = _scored_sides(s, models.fit_trees(s.train, WINDOW_KEYS))
+    threshold = metrics.best_threshold(metrics.threshold_sweep(train, TASK_LABEL, "score")).first()["threshold"]
+    summary = lead_time.lead_time_summary(staged(lead_time.first_alerts(test, threshold), "alerts"))
+    bins = drift.drift_by_bin(test, threshold).agg(F.sum("n_test").alias("n_binned"), F.sum("n_positive").alias("n_positive"))
+    return summary.select("n_failures", (F.col("n_detected") <= F.col("n_failures")).alias("bounded")).crossJoin(bins)
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """A stored model scores as the fitted one does."""
+    s, path = daily_split(spark, sf_dir), new_path(spark, "model")
+    fitted = batch.StoredModel(models.fit_trees(s.train, WINDOW_KEYS), TASK_FEATURES, 0.35)
+    batch.save_model(spark, fitted, path)
+    again = batch.load_model(spark, path)
+    both = models.score(again.model, models.score(fitted.model, s.test), "again")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") != F.col("again")).alias("n_different")).withColumn(
+        "same_facts", F.lit((again.features, again.threshold) == (fitted.features, fitted.threshold)))
 
 
 @query
@@ -697,16 +743,19 @@ def machine_gbt_scores(spark, sf_dir):
     built = windows.machine_windows(t.usage, t.task_events, t.machine_events, SIX_HOURS)
     keys = ("machine_id", "window_start")
     s = stored_split(built, MACHINE_FEATURES, MACHINE_LABEL, keys)
-    model = models.fit_trees(s.train, keys, SMALL_TREES, MACHINE_FEATURES, MACHINE_LABEL)
-    return models.score(model, s.test).select(*keys, MACHINE_LABEL, "score")
+    model = models.fit_trees(s.train, keys, features=MACHINE_FEATURES, label=MACHINE_LABEL)
+    return _scored(models.score(model, s.test), *keys, MACHINE_LABEL)
 
 
 @query
 def cv_trials(spark, sf_dir):
+    """Twelve random settings by three folds, and the refit of the best."""
     s = daily_split(spark, sf_dir)
-    draws = [models.TreeParams(5, 3, 0.1, 0.8, 0.8), models.TreeParams(8, 4, 0.2, 0.7, 0.9)]
-    trials, _ = models.tune_trees(s.train, WINDOW_KEYS, draws)
-    return trials
+    trials, best = models.tune_trees(s.train, WINDOW_KEYS, models.draw_params(12))
+    refit = models.score(models.refit_tuned(s.train, WINDOW_KEYS, best), s.test)
+    n = refit.where(F.col("score").between(0.0, 1.0)).count()
+    fair = F.col("mean_pr_auc").between(0.0, 1.0) & (F.col("std_pr_auc") >= 0)
+    return trials.select("trial", fair.alias("valid"), F.lit(n).cast("long").alias("n_test"))
 
 
 @query
@@ -718,14 +767,17 @@ def sequence_net_scores(spark, sf_dir):
     ready = sequences.lookback(split.fill_medians(built, medians, TASK_FEATURES))
     train, test = split.split_at(ready, cutoff)
     train = staged(split.undersample(train, TASK_LABEL, WINDOW_KEYS, 20.0, 42), "sequences")
-    model = models.fit_sequence_net(train, sequences.SEQUENCE_LENGTH, max_iter=20)
-    return models.score(model, sequences.flat_vector(test, output="raw")).select(*WINDOW_KEYS, TASK_LABEL, "score")
+    model = models.fit_sequence_net(train, sequences.SEQUENCE_LENGTH)
+    return _scored(models.score(model, sequences.flat_vector(test, output="raw")), *WINDOW_KEYS, TASK_LABEL)
 
 
 @query
 def ablation(spark, sf_dir):
     s = daily_split(spark, sf_dir)
-    return models.ablation(s.train, s.test, models.TreeParams(trees=4, depth=3, rate=0.1))
+    found = staged(models.ablation(s.train, s.test, WINDOW_KEYS), "ablation")
+    best = models.best_solo_group(found).select(F.col("feature_group").alias("best"), (F.col("pct_of_full") > 0).alias("rated"))
+    return _report_facts(found).crossJoin(best).select(
+        "feature_group", "n_features", "n_test", "n_positive", "adds_up", "ranked", F.col("best").isin(*FEATURE_GROUPS).alias("best_is_a_group"), "rated")
 
 
 # ---------------------------------------------------------------- streams

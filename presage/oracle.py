@@ -140,8 +140,9 @@ ZSCORE = "greatest(" + ", ".join(f"abs(({c} - {c}_mu) / {c}_sigma)" for c in ZSC
 
 
 def scored_windows():
-    return f"""{TRACE}, {PROFILES}, {task_windows(by_machine=True, zero=True)}, {normal('w')},
-scored AS (SELECT w.*, {ZSCORE} AS score FROM w, normal)"""
+    return f"""{TRACE}, {PROFILES}, {task_windows(by_machine=True, zero=True)}, {nearest('w', 'window_end', 0.8, 'cutoff')},
+fitted AS (SELECT * FROM w WHERE window_end <= (SELECT v FROM cutoff)), {normal('fitted')},
+scored AS (SELECT w.*, {ZSCORE} AS score FROM w, normal WHERE window_end > (SELECT v FROM cutoff))"""
 
 
 def risk():
@@ -509,24 +510,52 @@ pairs AS (
         f"{TRACE}, {PROFILES}, {task_windows(by_machine=True, zero=True)}", "SELECT * FROM w", WINDOW_FLOATS
     )
     w6 = 6 * HOUR
-    out["machine_window_features"] = sql(
-        f"""{TRACE}, {PROFILES}, churn AS ({churn}),
+    machines = f"""{TRACE}, {PROFILES}, churn AS ({churn}),
 g AS (
   SELECT machine_id, start_time // {w6} * {w6} AS window_start, start_time // {w6} * {w6} + {w6} AS window_end, count(*) AS n_samples,
          count(DISTINCT ({E})) AS n_tasks, sum(cpu_rate) AS cpu_sum, avg(cpu_rate) AS cpu_mean,
          coalesce(stddev_samp(cpu_rate), 0.0) AS cpu_std, max(cpu_rate) AS cpu_max, sum(canonical_memory_usage) AS mem_sum,
          avg(canonical_memory_usage) AS mem_mean, coalesce(stddev_samp(canonical_memory_usage), 0.0) AS mem_std,
          max(canonical_memory_usage) AS mem_max, avg(disk_io_time) AS disk_io_mean
-  FROM task_usage GROUP BY machine_id, start_time // {w6} HAVING count(*) >= 2)""",
-        f"""SELECT g.*, c.cpus, c.memory, r.remove_time, coalesce(h.churn_events, 0) AS churn_events,
-            CASE WHEN c.cpus > 0 THEN cpu_sum / c.cpus ELSE 0.0 END AS cpu_utilization,
-            CASE WHEN c.memory > 0 THEN mem_sum / c.memory ELSE 0.0 END AS mem_utilization,
-            CASE WHEN r.remove_time > window_end AND r.remove_time <= window_end + {w6} THEN 1 ELSE 0 END AS label_remove_soon
-            FROM g LEFT JOIN capacity c USING (machine_id) LEFT JOIN removes r USING (machine_id)
-            LEFT JOIN churn h USING (machine_id, window_start)""",
+  FROM task_usage GROUP BY machine_id, start_time // {w6} HAVING count(*) >= 2),
+m AS (
+  SELECT g.*, c.cpus, c.memory, r.remove_time, coalesce(h.churn_events, 0) AS churn_events,
+         CASE WHEN c.cpus > 0 THEN cpu_sum / c.cpus ELSE 0.0 END AS cpu_utilization,
+         CASE WHEN c.memory > 0 THEN mem_sum / c.memory ELSE 0.0 END AS mem_utilization,
+         CASE WHEN r.remove_time > window_end AND r.remove_time <= window_end + {w6} THEN 1 ELSE 0 END AS label_remove_soon
+  FROM g LEFT JOIN capacity c USING (machine_id) LEFT JOIN removes r USING (machine_id)
+       LEFT JOIN churn h USING (machine_id, window_start))"""
+    out["machine_window_features"] = sql(
+        machines, "SELECT * FROM m",
         ["cpu_sum", "cpu_mean", "cpu_std", "cpu_max", "mem_sum", "mem_mean", "mem_std", "mem_max", "disk_io_mean",
          "cpus", "memory", "cpu_utilization", "mem_utilization"],
     )
+    out["machine_gbt_scores"] = sql(
+        f"{machines}, {nearest('m', 'window_end', 0.8, 'cutoff')}",
+        "SELECT machine_id, window_start, label_remove_soon, true AS valid FROM m WHERE window_end > (SELECT v FROM cutoff)",
+    )
+    for name in ("logreg_scores", "gbt_scores", "sequence_net_scores"):
+        out[name] = sql(daily_split(), f"SELECT {E}, window_start, label_fail_soon, true AS valid FROM test")
+    out["logreg_coefficients"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS flat" for c in TASK_FEATURES)
+    sizes = "count(*) AS n_test, CAST(sum(label_fail_soon) AS BIGINT) AS n_positive"
+    out["gbt_report"] = sql(daily_split(), f"SELECT 'boosted_trees' AS model, {sizes}, true AS adds_up, true AS ranked FROM test")
+    out["gbt_planted"] = sql(
+        daily_split(), "SELECT count(*) AS n_test, count(*) FILTER (cpu_max > 60 AND n_samples > 5) AS n_positive, true AS found FROM test")
+    out["gbt_lead_time"] = sql(
+        daily_split(),
+        f"""SELECT count(DISTINCT ({E})) FILTER (label_fail_soon = 1) AS n_failures, true AS bounded, count(*) AS n_binned,
+            CAST(sum(label_fail_soon) AS BIGINT) AS n_positive FROM test""",
+    )
+    out["model_roundtrip"] = sql(daily_split(), "SELECT count(*) AS n, 0::BIGINT AS n_different, true AS same_facts FROM test")
+    out["cv_trials"] = sql(
+        daily_split(), "SELECT CAST(t AS INT) AS trial, true AS valid, (SELECT count(*) FROM test) AS n_test FROM range(1, 13) r(t)")
+    group_sizes = {"cpu": 5, "memory": 7, "disk": 2, "scheduling": 3, "all features": 17}
+    out["ablation"] = sql(
+        daily_split(),
+        f"""SELECT feature_group, CAST(n_features AS INT) AS n_features, n_test, n_positive, true AS adds_up, true AS ranked,
+            true AS best_is_a_group, true AS rated
+            FROM (VALUES {', '.join(str(x) for x in group_sizes.items())}) g(feature_group, n_features), (SELECT {sizes} FROM test)""",
+    )
     out["forward_label_next"] = sql(
         f"{TRACE}, {PROFILES}, {task_windows(DAY, 2 * DAY)}",
         f"""SELECT {E}, window_start, window_end, next_time, CASE WHEN next_time IS NOT NULL THEN 1 ELSE 0 END AS label_next FROM (

@@ -88,6 +88,26 @@ def coefficients(model: PipelineModel, features: Sequence[str], spark) -> DataFr
     )
 
 
+def logistic_slopes(model: PipelineModel, train: DataFrame, label: str = TASK_LABEL) -> DataFrame:
+    """(feature, slope): the derivative of ``fit_logistic``'s penalised loss by each coefficient. It is 0 at the
+    optimum."""
+    assembler, scaler, fitted = model.stages
+    z = vector_to_array(scaler.getOutputCol())
+    rows = balanced_weights(train, label)
+    rows = scaler.transform(assembler.transform(rows)).withColumn("z", z)
+    weights = [float(c) for c in fitted.coefficients]
+    total = F.lit(float(fitted.intercept))
+    for i, c in enumerate(weights):
+        total = total + F.lit(c) * F.col("z")[i]
+    rows = rows.withColumn("pull", F.col("weight") * (1.0 / (1.0 + F.exp(-total)) - F.col(label)))
+    sums = rows.agg(F.sum("weight").alias("w"), *[F.sum(F.col("pull") * F.col("z")[i]).alias(f"s{i}") for i in range(len(weights))])
+    penalty = fitted.getRegParam()
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), (F.col(f"s{i}") / F.col("w") + F.lit(penalty * c)).alias("slope"))
+        for i, (name, c) in enumerate(zip(assembler.getInputCols(), weights))
+    ])))
+
+
 def _trees(params: TreeParams, label: str, validation: str | None) -> GBTClassifier:
     trees = GBTClassifier(
         labelCol=label, featuresCol="features", maxIter=params.trees, maxDepth=params.depth,
@@ -115,7 +135,7 @@ def fit_trees(train: DataFrame, keys: Sequence[str], params: TreeParams = TreePa
 
 
 def draw_params(n: int, seed: int = SEED) -> list[TreeParams]:
-    """Random settings: trees 100-599, depth 3-9, rate 0.01-0.30, both shares 0.6-1.0."""
+    """The ranges of random settings. Trees 100-599, depth 3-9, rate 0.01-0.30, both shares 0.6-1.0."""
     rng = random.Random(seed)
     return [
         TreeParams(
@@ -131,9 +151,10 @@ def tune_trees(train: DataFrame, keys: Sequence[str], draws: Sequence[TreeParams
                features: Sequence[str] = TASK_FEATURES, label: str = TASK_LABEL,
                parallelism: int = 2) -> tuple[DataFrame, TreeParams]:
     """(trials, best): cross-validated average precision of every draw, best first."""
-    folded = staged(stratified_folds(train, label, keys, n_folds, SEED), "folds")
+    held = stratified_holdout(train, label, keys, 0.1, SEED)  # may end the boosting of a fold early
+    folded = staged(stratified_folds(held, label, keys, n_folds, SEED + 1), "folds")
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(folded)
-    base = _trees(TreeParams(), label, None)
+    base = _trees(TreeParams(), label, "is_validation")
     grid = [
         {base.maxIter: p.trees, base.maxDepth: p.depth, base.stepSize: p.rate,
          base.subsamplingRate: p.row_share, base.featureSubsetStrategy: str(p.feature_share)}
@@ -182,14 +203,15 @@ def tuned_report(train_scored: DataFrame, test_scored: DataFrame, name: str, lab
     )
 
 
-def ablation(train: DataFrame, test: DataFrame, params: TreeParams = TreeParams(trees=200, rate=0.1),
+def ablation(train: DataFrame, test: DataFrame, keys: Sequence[str], params: TreeParams = TreeParams(trees=200, rate=0.1),
              groups: Mapping[str, Sequence[str]] = FEATURE_GROUPS, features: Sequence[str] = TASK_FEATURES,
              label: str = TASK_LABEL) -> DataFrame:
-    """Metrics of the same model on each feature group and on all features."""
+    """Metrics of the same model on each feature group and on all features. A stratified tenth of the train side
+    may end the boosting early."""
     check_feature_groups(groups, features)
     table = None
     for group, columns in {**groups, "all features": tuple(features)}.items():
-        model = fit_trees(train, (), params, columns, label, early_stop=False)
+        model = fit_trees(train, keys, params, columns, label)
         row = evaluate(score(model, test), label, "score", 0.5).select(
             F.lit(group).alias("feature_group"), F.lit(len(columns)).alias("n_features"), "*"
         )
