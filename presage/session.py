@@ -5,6 +5,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 # Streaming state on disk: it may outgrow executor memory.
@@ -41,8 +42,37 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_OWN_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It belongs to this application, which removes it by ``release`` or at
+    its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _OWN_PATHS:
+        atexit.register(_release_at_exit, spark)
+    _OWN_PATHS.append(path)
+    return path
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except (Py4JError, OSError):  # the JVM has gone first
+        pass
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every path that ``new_path`` has given so far, on whatever file system the shared folder is, and say
+    how many there were. Frames read from them can't be used any more."""
+    context, n = spark.sparkContext, len(_OWN_PATHS)
+    if context._jsc is None:  # stopped: the folder's owner has to clean up
+        return 0
+    jvm = context._jvm
+    while _OWN_PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_OWN_PATHS.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,14 @@ def test_staged_data_lives_in_the_configured_folder(spark):
     df = staged(spark.range(5), "mine")
     assert all(p.removeprefix("file://").startswith(shared_dir(spark)) for p in df.inputFiles())
     assert df.count() == 5
+
+
+def test_staged_folders_are_released(spark, monkeypatch):
+    from presage import session
+
+    monkeypatch.setattr(session, "_OWN_PATHS", [])  # leave those of other tests
+    kept = session.staged(spark.range(3))
+    assert kept.count() == 3
+    path = session._OWN_PATHS[0]
+    assert session.release(spark) == 1 and session._OWN_PATHS == []
+    assert not os.path.exists(path)
