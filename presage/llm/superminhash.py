@@ -227,7 +227,9 @@ def left_apart(compared_pairs: DataFrame, found: DataFrame, texts: DataFrame, n:
     values = ("u", "v", "component", "n_v", "both", "n_u", "apart")
     left = sized.where("outside").select(*values, F.lit(0).alias("side"), own(1, "outs").alias("i"), every("alls").alias("j"))
     right = sized.select(*values, F.lit(1).alias("side"), own(2, "alls").alias("j"), every("outs").alias("i"))
-    return left.unionByName(right).groupBy("u", "i", "j").applyInArrow(lambda t: links_of_block(t, percent), "u long, v long")
+    # rows lie by leader after the join; dealt anew, the blocks of a large group go to many tasks
+    dealt = left.unionByName(right).repartition("u", "i", "j")
+    return dealt.groupBy("u", "i", "j").applyInArrow(lambda t: links_of_block(t, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
