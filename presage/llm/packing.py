@@ -30,8 +30,9 @@ from presage.llm.common import ceil_div, small_batches
 from presage.session import staged
 
 GROUP_PIECES = 2048
-#: Words whose ids a worker remembers; then it forgets them all. Some 250 MB.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker remembers, in two generations: when the younger one is full, the elder one goes. With
+#: 200 bytes a word some 350 MB.
+CACHE_WORDS = 1_800_000
 #: A bin filled to this share is closed in the first round.
 WELL_FILLED = 0.995
 
@@ -68,7 +69,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.elder = Tokenizer.from_file(path), {}, {}
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -76,9 +77,11 @@ class WordIds:
         return TAIL.sub(rb"\1 \2", data if b"<|" in data else data.lower()).split()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(words.difference(self.known))
+        if 2 * len(self.known) > CACHE_WORDS:
+            self.known, self.elder = {}, self.known
+        missing = words.difference(self.known)
+        self.known.update((word, self.elder[word]) for word in missing if word in self.elder)
+        new = [word for word in missing if word not in self.elder]
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
