@@ -111,8 +111,8 @@ def too_short(words: int) -> Rule:
     return Rule("too_short", lambda s: s.n_words < words)
 
 
-def repeated(percent: int) -> Rule:
-    return Rule("repeated", lambda s: 100 * s.n_repeat_words > percent * s.n_words)
+def repeated(percent: int, least_words: int = 0) -> Rule:
+    return Rule("repeated", lambda s: s.n_words >= least_words and 100 * s.n_repeat_words > percent * s.n_words)
 
 
 def symbols(percent: int) -> Rule:
