@@ -117,3 +117,19 @@ def test_registry(spark):
     table = compare_models(registry).orderBy("position").collect()
     assert [r["missing"] for r in table] == [True, False, False, True, True]
     assert [r["f1"] for r in table][1:3] == [0.3, 0.2]
+
+
+def test_a_row_without_score_raises_everywhere(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (0, None)], "y int, s double")
+    for run in (
+        lambda: evaluate(df, "y", "s", 0.5), lambda: threshold_sweep(df, "y", "s"),
+        lambda: confusion(df, "y", F.col("s") >= 0.5),
+    ):
+        with pytest.raises(Exception, match="no score"):
+            run().collect()
+
+
+def test_rows_without_time_are_a_group_of_their_own(spark):
+    df = spark.createDataFrame([(1, 0.9, 0), (0, 0.1, 100), (1, 0.8, None), (0, 0.2, None)], "y int, score double, window_end long")
+    got = {r["bin"]: r["n_test"] for r in drift_by_bin(df, 0.5, 2, label="y").collect()}
+    assert got == {1: 1, 2: 1, None: 2}

@@ -71,7 +71,7 @@ def test_draws_stay_in_their_ranges():
 def test_ablation(spark, planted):
     train, test = planted
     groups = {"strong": ("a",), "weak": ("b",), "noise": ("c",)}
-    table = models.ablation(train, test, models.TreeParams(trees=3, depth=3, rate=0.2), groups, FEATURES, "y")
+    table = models.ablation(train, test, ["id"], models.TreeParams(trees=3, depth=3, rate=0.2), groups, FEATURES, "y")
     rows = {r["feature_group"]: r for r in table.collect()}
     assert set(rows) == {"strong", "weak", "noise", "all features"} and rows["all features"]["n_features"] == 3
     best = models.best_solo_group(table).first()
@@ -91,3 +91,24 @@ def test_sequence_net(spark):
     df = staged(df, "sequences")
     model = models.fit_sequence_net(df, 3, 2, "y", hidden=8, max_iter=40)
     assert auc(models.score(model, flat_vector(df, output="raw"))) > 0.8
+
+
+def test_slopes_are_flat_at_the_optimum(spark, planted):
+    train, _ = planted
+    model = models.fit_logistic(train, FEATURES, "y")
+    assert all(abs(r["slope"]) < 1e-4 for r in models.logistic_slopes(model, train, "y").collect())
+    early = models.fit_logistic(train, FEATURES, "y", max_iter=1)
+    assert max(abs(r["slope"]) for r in models.logistic_slopes(early, train, "y").collect()) > 1e-3
+
+
+def test_stored_model_and_its_facts(spark, planted):
+    from presage.plans.jobs import StoredModel, load_model, save_model
+    from presage.session import new_path
+
+    train, test = planted
+    path, fitted = new_path(spark, "model"), models.fit_trees(train, ["id"], models.TreeParams(trees=3, depth=2), FEATURES, "y")
+    save_model(spark, StoredModel(fitted, tuple(FEATURES), 0.25), path)
+    again = load_model(spark, path)
+    assert (again.features, again.threshold) == (tuple(FEATURES), 0.25)
+    both = models.score(again.model, models.score(fitted, test), "again")
+    assert both.where("score <> again").count() == 0
