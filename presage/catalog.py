@@ -31,10 +31,8 @@ from presage.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Rounding after a small shift: values that end in an exact half digit (means of a
-# few short decimals do) then round the same way whatever their last bits are.
-ROUND_SHIFT = 3.7e-8
-ROUND_DIGITS = 6
+# To nine digits first: a value that ends in a half digit then rounds the same way whatever its last bits are.
+ROUND_DIGITS = (9, 6)
 
 DAILY = WindowConfig(US_PER_DAY, US_PER_DAY, 2)
 MISMATCHED = WindowConfig(US_PER_DAY, 2 * US_PER_DAY, 2)
@@ -47,7 +45,7 @@ ALERT_RISK = 0.5
 def rounded(df: DataFrame) -> DataFrame:
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
     return df.select(*[
-        F.round(F.col(c) + F.lit(ROUND_SHIFT), ROUND_DIGITS).alias(c) if c in doubles else F.col(c)
+        F.round(F.round(c, ROUND_DIGITS[0]), ROUND_DIGITS[1]).alias(c) if c in doubles else F.col(c)
         for c in df.columns
     ])
 

@@ -217,7 +217,7 @@ def shaped(body, floats=()):
     """Final SELECT with the catalog's rounding on the float columns."""
     if not floats:
         return body
-    swaps = ", ".join(f'round("{c}" + 3.7e-8, 6) AS "{c}"' for c in floats)
+    swaps = ", ".join(f'CAST(round(CAST("{c}" AS DECIMAL(38, 9)), 6) AS DOUBLE) AS "{c}"' for c in floats)
     head, _, tail = body.rpartition("\n--final\n")
     return f"{head}\nSELECT * REPLACE ({swaps}) FROM (\n{tail}\n)"
 
