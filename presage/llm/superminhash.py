@@ -218,9 +218,9 @@ def left_apart(compared_pairs: DataFrame, found: DataFrame, texts: DataFrame, n:
     members = staged(placed.join(open_groups, "u"), "apart")
     detail = compared(members.select("u", "v"), texts, n, True).withColumnsRenamed({"u": "x", "v": "y"})
     rows = staged(members.join(detail, (F.col("u") == F.col("x")) & (F.col("v") == F.col("y"))).drop("x", "y"), "differences")
-    size = rows.groupBy("u").agg(
+    size = staged(rows.groupBy("u").agg(
         F.ceil(F.greatest(F.count_if("outside") / BLOCK_ROWS, F.sum(F.when(F.col("outside"), F.octet_length("apart"))) / BLOCK_BYTES)).cast("int").alias("outs"),
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.octet_length("apart")) / BLOCK_BYTES)).cast("int").alias("alls"))
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.octet_length("apart")) / BLOCK_BYTES)).cast("int").alias("alls")), "blocks")
     sized = rows.drop("all", "out").join(size, "u")
     own = lambda seed, parts: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
