@@ -38,6 +38,7 @@ DAILY = WindowConfig(US_PER_DAY, US_PER_DAY, 2)
 MISMATCHED = WindowConfig(US_PER_DAY, 2 * US_PER_DAY, 2)
 SIX_HOURS = WindowConfig(6 * US_PER_HOUR, 6 * US_PER_HOUR, 2)
 WINDOW_KEYS = (*ENTITY, "window_start")
+MACHINE_KEYS = ("machine_id", "window_start")
 ALERT_Z = 1.5
 ALERT_RISK = 0.5
 
@@ -735,14 +736,28 @@ def model_roundtrip(spark, sf_dir):
         "same_facts", F.lit((again.features, again.threshold) == (fitted.features, fitted.threshold)))
 
 
-@query
-def machine_gbt_scores(spark, sf_dir):
+def _machine_split(spark, sf_dir):
     t = load_trace(spark, sf_dir)
     built = windows.machine_windows(t.usage, t.task_events, t.machine_events, SIX_HOURS)
-    keys = ("machine_id", "window_start")
-    s = stored_split(built, MACHINE_FEATURES, MACHINE_LABEL, keys)
-    model = models.fit_trees(s.train, keys, features=MACHINE_FEATURES, label=MACHINE_LABEL)
-    return _scored(models.score(model, s.test), *keys, MACHINE_LABEL)
+    return stored_split(built, MACHINE_FEATURES, MACHINE_LABEL, MACHINE_KEYS)
+
+
+def _machine_trees(train):
+    return models.fit_trees(train, MACHINE_KEYS, features=MACHINE_FEATURES, label=MACHINE_LABEL)
+
+
+@query
+def machine_gbt_scores(spark, sf_dir):
+    s = _machine_split(spark, sf_dir)
+    return _scored(models.score(_machine_trees(s.train), s.test), *MACHINE_KEYS, MACHINE_LABEL)
+
+
+@query
+def machine_gbt_report(spark, sf_dir):
+    s = _machine_split(spark, sf_dir)
+    train, test = _scored_sides(s, _machine_trees(s.train))
+    report = models.tuned_report(train, test, "machine_trees", MACHINE_LABEL)
+    return _report_facts(report).select("model", "n_test", "n_positive", "adds_up", "ranked")
 
 
 @query
@@ -764,6 +779,8 @@ def sequence_net_scores(spark, sf_dir):
     medians = split.fit_medians(split.split_at(built, cutoff)[0], TASK_FEATURES)
     ready = sequences.lookback(split.fill_medians(built, medians, TASK_FEATURES))
     train, test = split.split_at(ready, cutoff)
+    # the entities with a failure and ten times as many others, as sequences are wide
+    train = sequences.entity_subset(staged(train, "sequences"))
     train = staged(split.undersample(train, TASK_LABEL, WINDOW_KEYS, 20.0, 42), "sequences")
     model = models.fit_sequence_net(train, sequences.SEQUENCE_LENGTH)
     return _scored(models.score(model, sequences.flat_vector(test, output="raw")), *WINDOW_KEYS, TASK_LABEL)

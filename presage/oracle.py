@@ -534,6 +534,11 @@ m AS (
         f"{machines}, {nearest('m', 'window_end', 0.8, 'cutoff')}",
         "SELECT machine_id, window_start, label_remove_soon, true AS valid FROM m WHERE window_end > (SELECT v FROM cutoff)",
     )
+    out["machine_gbt_report"] = sql(
+        f"{machines}, {nearest('m', 'window_end', 0.8, 'cutoff')}",
+        """SELECT 'machine_trees' AS model, count(*) AS n_test, CAST(sum(label_remove_soon) AS BIGINT) AS n_positive, true AS adds_up,
+           true AS ranked FROM m WHERE window_end > (SELECT v FROM cutoff)""",
+    )
     for name in ("logreg_scores", "gbt_scores", "sequence_net_scores"):
         out[name] = sql(daily_split(), f"SELECT {E}, window_start, label_fail_soon, true AS valid FROM test")
     out["logreg_coefficients"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS flat" for c in TASK_FEATURES)
