@@ -6,8 +6,9 @@ by weight until none is above.
 
 Every document of a source asks for target / size copies. The whole part is given; the
 fractional parts, equal within a source, are rounded by the pivotal method: the unit in
-hand meets the next one by size, and words move from one to the other at random until
-one of them is whole; the other stays in hand. That keeps the words of all together.
+hand meets the next smaller one, and words move from one to the other at random until
+one of them is whole; the other stays in hand. That keeps the words of all together, and
+what is in hand at the end is small.
 Groups of about ``GROUP`` units run at once; each hands one fractional unit to the next
 level, where the units of a source meet again, until every source has one. The last is
 rounded to the nearer, so a source misses its target by half a document at most. Draws
@@ -106,7 +107,7 @@ def _level(units: DataFrame, level: int, seed: int) -> DataFrame:
     """Round within (source, part); a source has as many parts, by a hash, as its units need."""
 
     def rounded(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in ("size", "key", "spread", "uid")])
+        group = group.sort_by([("size", "descending"), *((c, "ascending") for c in ("key", "spread", "uid"))])
         out = round_group(*(group.column(c).to_numpy() for c in ("mass", "size", "draw")))
         return group.select(["source", "uid", "key", "spread", "size"]).append_column("mass", pa.array(out))
 
