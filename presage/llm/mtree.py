@@ -118,11 +118,13 @@ class Tree:
             if radii is None:
                 least_dot = (reach[active] - limit[active] ** 2) / 2.0
                 for c in np.flatnonzero(dots.max(axis=0) >= least_dot):
-                    q, mine = active[c], dots[:, c]
-                    if len(mine) > k + 1:  # its own row may be among the best
-                        least_dot[c] = max(least_dot[c], np.partition(mine, -k - 1)[-k - 1])
-                    hits = np.flatnonzero(mine >= least_dot[c])
-                    found = [(-int(mine[i]), int(ids[near[i]])) for i in hits if ids[near[i]] != own[q]]
+                    q = active[c]
+                    other = ids[near] != own[q]
+                    mine = np.where(other, dots[:, c], -np.inf)  # its own rows, however many, take no place among the best
+                    if len(mine) > k:
+                        least_dot[c] = max(least_dot[c], np.partition(mine, -k)[-k])
+                    hits = np.flatnonzero(other & (mine >= least_dot[c]))
+                    found = [(-int(mine[i]), int(ids[near[i]])) for i in hits]
                     best[q] = sorted(best[q] + found)[:k]
                     if len(best[q]) == k:
                         limit[q] = min(limit[q], np.sqrt(max(reach[q] + 2.0 * best[q][-1][0], 0.0)) + slack[q])

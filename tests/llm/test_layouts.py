@@ -256,6 +256,16 @@ def test_search_equals_all_pairs(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == brute_top(ints, [i for i, _ in raw if i % 50 == 0], 5)
 
 
+def test_search_with_repeated_rows_of_a_query(spark):
+    rng = np.random.default_rng(7)
+    raw = [(i, rng.normal(0, 1, 6).tolist()) for i in range(120)]
+    raw += [raw[q] for q in (0, 50, 100) for _ in range(4)]  # five own rows of each query in one leaf
+    vectors = mtree.integer_vectors(spark.createDataFrame(raw, "vec_id long, embedding array<double>"))
+    got = mtree.Index(vectors).top_k(vectors.where(F.col("id") % 50 == 0), 5).collect()
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in raw]
+    assert sorted(tuple(r) for r in got) == brute_top(ints, [0, 50, 100], 5)
+
+
 def test_search_avoids_distances():
     rng = np.random.default_rng(6)
     v = np.floor(256 * (np.repeat(rng.normal(0, 1, (20, 8)), 100, axis=0) + rng.normal(0, 0.02, (2000, 8))))
