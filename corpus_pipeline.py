@@ -10,7 +10,7 @@ from presage.session import staged
 TOKENIZER = "word_bpe_49k.json"
 
 #: Clean texts may be short, and half of a short text may be a line that it repeats: only junk is rejected here.
-RULES = (*cascade.JUNK, cascade.repeated(50, least_words=50))
+RULES = (*cascade.JUNK_ANY, cascade.repeated(50, least_words=50))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

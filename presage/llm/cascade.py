@@ -15,6 +15,7 @@ order. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -31,6 +32,12 @@ SAMPLE_ROWS = 2000
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
+#: Runs of scripts that set no space between words: Thai, Lao, Tibetan, Burmese, Khmer, Tai, Chinese, Japanese, Yi.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u312f\u3190-\ua4cf"
+                      "\uf900-\ufaff\ufe30-\ufe4f\uff00-\uff9f\U00020000-\U0003ffff]+")
+#: So many of their characters count as a word.
+UNSPACED_WORD = 2
+BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
 
 
 class Stats:
@@ -67,6 +74,25 @@ class Stats:
     def n_lower(self) -> int:
         return self._count(LOWER)
 
+    @cached_property
+    def is_ascii(self) -> bool:
+        return len(self.text) == len(self.data)
+
+    @cached_property
+    def n_unspaced(self) -> int:
+        return 0 if self.is_ascii else sum(map(len, UNSPACED.findall(self.text)))
+
+    @cached_property
+    def n_units(self) -> int:
+        """Words, those of scripts without spaces by their characters."""
+        return self.n_words + self.n_unspaced // UNSPACED_WORD
+
+    @cached_property
+    def n_cases(self) -> tuple[int, int]:
+        """Upper and lower letters of every script that has them."""
+        rest = "" if self.is_ascii else "".join(BEYOND_ASCII.findall(self.text))
+        return self.n_upper + sum(map(str.isupper, rest)), self.n_lower + sum(map(str.islower, rest))
+
     @cached_property
     def n_marks(self) -> int:
         return self._count(b"!?")
@@ -135,10 +161,45 @@ def dup_lines(percent: int) -> Rule:
     return Rule("dup_lines", lambda s: 100 * s.n_dup_lines > percent * s.n_lines)
 
 
+def symbols_any(percent: int) -> Rule:
+    return Rule("symbols", lambda s: 100 * s.n_symbols > percent * s.n_units)
+
+
+def marks_any(percent: int) -> Rule:
+    return Rule("marks", lambda s: 100 * s.n_marks > percent * s.n_units)
+
+
+def shouting_any(percent: int, least_words: int) -> Rule:
+    """Upper case by the letters of every script, in texts of ``least_words`` or more whose letters mostly have a case."""
+
+    def rejects(s: Stats) -> bool:
+        if s.n_units < least_words:
+            return False
+        upper, lower = s.n_cases
+        return 100 * upper > percent * (upper + lower) and 2 * (upper + lower) >= s.word_chars
+
+    return Rule("shouting", rejects)
+
+
+def word_length_any(low: float, high: float) -> Rule:
+    """Characters of scripts without spaces make no word long; where most are such, none is too short either."""
+
+    def rejects(s: Stats) -> bool:
+        if not s.n_words:
+            return False
+        return s.word_chars - s.n_unspaced > high * s.n_words or (
+            s.word_chars < low * s.n_words and 2 * s.n_unspaced <= s.word_chars)
+
+    return Rule("word_length", rejects)
+
+
 #: The base rules of the reports: n_words < 50, more than half of the words in repeated windows.
 BASE = (too_short(50), repeated(50))
-#: What marks machine text and junk in any language; prose stays far below each limit.
+#: What marks machine text and junk in languages of Latin letters; prose stays far below each limit. The SQL of
+#: op4_quality_cascade fixes these.
 JUNK = (symbols(20), marks(30), shouting(60), word_length(2.0, 25.0), dup_lines(50))
+#: The same limits for texts of any script, and of a few words.
+JUNK_ANY = (symbols_any(20), marks_any(30), shouting_any(60, 10), word_length_any(2.0, 25.0), dup_lines(50))
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> list[tuple[str, float, float]]:

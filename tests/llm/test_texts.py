@@ -83,6 +83,29 @@ def test_keep_documents_keeps_rows_and_columns(odd, nothing, odd_rows):
     assert len(cascade.measure(odd, cascade.JUNK, 5)) == len(cascade.JUNK)
 
 
+def test_pipeline_rules_keep_prose_of_any_script(spark):
+    import corpus_pipeline
+
+    clean = {
+        "Chinese": "今天天气很好，我们一起去公园散步，看见许多花开了，也遇到了从前的老朋友和他的家人。\n然后我们去喝茶，谈了很久，直到天黑才回家！你说呢？",
+        "Chinese with acronym": "昨天NASA发布了新的照片，引起了全世界科学家的注意，许多人都在讨论这些照片的意义。",
+        "Chinese set apart": "今天 天 气 很 好 我 们 去 公 园 散 步",
+        "Japanese": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所で泣いていた事だけは記憶している? 本当です。",
+        "Thai": "ประเทศไทยเป็นประเทศที่ตั้งอยู่ในเอเชียตะวันออกเฉียงใต้ มีเมืองหลวงคือกรุงเทพมหานครและมีประชากรมาก",
+        "Korean": "오늘은 날씨가 좋아서 우리는 공원에 갔다. 그리고 NASA 사진을 보았다. 모두가 즐거워했고 집에 돌아왔다.",
+        "Russian": "Вчера агентство NASA показало новые снимки, и учёные со всего мира обсуждают, что на них можно увидеть.",
+        "Greek": "Χθες η NASA έδειξε νέες εικόνες και οι επιστήμονες από όλο τον κόσμο συζητούν τι φαίνεται σε αυτές.",
+        "Arabic": "نشرت وكالة NASA أمس صورا جديدة ويناقش العلماء من جميع أنحاء العالم ما يمكن رؤيته في هذه الصور الجديدة",
+        "acronym": "OK", "acronyms": "NASA ESA",
+    }
+    junk = {
+        "Latin shouting": "BUY THIS NOW AND TELL ALL OF YOUR FRIENDS ABOUT IT TODAY", "Russian shouting": "КУПИТЕ ЭТО СЕЙЧАС И СКАЖИТЕ ВСЕМ СВОИМ ДРУЗЬЯМ ОБ ЭТОМ СЕГОДНЯ",
+        "long runs": "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0NTY3 " * 3, "short runs": "a b c d e f g h i j", "marks": "今天!!!!!!!!天气", "symbols": "今天####$$$$天气",
+    }
+    docs = spark.createDataFrame([*clean.items(), *junk.items()], "name string, text string").selectExpr("hash(name) as doc_id", "*")
+    assert {r["name"] for r in cascade.keep_documents(docs, corpus_pipeline.RULES).collect()} == set(clean)
+
+
 def test_lines_equal_plain_version(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d e", "", " "]) for _ in range(rng.randint(0, 25)))) for i in range(60)]
