@@ -265,8 +265,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_firsts(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with all their columns: one document of each group. Of rows with one doc_id one stays."""
-    judged = near_duplicates(docs, n, percent).where("kept").select(F.col("doc_id").alias("id")).where("id is not null").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = rows.join(judged, "id", "left_semi").dropDuplicates(["id"])
-    return kept.unionByName(rows.where("id is null")).select("row.*")
+    """The rows of ``docs`` with all their columns: of each group the first by doc_id (null first) and hash of the
+    text. Rows are told apart by stored numbers, so those that share a doc_id or have none are compared like all
+    others; of rows with one doc_id and no word one stays."""
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    judged = near_duplicates(rows.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), n, percent).select(
+        F.col("doc_id").alias("uid"), "n_shingles", "component_id")
+    named = rows.select("uid", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("h")).join(judged, "uid")
+    wordless = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    firsts = named.groupBy(F.when(~wordless, F.col("component_id")).alias("of"), F.when(wordless, F.col("id")).alias("of_id")).agg(
+        F.min(F.struct("id", "h", "uid")).alias("first")).select("first.uid")
+    return rows.join(firsts, "uid", "left_semi").select("row.*")

@@ -232,6 +232,14 @@ def test_near_duplicates_of_odd_tables(odd, odd_rows, nothing):
     assert superminhash.near_duplicates(nothing).count() == 0 and superminhash.keep_firsts(nothing).count() == 0
 
 
+def test_keep_firsts_tells_rows_apart(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(20))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a")), (None, text("c")), (None, text("c")), (3, text("c")),
+            (None, text("d")), (4, ""), (4, ""), (4, text("e"))]
+    kept = superminhash.keep_firsts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(d), t[:1]) for d, t in kept) == [("1", "a"), ("1", "b"), ("4", ""), ("4", "e"), ("None", "c"), ("None", "d")]
+
+
 def brute_top(vectors, queries, k):
     out = []
     for q in queries:
