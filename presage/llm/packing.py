@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents under several capacities at once.
 
 Documents become pieces of at most ``tokens`` ids. Pieces are dealt by a hash into groups
-of about ``GROUP_PIECES``; each group is packed on its own, longest piece first. A piece
+of about ``GROUP_PIECES`` (pieces that are equal more often than that, by their row numbers); each group is packed on its own, longest piece first. A piece
 asks for (tokens, 1 document, length^2 of attention) and goes to the open bin that has
 room in every dimension and is left with the smallest weighted residual norm, or with
 the largest weighted dot-product of residual and demand; if none has room, it opens a bin.
@@ -37,7 +37,7 @@ CACHE_WORDS = 1_800_000
 WELL_FILLED = 0.995
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+PACKED = PIECES + ", deal long, sequence_id long, offset long"
 
 
 @dataclass(frozen=True)
@@ -165,23 +165,33 @@ def _round(pieces: DataFrame, groups: int, capacity: Capacity, base: int, final:
         number = group.column("group")[0].as_py()
         group = group.drop_columns(["group"])
         # the same group gives the same bins whatever order its rows come in
-        group = group.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32", "deal")])
         lengths = group.column("length").to_numpy()
         bins, offsets = best_fit(lengths, capacity)
         none = np.zeros(len(bins), bool) if final else np.bincount(bins, lengths)[bins] < WELL_FILLED * capacity.tokens
         numbers = pa.array(base + (number << 32) + bins, mask=none)
         return group.append_column("sequence_id", numbers).append_column("offset", pa.array(offsets, mask=none))
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(base)), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("deal", F.lit(base)), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(pack, PACKED)
 
 
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """Stored ``pieces`` with ``deal``, by which they go to groups: a hash of what a piece says, and of its row
+    number too where more than a group of pieces say the same."""
+    keyed = pieces.withColumn("uid", F.monotonically_increasing_id()).withColumn("deal", F.xxhash64("doc_id", "piece", "length", "ids_crc32"))
+    many = keyed.groupBy("deal").count().where(F.col("count") > GROUP_PIECES).select(F.col("deal").alias("many"))
+    spread = F.when(F.col("many").isNotNull(), F.xxhash64("deal", "uid")).otherwise(F.col("deal"))
+    # one key at most for every GROUP_PIECES rows; a shuffle would bring equal pieces to one task
+    return keyed.join(F.broadcast(many), F.col("deal") == F.col("many"), "left").select(*pieces.columns, spread.alias("deal"))
+
+
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
-    """``pieces`` with sequence_id and offset. They are read twice: pass a stored table."""
-    first = staged(_round(pieces, ceil_div(pieces.count(), GROUP_PIECES), capacity, 0, False), "packed")
+    """``pieces`` with sequence_id and offset. They are read three times: pass a stored table."""
+    first = staged(_round(_dealt(pieces), ceil_div(pieces.count(), GROUP_PIECES), capacity, 0, False), "packed")
     done, rest = first.where("sequence_id is not null"), first.where("sequence_id is null").drop("sequence_id", "offset")
     groups = ceil_div(rest.count(), GROUP_PIECES)
-    return done.unionByName(_round(rest, groups, capacity, 1 << 62, True))
+    return done.unionByName(_round(rest, groups, capacity, 1 << 62, True)).drop("deal")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), end_id: int = 1) -> DataFrame:

@@ -45,6 +45,15 @@ def test_packing_ids_and_pieces(odd, odd_rows, nothing):
     assert packing.pack_documents(nothing, TOKENIZER).count() == 0
 
 
+def test_packing_groups_of_pieces_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 16)
+    rows = [(None, 0, 0, 4096, 7 if i % 2 else i) for i in range(400)]  # half of them equal, all without an id
+    pieces = packing.staged(spark.createDataFrame(rows, packing.PIECES).repartition(3))
+    out = packing.pack(pieces).collect()
+    assert sorted(r["ids_crc32"] for r in out) == sorted(r[4] for r in rows) and check_packed(out, packing.Capacity()) == 400
+    assert max(Counter(r["sequence_id"] >> 32 for r in out).values()) < 60
+
+
 def test_word_cache_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
