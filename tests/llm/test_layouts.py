@@ -155,6 +155,15 @@ def test_overfull_ranges_are_divided(spark):
     assert max(b for b, _ in counted) < 1000 * 3 / 8 / 8 and sum(n for _, n in counted) == 1000
 
 
+def test_repeated_rows_are_divided(spark):
+    for hot in ((None, "x"), (7, "x y"), (None, None)):
+        rows = [hot if i % 3 else (1000 + i, f"{i}") for i in range(3000)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        out = sharding.assign(frame).collect()
+        off, share = check_shards(out, rows, 8)
+        assert off < 0.02 * share
+
+
 def test_shards_of_odd_tables(odd, odd_rows, nothing):
     check_shards(sharding.assign(odd).collect(), [r[:2] for r in odd_rows], 8)
     assert sharding.assign(nothing).count() == 0
