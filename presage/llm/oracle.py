@@ -124,3 +124,44 @@ from documents d join least on node = d.doc_id left join sizes using (doc_id)
 """
 
 ORACLE |= {"op2_mtree_topk": TOP_K, "op4_quality_cascade": CASCADE, "op8_superminhash": NEAR}
+
+COSINES = r"""
+with recursive vectors as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), normed as materialized (
+  select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as length from vectors
+), links as materialized (
+  select a.vec_id as u, b.vec_id as v
+  from normed a join normed b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.length * b.length) >= 0.98
+), reach(node, root) as (
+  select vec_id, vec_id from embeddings union select links.v, reach.root from reach join links on links.u = reach.node
+), least as (select node, min(root) as component_id from reach group by node
+), counted as (select u, count(*) as n from links group by u)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on node = vec_id left join counted on u = vec_id
+"""
+
+LEXICAL = r"""
+with said as materialized (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+), counts as materialized (select doc_id, term, count(*) as tf from said group by 1, 2
+), lengths as materialized (select doc_id, sum(tf)::bigint as n from counts group by 1
+), whole as materialized (select count(*)::bigint as docs, sum(n)::bigint as total from lengths
+), weights as materialized (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counts, whole group by term, docs
+), asked as materialized (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::bigint as score
+  from asked join weights using (term) join counts using (term) join lengths using (doc_id), whole group by 1, 2
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
+ORACLE |= {"op11_pstable_hashing": COSINES, "op12_norm_buckets": LEXICAL}

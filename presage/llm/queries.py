@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import cascade, chat, gam, lines, mixing, mtree, packing, pii, sharding, superminhash
+from presage.llm import alignment, cascade, chat, gam, lemp, lines, mixing, mtree, packing, pii, pstable, sharding, superminhash
 from presage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,19 @@ def op6_additive_model(spark, sf_dir):
 @query
 def op7_bootstrapped_pii(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_pstable_hashing(spark, sf_dir):
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@query
+def op12_norm_buckets(spark, sf_dir):
+    return lemp.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_pointer_jumping(spark, sf_dir):
+    left, right = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), left, right)

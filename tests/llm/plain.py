@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -92,3 +93,78 @@ def base_spans(text):
             out.append(("card", *m.span()))
     out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
     return out
+
+
+def linked_vectors(rows, cosine):
+    """{number: (links, component)} of (vec_id, label, vector) rows by comparing all pairs; the component is a vec_id."""
+    ok = [k for k, (i, label, v) in enumerate(rows) if i is not None and label is not None and v
+          and all(x is not None and abs(x) < float("inf") for x in v) and any(v)]
+    links, parent = Counter(), {k: k for k in range(len(rows))}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(ok, 2):
+        (_, p, v), (_, q, w) = rows[a], rows[b]
+        if p == q and len(v) == len(w):
+            top = max(map(abs, v)), max(map(abs, w))
+            v, w = [x / top[0] for x in v], [x / top[1] for x in w]
+            if sum(x * y for x, y in zip(v, w)) / (sum(x * x for x in v) * sum(x * x for x in w)) ** 0.5 >= cosine:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    parts = defaultdict(list)
+    for k in parent:
+        parts[root(k)].append(k)
+    return {k: (links[k], min((rows[m][0] for m in of), default=None) if len(of) > 1 else rows[k][0]) for of in parts.values() for k in of}
+
+
+def lexical_ranks(docs, items, k):
+    """(item_id, rank, doc_id, score) by scoring every document for every item; docs are (doc_id, text)."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    said = [(d, Counter(term.findall(fold(t or "")))) for d, t in docs]
+    said = [(d, c) for d, c in said if c]
+    total, df = sum(sum(c.values()) for _, c in said), Counter(t for _, c in said for t in c)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item].update(term.findall(fold(text or "")))
+    out = []
+    for item, of in asked.items():
+        scored = []
+        for at, (d, c) in enumerate(said):
+            n = sum(c.values())
+            m = 10 + 90 * n * len(said) // total
+            score = sum(math.floor(1000 * math.log((2 * len(said) + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in of if t in c)
+            if score > 0:
+                scored.append((-score, d is None, d or 0, n, at))
+        out += [(item, r + 1, None if none else d, -s) for r, (s, none, d, _, _) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def aligned_groups(a, b):
+    """[(left tokens, right tokens)] of (id, bytes) lists, None if their bytes differ."""
+    if b"".join(x for _, x in a) != b"".join(x for _, x in b):
+        return None
+    out, at, to = [([], [])], [0, 0], [list(a), list(b)]
+    while to[0] or to[1]:
+        side = 0 if to[0] and (at[0] <= at[1] or not to[1]) else 1
+        i, said = to[side].pop(0)
+        out[-1][side].append(i)
+        at[side] += len(said)
+        if at[0] == at[1]:
+            out.append(([], []))
+    return out[:-1]
+
+
+def overlaps(a, b):
+    """Id pairs of tokens that share a byte."""
+    def spans(tokens):
+        at = 0
+        for i, said in tokens:
+            yield i, at, at + len(said)
+            at += len(said)
+    right = list(spans(b))
+    return [(i, j) for i, s, e in spans(a) for j, t, f in right if s < f and t < e]
