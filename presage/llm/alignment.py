@@ -36,6 +36,7 @@ from presage.session import staged
 HEAD = 1 << 18
 #: Bytes of text that are aligned at once, and id pairs that a task adds up before it passes them on.
 AT_ONCE, PAIRS_AT_ONCE = 2_000_000, 4_000_000
+BLANKS = re.compile(r"\s{2000}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,6 +64,7 @@ def byte_side(path: str) -> Side:
     """A byte-level vocabulary; merges are in the order of ids, special tokens aren't looked for."""
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     letters = byte_letters()
     with open(path) as f:
@@ -74,7 +76,15 @@ def byte_side(path: str) -> Side:
     for piece, i in ranks.items():
         pieces[i] = piece
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Side(lambda text: encoding.encode_ordinary(" " + text), pieces)
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+
+    def encode(text: str) -> list[int]:
+        if BLANKS.search(text):  # the faster library's pattern would look back through all of them
+            return slow.encode(" " + text, add_special_tokens=False).ids
+        return encoding.encode_ordinary(" " + text)
+
+    return Side(encode, pieces)
 
 
 @lru_cache(maxsize=2)

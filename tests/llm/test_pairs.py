@@ -214,3 +214,5 @@ def test_side_equals_the_public_tokenizer(spark):
     left.encode_special_tokens = True
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select(F.col("text")).limit(300).collect():
         assert ours.encode(r["text"]) == left.encode(" " + r["text"], add_special_tokens=False).ids
+    for text in (" " * 1_000_000, "a" + "\n" * 300_000 + "b", "\t \u3000" * 1000 + "x", "z" * 200_000):
+        assert len(b"".join(ours.pieces[i] for i in ours.encode(text))) == 1 + len(text.encode())
