@@ -35,7 +35,7 @@ from presage.session import staged
 
 WIDTH, CANDIDATES, MISS = 2.0, 256, 1e-6
 SAMPLE_ROWS, MOST_BITS = 2000, 24
-BLOCK_ROWS, PAIRS_AT_ONCE = 2048, 200_000
+BLOCK_ROWS, PAIRS_AT_ONCE = 512, 200_000
 
 
 def shared_step(distance: np.ndarray | float) -> np.ndarray:
