@@ -217,8 +217,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98, seed: int = 11) ->
     signed = staged(plain.mapInArrow(sign, f"{kinds}, keys array<int>"), "signed-vectors")
 
     tabled = ("label", "dim", "at", "key")
-    crowded = signed.select("label", "dim", F.posexplode("keys").alias("at", "key")).groupBy(*tabled).agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") > BLOCK_ROWS).select(*tabled, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    # stored, so that the planner knows how few they are before it deals out vectors
+    crowded = staged(signed.select("label", "dim", F.posexplode("keys").alias("at", "key")).groupBy(*tabled).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > BLOCK_ROWS).select(*tabled, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")), "crowded")
     dealt = signed.select("*", F.posexplode("keys").alias("at", "key")).join(crowded, list(tabled), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("parts")).cast("int")
     met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
