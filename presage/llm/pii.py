@@ -1,14 +1,16 @@
 """Personal data by fixed patterns and by bootstrapped contexts.
 
 Base spans are found by pattern: e-mail addresses, IPv4 addresses, card numbers (Luhn)
-and international phone numbers. They are the seeds. Every seed, and every other token
-that looks like an identifier (``MIN_LENGTH`` characters with ``MIN_DIGITS`` digits), is an
-instance; the words around it are its lexical patterns: the two words before it, and the
-word before with the word after. Instances and patterns of the whole corpus are the two
-sides of a graph. Seeds score 1. In each round a pattern's confidence is the summed score
-of its instances over their number plus one, patterns below ``CONFIDENT`` or with fewer
-than ``SUPPORT`` believed instances count nothing, and an instance scores as a noisy-or of
-its patterns. At the end tokens in confident patterns are spans of kind ``context``.
+and international phone numbers. They are seeds, and so are values that a text assigns to
+one of ``SECRET_WORDS``. Every seed, and every other token that looks like an identifier
+(``MIN_LENGTH`` characters with ``MIN_DIGITS`` digits), is an instance. Its patterns are the two
+words or signs before it, the one before with the one after, and, of tokens that mix letters
+and digits, the shape: how many letters and digits follow one another. Instances and patterns
+of the whole corpus are the two sides of a graph. Seeds score 1. In each round a pattern's
+confidence is the summed score of its instances over their number plus one, patterns below
+``CONFIDENT`` or with fewer than ``SUPPORT`` believed instances count nothing, and an instance
+scores as a noisy-or of its patterns. At the end tokens in confident patterns, seeds of secrets
+too, are spans of kind ``context``.
 
 Defined results: a null text is empty; base spans always stay; spans are in code points,
 end exclusive; kinds stand in the order email, ip, card, phone, context, then by start;
@@ -42,6 +44,14 @@ BORDER = frozenset(" \t\n\r\x0b\x0c\"'=:,;()<>[]{}")
 TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c\"'=:,;()<>\[\]{}]*")
 CONTEXT = re.compile(r"[^\W\d_]+|[=:#]")
 
+#: Names of things whose values are kept secret. They only start the search: other names are learned from it.
+SECRET_WORDS = ("accesskey", "apikey", "auth", "credential", "iban", "passphrase", "passport", "passwd", "password", "pwd", "secret", "secretkey", "ssn", "token")
+ASSIGN = re.compile(r"[:=]")
+NAME = re.compile(r"([A-Za-z][A-Za-z_-]*)[\"']?[ \t]{0,3}$")
+VALUE = re.compile(r"[ \t]{0,3}[\"']?")
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+RUNS = re.compile(r"[0-9]+|[^\W\d_]+|[\W_]+")
+
 MIN_LENGTH, MIN_DIGITS, REACH = 6, 3, 60
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.7, 3
 
@@ -70,7 +80,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not DIGIT.search(text):
         return found
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m.group())
@@ -101,10 +111,31 @@ def identifiers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
             yield start, end
 
 
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values of ``SECRET_WORDS``: the token after ``name =`` or ``name:``, if it holds a digit."""
+    for m in ASSIGN.finditer(text):
+        name = NAME.search(text, max(0, m.start() - REACH), m.start())
+        if name and re.sub("[_-]", "", name.group(1).lower()) in SECRET_WORDS:
+            start = VALUE.match(text, m.end()).end()
+            end = TOKEN.match(text, start).end()
+            if end - start >= MIN_LENGTH and DIGIT.search(text, start, end):
+                yield start, end
+
+
+def shape(token: str) -> str | None:
+    """Lengths of runs of letters, digits and others, of tokens that have both letters and digits."""
+    if token.isdigit() or not DIGIT.search(token) or not any(map(str.isalpha, token)):
+        return None
+    if HEX.fullmatch(token):
+        return f"hex{len(token)}"
+    return "".join(f"{'9' if r[0].isdigit() else 'a' if r[0].isalpha() else r[0]}{len(r)}" for r in RUNS.findall(token))
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     before = CONTEXT.findall(text[max(0, start - REACH) : start].lower())[-2:]
     after = CONTEXT.findall(text[end : end + REACH].lower())[:1]
-    out = []
+    form = shape(text[start:end]) if end - start <= REACH else None
+    out = [f"like {form}"] if form and len(form) <= REACH else []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
     if before and after:
@@ -113,14 +144,14 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 MENTIONS = """uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string,
-    found array<struct<start: long, end: long, instance: string, seed: boolean, patterns: array<string>>>"""
+    found array<struct<start: long, end: long, instance: string, seed: boolean, base: boolean, patterns: array<string>>>"""
 
 
 def mentions(docs: DataFrame) -> DataFrame:
     """A row for each document: counts and the list of base spans, and every instance with its patterns. ``uid``
     is the task's number and a count, so it holds once the rows are stored."""
     small_batches(docs.sparkSession)
-    of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
@@ -132,10 +163,11 @@ def mentions(docs: DataFrame) -> DataFrame:
                 for kind, into in zip(KINDS, counts):
                     into.append(sum(s[0] == kind for s in spans))
                 base.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
-                seeds = [(a, b) for _, a, b in spans]
+                own = [(a, b) for _, a, b in spans]
+                secrets = sorted({s for s in assigned(text) if not any(a < s[1] and s[0] < b for a, b in own)})
                 found.append([
-                    {"start": a, "end": b, "instance": text[a:b].lower(), "seed": seed, "patterns": patterns(text, a, b)}
-                    for seed, pairs in ((True, seeds), (False, identifiers(text, seeds))) for a, b in pairs
+                    {"start": a, "end": b, "instance": text[a:b].lower(), "seed": seed, "base": is_base, "patterns": patterns(text, a, b)}
+                    for seed, is_base, pairs in ((True, True, own), (True, False, secrets), (False, False, identifiers(text, own + secrets))) for a, b in pairs
                 ])
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([
@@ -167,7 +199,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row for each document."""
     seen = staged(mentions(docs), "mentions")
     believed = confident_patterns(seen)
-    loose = seen.select("uid", F.explode("found").alias("m")).where("not m.seed").select("uid", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
+    loose = seen.select("uid", F.explode("found").alias("m")).where("not m.base").select("uid", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
     more = loose.join(believed.select("pattern"), "pattern", "left_semi").groupBy("uid").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
     text = F.transform("more", lambda s: F.concat_ws(":", F.lit("context"), s["start"], s["end"]))
@@ -175,5 +207,3 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         "doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"),
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), text).alias("spans"),
     )
-
-

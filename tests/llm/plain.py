@@ -168,3 +168,23 @@ def overlaps(a, b):
             at += len(said)
     right = list(spans(b))
     return [(i, j) for i, s, e in spans(a) for j, t, f in right if s < f and t < e]
+
+
+def believed_patterns(edges, rounds, confident, support):
+    """{pattern: confidence} of (pattern, instance, seed) edges after some rounds."""
+    instances, patterns = defaultdict(set), defaultdict(set)
+    seeds = set()
+    for pattern, instance, seed in edges:
+        instances[instance].add(pattern)
+        patterns[pattern].add(instance)
+        if seed:
+            seeds.add(instance)
+    score = {i: float(i in seeds) for i in instances}
+    for _ in range(rounds):
+        believed = {}
+        for pattern, of in patterns.items():
+            confidence = sum(score[i] for i in of) / (len(of) + 1)
+            if confidence >= confident and sum(score[i] >= confident for i in of) >= support:
+                believed[pattern] = confidence
+        score = {i: max(float(i in seeds), 1 - math.prod(1 - believed.get(p, 0.0) for p in of)) for i, of in instances.items()}
+    return believed

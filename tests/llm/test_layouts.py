@@ -120,6 +120,13 @@ def test_mix_of_odd_tables(odd, odd_rows, nothing, monkeypatch):
     assert mixing.mix(nothing).count() == 0 and mixing.repeat_documents(nothing).count() == 0
 
 
+def test_mix_tells_no_source_from_any_name(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), source) for i in range(60) for source in (None, "\0null", "a")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 180 and {r["source"] for r in out} == {None, "\0null", "a"}
+
+
 def check_shards(out, rows, shards):
     want = [(str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows]
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in out) == sorted(want)
@@ -225,7 +232,20 @@ def test_near_duplicates_equal_all_pairs(spark, n):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def test_large_group_of_near_copies(spark):
+def test_band_keys_tell_bands_and_slots_apart():
+    sig = np.random.default_rng(1).random((50, superminhash.SLOTS))
+    same = sig.copy()
+    same[:, 5] += 1  # a slot of the second band
+    a, b = superminhash.band_keys(sig, 3), superminhash.band_keys(same, 3)
+    assert a.shape == (50, superminhash.BANDS) and len(np.unique(a)) == a.size
+    assert ((a != b).sum(axis=0) == [50 if k == 1 else 0 for k in range(superminhash.BANDS)]).all()
+    swapped = sig[:, [1, 0, *range(2, superminhash.SLOTS)]]
+    assert (superminhash.band_keys(swapped, 3)[:, 0] != a[:, 0]).all() and (superminhash.band_keys(sig, 4) != a).all()
+
+
+@pytest.mark.parametrize("part", [3, 64])
+def test_large_group_of_near_copies(spark, monkeypatch, part):
+    monkeypatch.setattr(superminhash, "PART_ROWS", part)
     rng = random.Random(1)
     base = [f"w{rng.randrange(500)}" for _ in range(90)]
     rows = []
@@ -277,7 +297,9 @@ def test_search_equals_all_pairs(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in raw + bad], "vec_id long, embedding array<double>, id string, v int").repartition(3)
     ints = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (12 - len(v))) for i, v in raw]
     vectors = mtree.integer_vectors(frame)
-    for rows in (30, 400):
+    for rows, block in ((30, 4096), (400, 4096), (40, 3)):
+        monkeypatch.setattr(mtree, "BLOCK", block)
+        monkeypatch.setattr(mtree, "BATCH", min(block, 64))
         got = mtree.Index(vectors, tree_rows=rows).top_k(vectors.where(F.col("id") % 50 == 0), 5).collect()
         assert sorted(tuple(r) for r in got) == brute_top(ints, [i for i, _ in raw if i % 50 == 0], 5)
 
@@ -292,6 +314,22 @@ def test_search_with_repeated_rows_of_a_query(spark):
     assert sorted(tuple(r) for r in got) == brute_top(ints, [0, 50, 100], 5)
 
 
+def test_blocks_go_only_to_trees_that_may_help(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "BLOCK", 4)
+    monkeypatch.setattr(mtree, "BATCH", 4)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 1, (10, 16))
+    raw = [(i, (centers[i % 10] / np.linalg.norm(centers[i % 10]) + rng.normal(0, 0.002, 16)).tolist()) for i in range(1000)]
+    vectors = mtree.integer_vectors(spark.createDataFrame(raw, "vec_id long, embedding array<double>"))
+    index = mtree.Index(vectors, tree_rows=20)
+    met, real = [], index._answers
+    index._answers = lambda blocks, first, k: (met.append((blocks.count(), blocks.select(F.sum(F.size("trees"))).first()[0])), real(blocks, first, k))[1]
+    got = index.top_k(vectors.where(F.col("id") % 50 == 0), 5).collect()
+    assert sorted(tuple(r) for r in got) == brute_top([(i, [int(np.floor(256 * x)) for x in v]) for i, v in raw], range(0, 1000, 50), 5)
+    blocks, visits = met[1]
+    assert visits < 0.7 * blocks * index.trees.count()
+
+
 def test_search_avoids_distances():
     rng = np.random.default_rng(6)
     v = np.floor(256 * (np.repeat(rng.normal(0, 1, (20, 8)), 100, axis=0) + rng.normal(0, 0.02, (2000, 8))))

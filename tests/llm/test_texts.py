@@ -126,6 +126,22 @@ def test_lines_of_odd_tables(odd, odd_rows, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_long_texts_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(d, "\n".join(f"line {i} of many" for i in range(n))) for d in (1, 2)], "doc_id long, text string").cache()
+        docs.count()
+        start = time.perf_counter()
+        texts = {r["row"]["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+        assert texts[2] == "" and len(texts[1].split("\n")) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    short, long = seconds(20_000), seconds(40_000)
+    assert long < max(3 * short, 6) and long < 40
+
+
 def test_lines_plan_has_no_python(odd):
     plan = lines.dedup_lines(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -174,6 +190,38 @@ def test_base_spans_equal_the_patterns():
     for text in ("4111 1111 1111 1111", "x4111-1111-1111-1111 4", "1.2.3.4.5.6.7.8", "0001.2.3.4", "256.1.1.1", "+1 (555) 123-4567 ", "1" * 5000 + ".1.1.1"):
         assert pii.base_spans(text) == plain.base_spans(text) if len(text) < 1000 else pii.base_spans(text) == [], text
     assert pii.base_spans("a" * 300_000 + "@" * 1000 + "b" * 300_000) == []
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}1.2.{zeros}.255 {zeros}256.1.1.1") == [("ip", 0, 10008)]
+
+
+def test_rounds_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    for k in range(3):
+        edges = [(f"p{rng.randrange(12)}", f"i{rng.randrange(60)}") for _ in range(160)]
+        seeds = {i: rng.random() < 0.3 + 0.2 * k for _, i in edges}
+        found = [(d, [(0, 1, i, seeds[i], seeds[i], [p])]) for d, (p, i) in enumerate(edges)]
+        seen = spark.createDataFrame(found, "uid long, found array<struct<start: long, end: long, instance: string, seed: boolean, base: boolean, patterns: array<string>>>")
+        got = {r["pattern"]: r["confidence"] for r in pii.confident_patterns(seen, 3, 0.5, 2).collect()}
+        assert got == pytest.approx(plain.believed_patterns([(p, i, seeds[i]) for p, i in edges], 3, 0.5, 2))
+
+
+def test_secrets_are_learned_from_a_few_names(spark):
+    rng = random.Random(5)
+    key = lambda: f"{rng.getrandbits(160):040x}"
+    named = [(i, f'the job {i} set token = "{key()}" and left') for i in range(12)]
+    unnamed = [(100, f"then deploy {key()} again"), (101, f"blob: {key()}")]  # no name that is known, but the shape of keys
+    clean = [(200, "a token = of thanks"), (201, "password: none"), (202, "room 20240101 and 123456789 of 2024-01-01"), (203, "a1b2c3 d4e5f6")]
+    docs = spark.createDataFrame([(d, t) for d, t in named + unnamed + clean], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    for d, t in named + unnamed:
+        kind, a, b = out[d]["spans"].split(":")
+        assert kind == "context" and len(t[int(a) : int(b)]) == 40
+    assert all(out[d]["spans"] == "" for d, _ in clean) and all(r["base_sha256"] == digest("") for r in out.values())
+
+
+def test_shapes():
+    assert pii.shape("04dbebab91ab85687d33eeaaf9ac699e1188f962") == "hex40" and pii.shape("QX-998877-Z") == "a2-196-1a1"
+    assert pii.shape("123456") is None and pii.shape("1.2.3") is None and pii.shape("word") is None
 
 
 def test_contexts_find_what_patterns_do_not(spark):
