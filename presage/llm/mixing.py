@@ -133,7 +133,7 @@ def copies(rows: DataFrame, seed: int = 17) -> DataFrame:
         units = staged(_level(units, level, seed), f"mix-{level}")
         settled.append(units.where(~is_open))
         left = units.where(is_open)
-        n, n_sources = left.select(F.count(F.lit(1)), F.count_distinct(F.coalesce("source", F.lit("\0null")))).first()
+        n, n_sources = left.select(F.count(F.lit(1)), F.count_distinct(F.struct("source"))).first()
         if n == n_sources:  # one unit of each source, or none
             settled.append(left.withColumn("mass", F.round("mass")))
             break
