@@ -54,15 +54,23 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     )).alias("line")).groupBy("doc").agg(F.collect_set("line").alias("covered"))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often a lambda inside asks for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _without(text: Column, covered: Column) -> Column:
-    """``text`` without its covered numbered lines. Places of numbered lines come from the text itself."""
-    lines = F.split(text, "\n", -1)
-    places = F.filter(
-        F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(HAS_WORD)), i)), lambda i: i.isNotNull(),
-    )
-    dropped = F.transform(covered, lambda k: F.get(places, k))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    """``text`` without its covered numbered lines. Places of numbered lines come from the text itself. Every array is
+    bound before a lambda goes over it, so the work grows with the lines and not with their square."""
+
+    def places(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(HAS_WORD)), i)), lambda i: i.isNotNull())
+
+    def kept(lines: Column) -> Column:
+        dropped = _with(places(lines), lambda of: F.transform(covered, lambda k: F.get(of, k)))
+        return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+
+    return _with(F.split(text, "\n", -1), lambda lines: F.array_join(_with(kept(lines), lambda at: F.transform(at, lambda i: F.get(lines, i))), "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
