@@ -1,8 +1,7 @@
 """Best-fit packing of tokenized documents under several capacities at once.
 
 Documents become pieces of at most ``tokens`` ids. Pieces are dealt by a hash into groups
-of about ``GROUP_PIECES`` (pieces that are equal more often than that, by their row numbers); each group is packed on its own, longest piece first. A piece
-asks for (tokens, 1 document, length^2 of attention) and goes to the open bin that has
+of about ``GROUP_PIECES``; each group is packed on its own, longest piece first. A piece asks for (tokens, 1 document, length^2 of attention) and goes to the open bin that has
 room in every dimension and is left with the smallest weighted residual norm, or with
 the largest weighted dot-product of residual and demand; if none has room, it opens a bin.
 Pieces of bins that stayed poorly filled are dealt and packed once more together.
@@ -177,13 +176,10 @@ def _round(pieces: DataFrame, groups: int, capacity: Capacity, base: int, final:
 
 
 def _dealt(pieces: DataFrame) -> DataFrame:
-    """Stored ``pieces`` with ``deal``, by which they go to groups: a hash of what a piece says, and of its row
-    number too where more than a group of pieces say the same."""
-    keyed = pieces.withColumn("uid", F.monotonically_increasing_id()).withColumn("deal", F.xxhash64("doc_id", "piece", "length", "ids_crc32"))
-    many = keyed.groupBy("deal").count().where(F.col("count") > GROUP_PIECES).select(F.col("deal").alias("many"))
-    spread = F.when(F.col("many").isNotNull(), F.xxhash64("deal", "uid")).otherwise(F.col("deal"))
-    # one key at most for every GROUP_PIECES rows; a shuffle would bring equal pieces to one task
-    return keyed.join(F.broadcast(many), F.col("deal") == F.col("many"), "left").select(*pieces.columns, spread.alias("deal"))
+    """Stored ``pieces`` with ``deal``, by which they go to groups: a hash of what a piece says and of which thousands
+    of its part of the table it is in, so equal pieces of a part share a deal ``GROUP_PIECES`` times at most."""
+    run = F.floor(F.monotonically_increasing_id() / GROUP_PIECES)
+    return pieces.withColumn("deal", F.xxhash64("doc_id", "piece", "length", "ids_crc32", run))
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
