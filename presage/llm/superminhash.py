@@ -45,6 +45,10 @@ SLOTS = ROWS * BANDS
 CACHE_WORDS = 400_000
 #: A block of documents that a leader left apart, or of its group.
 BLOCK_ROWS, BLOCK_BYTES = 48, 4_000_000
+#: Documents of a leader that are compared with it in one part.
+PART_ROWS = 64
+#: Keys that the pairs of one leader are dealt to before its parts are known.
+SALTS = 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -67,9 +71,8 @@ class Shingles:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+        new = set(words).difference(known)
+        known.update(zip(new, map(xxhash.xxh3_64_intdigest, new)))
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(ids))
         with np.errstate(over="ignore"):
@@ -123,6 +126,16 @@ def signatures(sets: list[np.ndarray], at_once: int = 16_000) -> np.ndarray:
     return np.concatenate([*out, superminhash(part)])
 
 
+def band_keys(sig: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit key for each band of each signature."""
+    slots = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), -1, ROWS)
+    with np.errstate(over="ignore"):
+        keys = np.broadcast_to(mix64(np.arange(slots.shape[1], dtype=np.uint64) + np.uint64(seed << 20)), slots.shape[:2])
+        for k in range(ROWS):
+            keys = mix64((keys ^ slots[:, :, k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
+    return keys
+
+
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
@@ -136,8 +149,7 @@ def signed_sets(docs: DataFrame, n: int, seed: int = 3) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            bands = np.ascontiguousarray(signatures(sets).reshape(len(sets) * BANDS, ROWS)).view(f"V{8 * ROWS}").ravel()
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(b.tobytes(), seed + i % BANDS) for i, b in enumerate(bands)), np.uint64, len(bands))
+            keys = band_keys(signatures(sets), seed).ravel()
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                 pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64)), BANDS).cast(pa.list_(pa.int64())),
@@ -146,34 +158,50 @@ def signed_sets(docs: DataFrame, n: int, seed: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
 
 
-COMPARED = "u long, v long, n_u long, n_v long, both long, apart binary"
+COMPARED = "u long, part int, v long, n_u long, n_v long, both long, apart binary"
+
+
+def dealt_to_parts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, part, v) and (u, parts): the documents of a leader u in parts of about ``PART_ROWS``. Whatever goes to
+    pairs by their leader goes to every part, so no key of a join is hot."""
+    sizes = staged(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")), "parts")
+    large = sizes.where("parts > 1").select("u", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.xxhash64("v", F.lit(4)), F.coalesce("parts", F.lit(1))).cast("int")
+    return staged(pairs.withColumn("salt", salt).join(large, ["u", "salt"], "left").select("u", part.alias("part"), "v"), "pairs"), sizes
+
+
+def to_parts(leaders: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row for each part of each leader that has one."""
+    return leaders.join(sizes, "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, n: int, differences: bool) -> DataFrame:
-    """u, v, the sizes of their full sets and of what they share. With ``differences`` also the elements that
+def compared(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, differences: bool) -> DataFrame:
+    """u, part, v, the sizes of their full sets and of what they share. With ``differences`` also the elements that
     only one of them has, those of u told apart by a flipped bit."""
     small_batches(pairs.sparkSession)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, mine = Shingles(n), None, None
         for batch in batches:
-            sizes, apart = [], []
+            counts, apart = [], []
             for u, tu, tv in zip(batch.column("u").to_pylist(), batch.column("tu").to_pylist(), batch.column("tv").to_pylist()):
                 if u != last:  # rows of a leader come one after another
                     last, mine = u, shingles(tu)
                 other = shingles(tv)
                 both = np.intersect1d(mine, other, assume_unique=True)
-                sizes.append((len(mine), len(other), len(both)))
+                counts.append((len(mine), len(other), len(both)))
                 apart.append(np.concatenate([
                     np.setdiff1d(other, both, assume_unique=True), ~np.setdiff1d(mine, both, assume_unique=True),
                 ]).tobytes() if differences else None)
-            columns = [pa.array(x, pa.int64()) for x in zip(*sizes)] or [pa.array([], pa.int64())] * 3
+            columns = [pa.array(x, pa.int64()) for x in zip(*counts)] or [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column("u"), batch.column("v"), *columns, pa.array(apart, pa.binary())], ["u", "v", "n_u", "n_v", "both", "apart"])
+                [*(batch.column(c) for c in ("u", "part", "v")), *columns, pa.array(apart, pa.binary())], ["u", "part", "v", "n_u", "n_v", "both", "apart"])
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    return left.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select(
-        "u", "v", "tu", "tv").mapInArrow(check, COMPARED)
+    leaders = to_parts(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), sizes)
+    placed = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    # merged, so that the rows of a leader come one after another and its set is made once
+    return placed.hint("merge").join(leaders.hint("merge"), ["u", "part"]).select("u", "part", "v", "tu", "tv").mapInArrow(check, COMPARED)
 
 
 def linked(overlap, n_u, n_v, percent: int):
@@ -204,24 +232,25 @@ def links_of_block(block: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def left_apart(compared_pairs: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def left_apart(compared_pairs: DataFrame, sizes: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """u, v of the links between documents that meet in a bucket and that its leader has not joined.
 
     Each group of a leader is cut into blocks; every block of documents outside the leader's component meets
     every block of the group in a task of its own, which finds links by an index of differences."""
     label = found.withColumnRenamed("component", "c")
-    placed = compared_pairs.select("u", "v").join(label.withColumnRenamed("node", "v"), "v", "left").select(
-        "u", "v", F.coalesce("c", "v").alias("component"))
-    placed = placed.join(label.withColumnRenamed("node", "u"), "u", "left").select(
-        "u", "v", "component", (F.col("component") != F.coalesce("c", "u")).alias("outside"))
-    open_groups = placed.groupBy("u").agg(F.count(F.lit(1)).alias("all"), F.count_if("outside").alias("out")).where("all > 1 and out > 0")
-    members = staged(placed.join(open_groups, "u"), "apart")
-    detail = compared(members.select("u", "v"), texts, n, True).withColumnsRenamed({"u": "x", "v": "y"})
+    leaders = sizes.select("u").join(label.withColumnRenamed("node", "u"), "u", "left").select("u", F.coalesce("c", "u").alias("own"))
+    placed = compared_pairs.select("u", "part", "v").join(label.withColumnRenamed("node", "v"), "v", "left").select(
+        "u", "part", "v", F.coalesce("c", "v").alias("component"))
+    placed = staged(placed.join(to_parts(leaders, sizes), ["u", "part"]).select("u", "part", "v", "component", (F.col("component") != F.col("own")).alias("outside")), "placed")
+    open_groups = placed.groupBy("u").agg(F.count(F.lit(1)).alias("all"), F.count_if("outside").alias("out")).where("all > 1 and out > 0").select("u")
+    members = staged(placed.join(to_parts(open_groups, sizes), ["u", "part"]), "apart")
+    open_sizes = sizes.join(open_groups, "u", "left_semi")
+    detail = compared(members.select("u", "part", "v"), open_sizes, texts, n, True).drop("part").withColumnsRenamed({"u": "x", "v": "y"})
     rows = staged(members.join(detail, (F.col("u") == F.col("x")) & (F.col("v") == F.col("y"))).drop("x", "y"), "differences")
-    size = staged(rows.groupBy("u").agg(
+    blocks = staged(rows.groupBy("u").agg(
         F.ceil(F.greatest(F.count_if("outside") / BLOCK_ROWS, F.sum(F.when(F.col("outside"), F.octet_length("apart"))) / BLOCK_BYTES)).cast("int").alias("outs"),
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.octet_length("apart")) / BLOCK_BYTES)).cast("int").alias("alls")), "blocks")
-    sized = rows.drop("all", "out").join(size, "u")
+    sized = rows.join(to_parts(blocks, open_sizes), ["u", "part"])
     own = lambda seed, parts: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     values = ("u", "v", "component", "n_v", "both", "n_u", "apart")
@@ -244,14 +273,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # the document that meets most others leads its buckets: in a group of copies the one that they come from
     met = members.groupBy("id").agg(F.sum("members").alias("met"))
     led = members.join(met, "id").groupBy("key").agg(F.min(F.struct(-F.col("met"), F.col("id").alias("id"))).alias("leader"))
-    pairs = staged(members.join(led, "key").select(F.col("leader.id").alias("u"), F.col("id").alias("v")).where("u != v").distinct(), "pairs")
+    pairs, sizes = dealt_to_parts(staged(members.join(led, "key").select(F.col("leader.id").alias("u"), F.col("id").alias("v")).where("u != v").distinct(), "met"))
     wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     # ids grow with the documents: they are merged, not broadcast while they happen to be few
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
-    star = staged(compared(pairs, texts, n, False).drop("apart"), "star")
+    star = staged(compared(pairs, sizes, texts, n, False).drop("apart"), "star")
     links = star.where(linked(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
     found = components(links)
-    more = staged(left_apart(star, found, texts, n, percent), "more")
+    more = staged(left_apart(star, sizes, found, texts, n, percent), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
