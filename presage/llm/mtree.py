@@ -9,11 +9,11 @@ into parts of some 512 to 65,536 rows, and each part becomes an M-tree. Its page
 holds its object's distance to the node's routing object; entries of inner nodes also
 hold the covering radius of the page below.
 
-A query first searches one tree of its own region, which bounds its k-th distance. Then
-it goes to every tree whose region can hold something as near, with that bound. Within a
-tree pages are taken by their least possible distance; |d(q, parent) - d(object, parent)|
-rules out entries before any distance to them is computed. Queries meet trees in blocks
-by a join; answers of a query are at most k for each tree.
+Queries are packed into blocks by region, each block one row. A query first searches one tree of
+its own region, which bounds its k-th distance. Then its block goes to the trees whose region
+can hold something as near to one of its queries, and no others. Within a tree pages are taken by
+their least possible distance; |d(q, parent) - d(object, parent)| rules out entries before any
+distance to them is computed. Answers of a query are at most k for each tree.
 
 Vectors are integers here, so scores are exact; bounds leave room for rounding of roots.
 
@@ -41,6 +41,8 @@ from presage.llm.common import ceil_div
 from presage.session import staged
 
 PIVOTS, PAGE, FANOUT, BLOCK, BATCH = 256, 128, 12, 4096, 64
+#: What the vectors of a block of queries may take.
+BLOCK_BYTES = 2_000_000
 #: Rows of a tree: as many as leave TREES trees, within these bounds.
 TREES, LEAST_ROWS, MOST_ROWS = 32, 512, 65_536
 
@@ -196,15 +198,81 @@ class Index:
 
         return vectors.select("id", "v").mapInArrow(route, "id long, v array<long>, region long, d double")
 
-    def _answers(self, visits: DataFrame, blocks: int, k: int) -> DataFrame:
-        """Search (tree, id, v, bound) visits. A tree meets the queries of a block at a time."""
-        dim = self.dim
+    def _blocks(self, queries: DataFrame, first: bool) -> DataFrame:
+        """block, trees, queries: the queries of a region, or of neighbouring regions with few, in blocks of bounded size,
+        each as one row with the trees that it has to see. ``queries`` has id, v and bound.
 
-        def answer(tree: pa.Table, queries: pa.Table) -> pa.Table:
+        ``first``: for each region of a block one of its trees. Else every other tree of the regions that may hold
+        something within the bound of one of the block's queries."""
+        pivots, radii, parts, dim, norm2 = self.pivots, self.radii, self.parts, self.dim, self.norm2
+        size = max(BATCH, min(BLOCK, BLOCK_BYTES // (8 * max(1, dim))))
+
+        def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = self_distance(_matrix(batch.column("v"), dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1))], ["id", "v", "bound", "home"])
+
+        def self_distance(v: np.ndarray) -> np.ndarray:
+            d = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + norm2 - 2.0 * v @ pivots[:, :-1].T, 0.0))
+            d[:, radii < 0] = np.inf
+            return d
+
+        homed = staged(queries.select("id", "v", "bound").mapInArrow(home, "id long, v array<long>, bound double, home long"), "homed")
+        counts = {r["home"]: r["n"] for r in homed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # PIVOTS rows at most
+        base, cut, number, room = [0] * len(pivots), [1] * len(pivots), 0, size
+        for region in self._chain():
+            n = counts.get(region, 0)
+            if n > room:
+                number, room = number + 1, size
+            base[region], cut[region] = number, ceil_div(n, size)
+            room -= n
+            if n > size:
+                number, room = number + cut[region], size
+        of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("home") + 1).cast("int"))
+        part = F.pmod(F.xxhash64("id", F.lit(2)), of(cut))
+        dealt = homed.withColumn("part", part).withColumn("block", (of(base) + F.col("part")).cast("long"))
+
+        def pack(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("id")
+            ids, homes, part, bounds = (rows.column(c).to_numpy() for c in ("id", "home", "part", "bound"))
+            v = _matrix(rows.column("v"), dim)
+            own = (homes << 32) + part % np.array(parts)[homes]
+            if first:
+                trees = np.unique(own)
+            else:
+                reach = (v * v).sum(axis=1)[:, None] + norm2
+                near = (self_distance(v) - radii <= bounds[:, None] + 1e-6 * (1.0 + np.sqrt(reach))).any(axis=0)
+                trees = np.array([(int(r) << 32) + k for r in np.flatnonzero(near) for k in range(parts[r])], np.int64)
+                if len(np.unique(own)) == 1:  # all of the block have seen it
+                    trees = trees[trees != own[0]]
+            return pa.table({
+                "block": pa.array([rows.column("block")[0].as_py()], pa.int64()), "trees": pa.array([trees], pa.list_(pa.int64())),
+                "queries": pa.array([pickle.dumps((ids, v, bounds, own))], pa.binary())})
+
+        return staged(dealt.groupBy("block").applyInArrow(pack, "block long, trees array<long>, queries binary"), "query-blocks")
+
+    def _chain(self) -> list[int]:
+        """Regions, each after the one that is nearest to it of those left."""
+        left, out = set(range(1, len(self.pivots))), [0]
+        while left:
+            out.append(min(left, key=lambda r: float(((self.pivots[r] - self.pivots[out[-1]]) ** 2).sum())))
+            left.remove(out[-1])
+        return out
+
+    def _answers(self, blocks: DataFrame, first: bool, k: int) -> DataFrame:
+        """Search blocks in their trees. A tree and a block go to the task of each of their meetings as one row each."""
+        pivots, radii, norm2 = self.pivots, self.radii, self.norm2
+
+        def answer(tree: pa.Table, asked: pa.Table) -> pa.Table:
             out: list[tuple[int, int, int]] = []
-            if tree.num_rows and queries.num_rows:
-                held = pickle.loads(tree.column("pages")[0].as_py())
-                names, v, bounds = queries.column("id").to_numpy(), _matrix(queries.column("v"), dim), queries.column("bound").to_numpy()
+            if tree.num_rows and asked.num_rows:
+                held, number = pickle.loads(tree.column("pages")[0].as_py()), tree.column("tree")[0].as_py()
+                names, v, bounds, own = pickle.loads(asked.column("queries")[0].as_py())
+                region = number >> 32
+                reach = (v * v).sum(axis=1) + norm2
+                d = np.sqrt(np.maximum(reach - 2.0 * v @ pivots[region, :-1], 0.0))
+                wanted = own == number if first else (own != number) & (d - radii[region] <= bounds + 1e-6 * (1.0 + np.sqrt(reach)))
+                names, v, bounds = names[wanted], v[wanted], bounds[wanted]
                 for at in range(0, len(names), BATCH):
                     part = slice(at, at + BATCH)
                     for name, best in zip(names[part], held.search(v[part], k, names[part], bounds[part])[0]):
@@ -212,53 +280,23 @@ class Index:
             columns = list(zip(*out)) or [(), (), ()]
             return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), columns)})
 
-        block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).alias("block")
-        trees = self.trees.select("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "pages")
-        return trees.groupBy("tree", "block").cogroup(visits.select("tree", block, "id", "v", "bound").groupBy("tree", "block")).applyInArrow(
-            answer, "query_id long, vec_id long, score long")
-
-    def _visits(self, queries: DataFrame, first: bool) -> DataFrame:
-        """tree, id, v, bound: the first tree of a query, or all others that its bound doesn't rule out."""
-        pivots, radii, parts, dim, norm2 = self.pivots, self.radii, self.parts, self.dim, self.norm2
-
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = _matrix(batch.column("v"), dim)
-                reach = (v * v).sum(axis=1)[:, None] + norm2
-                d = np.sqrt(np.maximum(reach - 2.0 * v @ pivots[:, :-1].T, 0.0))
-                d[:, radii < 0] = np.inf
-                ids, home = batch.column("id").to_numpy(), d.argmin(axis=1)
-                start = [(int(h) << 32) + int(i) % parts[h] for h, i in zip(home, ids)]
-                rows, trees = [], []
-                if first:
-                    rows, trees = range(len(ids)), start
-                else:
-                    slack = 1e-6 * (1.0 + np.sqrt(reach))
-                    near = d - radii <= batch.column("bound").to_numpy()[:, None] + slack
-                    for i, region in zip(*np.nonzero(near)):
-                        for part in range(parts[region]):
-                            if (tree := (int(region) << 32) + part) != start[i]:
-                                rows.append(i)
-                                trees.append(tree)
-                taken = batch.select(["id", "v", "bound"]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(trees, pa.int64()), *taken.columns], ["tree", "id", "v", "bound"])
-
-        return queries.select("id", "v", "bound").mapInArrow(visit, "tree long, id long, v array<long>, bound double")
+        visits = blocks.select("block", F.explode("trees").alias("tree"))
+        trees = visits.join(self.trees, "tree").select("tree", "block", "pages").groupBy("tree", "block")
+        asked = blocks.select(F.col("block").alias("of_block"), F.explode("trees").alias("of_tree"), "queries").groupBy("of_tree", "of_block")
+        return trees.cogroup(asked).applyInArrow(answer, "query_id long, vec_id long, score long")
 
     def top_k(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, rank, vec_id, score of the k best candidates of every query."""
         asked = staged(queries.select("id", "v").distinct(), "queries")
-        blocks = ceil_div(asked.count(), BLOCK)
         if not len(self.pivots):
             return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score")).where("false")
-        open_ended = asked.withColumn("bound", F.lit(float("inf")))
-        early = staged(self._answers(self._visits(open_ended, True), blocks, k), "early")
+        early = staged(self._answers(self._blocks(asked.withColumn("bound", F.lit(float("inf"))), True), True, k), "early")
         # the k-th score of the first tree; with fewer answers nothing is ruled out
         kth = early.groupBy("query_id").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
         bounded = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce(
             F.sqrt(F.greatest(norm + self.norm2 - 2.0 * F.col("worst"), F.lit(0.0))), F.lit(float("inf"))).alias("bound"))
-        late = self._answers(self._visits(bounded, False), blocks, k)
+        late = self._answers(self._blocks(bounded, False), False, k)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return early.unionByName(late).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
             "query_id", "rank", "vec_id", "score")
