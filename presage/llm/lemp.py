@@ -167,16 +167,17 @@ class Bucket:
 FOUND = "item long, doc_id long, n long, uid long, score long"
 
 
-def best_of(ranged: DataFrame, queries: list[Query], bars: dict[int, int], size: int, k: int) -> DataFrame:
-    """item, doc_id, n, uid, score: the k best of each partition for each query, if they reach its bar. ``ranged``
-    holds longer vectors before shorter ones."""
+def best_of(ranged: DataFrame, queries: list[Query], bars: dict[int, tuple], size: int, k: int) -> DataFrame:
+    """item, doc_id, n, uid, score: the k best of each partition for each query, if they come before its bar, a row's
+    place as (-score, no doc_id, doc_id, n, uid). ``ranged`` holds longer vectors before shorter ones."""
     small_batches(ranged.sparkSession)
     asked = ranged.sparkSession.sparkContext.broadcast((queries, bars))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, least = asked.value
         best: list[list[tuple]] = [[] for _ in block]
-        bar = [least.get(q.item, 1) for q in block]
+        last = [least.get(q.item, (0,)) for q in block]  # scores above 0
+        bar = [max(1, -x[0]) for x in last]
         weights = np.zeros(size, np.int64)
 
         def take(parts: list[pa.RecordBatch]) -> None:
@@ -197,8 +198,8 @@ def best_of(ranged: DataFrame, queries: list[Query], bars: dict[int, int], size:
                 hit = np.flatnonzero(score >= bar[at])
                 if len(hit) > k:  # ties with the k-th stay in
                     hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
-                for s, r in zip(score[hit].tolist(), alive[hit].tolist()):
-                    best[at].append((-s, doc[r] is None, doc[r] or 0, int(n[r]), int(uid[r])))
+                places = ((-s, doc[r] is None, doc[r] or 0, int(n[r]), int(uid[r])) for s, r in zip(score[hit].tolist(), alive[hit].tolist()))
+                best[at] += [x for x in places if x < last[at]]
                 if len(best[at]) > k:
                     best[at] = sorted(best[at])[:k]
                 if len(best[at]) == k:
@@ -250,8 +251,8 @@ def _search_block(docs: DataFrame, block: DataFrame, k: int) -> DataFrame:
     vectors = staged(impacts(counted, n_docs, total or 0), "impacts")
     n_rows, size = vectors.count(), len(vocabulary)
     cut = vectors.agg(F.percentile_approx("norm", 1.0 - min(1.0, FIRST_ROWS / max(1, n_rows)), 1000)).first()[0]
-    ranged = lambda rows: rows.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"), "uid")
+    ranged = lambda rows: rows.repartitionByRange(F.desc("norm"), "uid").sortWithinPartitions(F.desc("norm"), "uid")
     long = staged(_ranked(best_of(ranged(vectors.where(F.col("norm") >= F.lit(cut or 0.0))), queries, {}, size, k), k), "longest")
-    bars = {r["item"]: r["bar"] for r in long.where(F.col("rank") == k).select("item", F.col("score").alias("bar")).collect()}  # a row for an item
+    bars = {r["item"]: (-r["score"], r["doc_id"] is None, r["doc_id"] or 0, r["n"], r["uid"]) for r in long.where(F.col("rank") == k).collect()}  # a row for an item
     rest = best_of(ranged(vectors.where(F.col("norm") < F.lit(cut or 0.0))), queries, bars, size, k)
     return _ranked(long.drop("rank").unionByName(rest), k)
