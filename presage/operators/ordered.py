@@ -1,24 +1,25 @@
-"""Running totals and exact quantiles over a global order, without a global sort.
-
-Rows are first collapsed per (keys, order value) and stored, so one hot value is one
-row however often it occurs. The order axis is cut at sampled quantiles of the
-collapsed rows, in two levels: so many cuts that a bucket holds about BUCKET_ROWS of
-them, whatever their number. Bucket totals give each bucket its starting point, and
-the running window works inside single buckets.
+"""Running totals and exact quantiles over a global order, with totals in a tree.
+
+Rows are first collapsed per (keys, order value), so one hot value is one row however
+often it occurs. The collapsed rows are stored in order, range by range, and numbered;
+every BUCKET_ROWS of them are a bucket, every FANOUT buckets a block, every FANOUT
+blocks a block of blocks and so on. A total is known for each node of that tree, and
+what lies before a node is what lies before its block and before it inside the block.
+So no window ever gets more than FANOUT or BUCKET_ROWS rows, and the driver learns two
+numbers: how many ranges there are and how long the longest is.
 """
 
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presage.session import staged
 
-# Collapsed rows of a bucket, and how many of them are drawn to place its cuts.
+# Collapsed rows of a bucket, and nodes of a block.
 BUCKET_ROWS = 8192
-DRAWN_PER_BUCKET = 64
+FANOUT = 1024
 # Sketches of one column are made in at most so many groups of rows.
 _SKETCH_GROUPS = 512
 _GROUP_ROWS = 50_000
@@ -31,40 +32,42 @@ def _join_kind(kind: str, before: Column, inside: Column) -> Column:
     return (F.least if kind == "min" else F.greatest)(before, inside)
 
 
-def _evenly(parts: int) -> str:
-    """SQL array of the inner cuts of [0, 1] into ``parts``, and the accuracy that tells them apart."""
-    return f"array({', '.join(f'{i / parts!r}D' for i in range(1, parts))}), {4 * parts}"
+def in_buckets(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """``rows`` stored in ``order`` with ``__bucket``, the number of their bucket, and how many numbers there are.
+
+    A range of the order is a partition, which numbers its rows as it writes them.
+    """
+    numbered = staged(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    parts, longest = numbered.agg(F.max(part), F.max(place)).first()
+    buckets = (longest or 0) // BUCKET_ROWS + 1  # of a partition, at most
+    bucket = part * buckets + F.floor(place / BUCKET_ROWS).cast("long")
+    return numbered.withColumn("__bucket", bucket).drop("__id"), ((parts or 0) + 1) * buckets
 
 
-def order_splits(collapsed: DataFrame, order: str) -> list[float]:
-    """Strictly increasing cuts of ``order`` that leave about BUCKET_ROWS rows in a bucket.
+def before_each(totals: DataFrame, n_keys: int, nodes: int, kinds: Mapping[str, str], descending: bool = False) -> DataFrame:
+    """(__start, __before_x, x_total): what lies before each node of a key, and the whole key.
 
-    A sample of the rows is cut into sqrt(n) parts, and each part into sqrt(n) again. Cuts
-    decide only how evenly buckets fill. They are 8 bytes on the driver for BUCKET_ROWS rows.
-    ``collapsed`` is read three times: pass a stored table.
+    ``totals`` has ``__at`` (struct of keys k0.. and node number b below ``nodes``) and a column
+    for each name in ``kinds``. Keys and node are one struct, in which NULLs are equal.
     """
-    rows = collapsed.count()
-    parts = math.ceil(math.sqrt(math.ceil(rows / BUCKET_ROWS)))
-    if parts < 2:
-        return []
-    share = min(1.0, DRAWN_PER_BUCKET / BUCKET_ROWS)
-    drawn = collapsed.where(F.pmod(F.xxhash64(*collapsed.columns), F.lit(1 << 32)) < int(share * (1 << 32))).select(
-        F.col(order).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    coarse = drawn.agg(F.expr(f"percentile_approx(v, {_evenly(parts)})")).first()[0]
-    coarse = sorted({q for q in coarse or [] if math.isfinite(q)})
-    fine = with_order_bucket(drawn, "v", coarse).groupBy("__bucket").agg(F.expr(f"percentile_approx(v, {_evenly(parts)})").alias("qs"))
-    return sorted({*coarse, *(q for r in fine.collect() for q in r["qs"] or [] if math.isfinite(q))})
-
-
-def with_order_bucket(df: DataFrame, order: str, splits: Sequence[float]) -> DataFrame:
-    """Add ``__bucket``, a monotone and evenly filled function of the numeric ``order`` column."""
-    if not splits:
-        return df.withColumn("__bucket", F.lit(0.0))
-    lookup = Bucketizer(
-        splits=[float("-inf"), *splits, float("inf")], inputCol="__order", outputCol="__bucket",
-        handleInvalid="keep",
-    )
-    return lookup.transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order")
+    keys = [F.col(f"__at.k{i}") for i in range(n_keys)]
+    up = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.floor(F.col("__at.b") / FANOUT).cast("long").alias("b"))
+    block = Window.partitionBy(up)
+    place = F.col("__at.b")
+    earlier = block.orderBy(place.desc() if descending else place.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    fold = {name: _FOLD[kind](name) for name, kind in kinds.items()}
+    inside = [fold[name].over(earlier).alias(f"__before_{name}") for name in kinds]
+    if nodes <= FANOUT:
+        return totals.select(F.col("__at").alias("__start"), *inside, *[fold[name].over(block).alias(f"{name}_total") for name in kinds])
+    blocks = staged(totals.groupBy(up.alias("__at")).agg(*[f.alias(name) for name, f in fold.items()]), "totals")
+    above = before_each(blocks, n_keys, math.ceil(nodes / FANOUT), kinds, descending).select(
+        F.col("__start").alias("__up"), *[F.col(f"__before_{n}").alias(f"__above_{n}") for n in kinds], *[f"{n}_total" for n in kinds])
+    return totals.select(F.col("__at").alias("__start"), up.alias("__block"), *inside).join(above, F.col("__block") == F.col("__up")).select(
+        "__start", *[F.coalesce(_join_kind(kind, F.col(f"__above_{n}"), F.col(f"__before_{n}")), F.col(f"__above_{n}")).alias(f"__before_{n}")
+                     for n, kind in kinds.items()],
+        *[f"{n}_total" for n in kinds])
 
 
 def running(
@@ -81,34 +84,20 @@ def running(
     (this order value alone), ``name_run`` (up to and including it) and
     ``name_total`` (the whole key).
 
-    Keys and bucket are one struct, in which NULLs are equal: the join with the
-    starting points and the window use the same exchange of the stored rows.
+    The join with the starting points and the window use the same exchange of the
+    stored rows.
     """
     keys = list(keys)
-    collapsed = staged(df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(
+    collapsed = df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(
         *[_FOLD[kind](col).alias(name) for name, (kind, col) in aggs.items()]
-    ), "collapsed")
-    splits = order_splits(collapsed.select(*keys, order), order)
-    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__bucket").cast("int").alias("b"))
-    rows = with_order_bucket(collapsed, order, splits).withColumn("__at", place)
-
-    def ordered(partition, column):
-        spec = Window.partitionBy(*partition)
-        return spec.orderBy(F.col(column).desc() if descending else F.col(column).asc())
-
-    one_key = [f"__at.k{i}" for i in range(len(keys))] or [F.lit(0)]
-    # A row for each key and bucket reaches these two windows.
-    earlier = ordered(one_key, "__at.b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*one_key)
-    starts = (
-        rows.groupBy("__at").agg(*[_FOLD[kind](name).alias(name) for name, (kind, _) in aggs.items()])
-        .select(
-            F.col("__at").alias("__start"),
-            *[_FOLD[kind](name).over(earlier).alias(f"__before_{name}") for name, (kind, _) in aggs.items()],
-            *[_FOLD[kind](name).over(whole).alias(f"{name}_total") for name, (kind, _) in aggs.items()],
-        )
     )
-    inside = ordered(["__at"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows, nodes = in_buckets(collapsed, [*keys, order])
+    rows = rows.withColumn("__at", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("b")))
+    totals = rows.groupBy("__at").agg(*[_FOLD[kind](name).alias(name) for name, (kind, _) in aggs.items()])
+    starts = before_each(totals, len(keys), nodes, {name: kind for name, (kind, _) in aggs.items()}, descending)
+    place = F.col(order)
+    inside = Window.partitionBy("__at").orderBy(place.desc() if descending else place.asc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     return rows.join(starts, F.col("__at") == F.col("__start")).select(
         *keys, order,
         *[c for name, (kind, _) in aggs.items() for c in (

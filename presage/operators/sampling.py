@@ -3,7 +3,8 @@
 ``rand(seed)`` depends on partitioning; a hash of the keys does not. The first hex
 digits of the hash cut rows into even buckets, so exact ranks need bucket counts
 plus a sort inside each bucket, never a global sort. As many digits are taken as
-buckets of about BUCKET_ROWS rows need. ``keys`` must identify a row. NULL is a
+buckets of about BUCKET_ROWS rows need. Rows are hashed once and stored with their
+hash; bucket totals are added up in a tree. ``keys`` must identify a row. NULL is a
 stratum like any other.
 """
 
@@ -14,28 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presage.functions import hash_order
+from presage.operators.ordered import before_each
+from presage.session import staged
 
 BUCKET_ROWS = 8192
 
 
-def _hashed(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence[str] = ()) -> DataFrame:
-    """Add ``__h``, and ``__at``: strata and bucket in one struct, in which NULLs are equal."""
-    digits = min(7, max(1, math.ceil(math.log(max(df.count() / BUCKET_ROWS, 1), 16))))
-    bucket = F.conv(F.substring("__h", 1, digits), 16, 10).cast("int")
-    return df.withColumn("__h", hash_order(keys, seed)).withColumn(
-        "__at", F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(strata)], bucket.alias("b")))
-
-
-def _bucket_counts(hashed: DataFrame, n_strata: int = 0) -> DataFrame:
-    """(__start, __before, __size, __total): where each bucket starts and how big all are."""
-    counts = hashed.groupBy("__at").agg(F.count(F.lit(1)).alias("__size"))
-    part = [f"__at.s{i}" for i in range(n_strata)] or [F.lit(0)]
-    earlier = Window.partitionBy(*part).orderBy("__at.b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        F.col("__at").alias("__start"), "__size",
-        F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__size").over(Window.partitionBy(*part)).alias("__total"),
-    )
+def _hashed(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Stored rows with ``__h`` and ``__at``, strata and bucket in one struct in which NULLs are equal; and where each
+    bucket starts: (__start, __before_n, n_total)."""
+    hashed = staged(df.withColumn("__h", hash_order(keys, seed)), "hashed")
+    digits = min(7, max(1, math.ceil(math.log(max(hashed.count() / BUCKET_ROWS, 1), 16))))
+    bucket = F.conv(F.substring("__h", 1, digits), 16, 10).cast("long")
+    placed = hashed.withColumn("__at", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(strata)], bucket.alias("b")))
+    counts = placed.groupBy("__at").agg(F.count(F.lit(1)).alias("n"))
+    return placed, before_each(counts, len(strata), 16**digits, {"n": "sum"}).withColumn("__before_n", F.coalesce("__before_n", F.lit(0)))
 
 
 def rank_by_hash(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence[str] = (),
@@ -44,13 +38,12 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence
 
     A stratum may hold nearly all rows: ranks are taken inside (stratum, bucket).
     """
-    hashed = _hashed(df, keys, seed, strata)
-    starts = _bucket_counts(hashed, len(strata))
+    hashed, starts = _hashed(df, keys, seed, strata)
     inside = Window.partitionBy("__at").orderBy("__h", *keys)
     ranked = hashed.join(starts, F.col("__at") == F.col("__start")).withColumn(
-        rank, F.row_number().over(inside) + F.col("__before")
+        rank, F.row_number().over(inside) + F.col("__before_n")
     )
-    extra = [F.col("__total").alias(size)] if size else []
+    extra = [F.col("n_total").alias(size)] if size else []
     return ranked.select(*df.columns, rank, *extra)
 
 
@@ -61,12 +54,11 @@ def sample_exact(df: DataFrame, n: int | Column, keys: Sequence[str], seed: int)
     the cut is shuffled and ranked.
     """
     n = F.lit(n) if isinstance(n, int) else n
-    hashed = _hashed(df, keys, seed)
+    hashed, starts = _hashed(df, keys, seed)
     cut = (
-        _bucket_counts(hashed)
-        .withColumn("__n", n)
-        .where((F.col("__before") < F.col("__n")))
-        .agg(F.max(F.struct("__start.b", (F.col("__n") - F.col("__before")).alias("need"))).alias("cut"))
+        starts.withColumn("__n", n)
+        .where((F.col("__before_n") < F.col("__n")))
+        .agg(F.max(F.struct("__start.b", (F.col("__n") - F.col("__before_n")).alias("need"))).alias("cut"))
         .scalar()
     )
     marked = hashed.withColumn("__cut", cut)

@@ -8,10 +8,11 @@ from presage.operators.joins import latest_as_of, lookback_join, prefix_at
 from presage.operators.ordered import column_quantiles, exact_quantiles, running
 
 
-@pytest.fixture(autouse=True, params=[64, 8192])
+@pytest.fixture(autouse=True, params=[(16, 4), (8192, 1024)])
 def path(request, monkeypatch):
-    """The same plan with many buckets and with few."""
-    monkeypatch.setattr(ordered, "BUCKET_ROWS", request.param)
+    """The same plan with many buckets in a deep tree and with few in a flat one."""
+    for name, value in zip(("BUCKET_ROWS", "FANOUT"), request.param):
+        monkeypatch.setattr(ordered, name, value)
 
 
 @pytest.fixture(scope="module")
@@ -161,18 +162,27 @@ def test_buckets_stay_small_for_a_hot_key(spark):
     df = spark.createDataFrame(
         [("hot" if i % 3 == 0 else str(i % 50), float(v)) for i, v in enumerate(values)], "k string, v double"
     ).repartition(6)
-    sizes = ordered.with_order_bucket(df, "v", ordered.order_splits(df, "v")).groupBy("__bucket").count()
-    assert sizes.agg(F.max("count")).first()[0] < 8 * ordered.BUCKET_ROWS
-    assert sizes.count() >= 60000 / ordered.BUCKET_ROWS / 4
+    rows, nodes = ordered.in_buckets(df, ["k", "v"])
+    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "v")).alias("low"), F.max(F.struct("k", "v")).alias("high")).collect()
+    assert max(r["n"] for r in sizes) <= ordered.BUCKET_ROWS and max(r["__bucket"] for r in sizes) < nodes
+    sizes.sort(key=lambda r: r["__bucket"])
+    assert all(a["high"] <= b["low"] for a, b in zip(sizes, sizes[1:]))
     total = running(df, "v", {"n": ("sum", F.lit(1))}, ["k"]).groupBy("k").agg(F.max("n_run").alias("a"), F.max("n_total").alias("b"))
     assert {r["k"]: r["a"] for r in total.collect()} == {r["k"]: r["b"] for r in total.collect()} == {
         r["k"]: r["count"] for r in df.groupBy("k").count().collect()
     }
 
 
-def test_one_value_does_not_eat_the_cuts(spark):
-    """99 % zeros and 4,000 distinct values: the collapsed rows are what is cut."""
-    df = spark.range(400_000).select(F.when(F.col("id") % 100 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
-    collapsed = df.groupBy("v").count()
-    sizes = ordered.with_order_bucket(collapsed, "v", ordered.order_splits(collapsed, "v")).groupBy("__bucket").count()
-    assert sizes.agg(F.max("count")).first()[0] < 8 * ordered.BUCKET_ROWS
+def test_no_window_gets_more_than_a_bucket_or_a_block(spark, monkeypatch):
+    """10^5 values in buckets of 4: the tree has many levels, and the driver has seen two numbers."""
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(ordered, "FANOUT", 64)
+    levels, real = [], ordered.before_each
+    monkeypatch.setattr(ordered, "before_each", lambda totals, n, nodes, *a: (levels.append((totals.groupBy((F.col("__at.b") / 64).cast("long")).count().agg(F.max("count")).first()[0], nodes)), real(totals, n, nodes, *a))[1])
+    df = spark.range(100_000).select(((F.col("id") * 7919) % 100_003).cast("double").alias("v"), (F.col("id") % 3).alias("x"))
+    out = running(df, "v", {"n": ("sum", F.lit(1)), "s": ("sum", F.col("x")), "low": ("min", F.col("x"))})
+    assert len(levels) >= 3 and max(n for n, _ in levels) <= 64 and levels[-1][1] <= 64
+    got = out.agg(F.max("n_run"), F.max("s_run"), F.max("s_total"), F.count_if(F.col("low_run") > 1)).first()
+    assert got[0] == 100_000 and got[1] == got[2] == df.agg(F.sum("x")).first()[0]
+    want = df.orderBy("v").toPandas()["x"].cumsum().tolist()
+    assert [r["s_run"] for r in out.orderBy("v").select("s_run").collect()] == want
