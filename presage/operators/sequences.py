@@ -6,39 +6,55 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presage.config import ENTITY, TASK_FEATURES, TASK_LABEL
+from presage.config import ENTITY, TASK_FEATURES, TASK_LABEL, US_PER_DAY
 from presage.operators.sampling import sample_exact
 
 SEQUENCE_LENGTH = 6
+#: Time that a slice of a series covers.
+SLICE_US = 30 * US_PER_DAY
 
 
 def lookback(windows: DataFrame, features: Sequence[str] = TASK_FEATURES, length: int = SEQUENCE_LENGTH,
-             keys: Sequence[str] = ENTITY, gap_us: int | None = None) -> DataFrame:
+             keys: Sequence[str] = ENTITY, gap_us: int | None = None, slice_us: int = SLICE_US) -> DataFrame:
     """Add ``sequence``: the last ``length`` windows (oldest first) as rows of features.
 
     Lags count rows, as windows without samples do not exist; missing history
     is a row of zeros, and a NULL feature is 0. With ``gap_us`` (the window
     width) a slot is filled only by the window exactly that many widths back.
-    ``n_seen`` says how many slots hold real windows. One frame per entity, not
-    one lag per feature and step; an entity has one row per window of the span.
+    ``n_seen`` says how many slots hold real windows.
+
+    An entity's series is cut into slices of time, which are ordered in tasks of
+    their own. What a slice needs of earlier ones are their last ``length - 1``
+    windows: each slice hands its own on, and the last ``length - 1`` slices
+    before one, every one with a window at least, hold them all.
     """
+    keys = list(keys)
+    back = length - 1
     zeros = F.array(*[F.lit(0.0) for _ in features])
-    cell = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    by_time = Window.partitionBy(*keys).orderBy("window_start")
+    cell = F.struct(F.col("window_start").alias("at"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
+    # keys and slice are one struct, in which NULLs are equal: windows and join use one exchange of the rows
+    at = F.struct(*keys, F.floor(F.col("window_start") / F.lit(slice_us)).cast("long").alias("__slice"))
+    sliced = windows.withColumn("__at", at)
+    in_slice = Window.partitionBy("__at")
+    last = sliced.select("__at", cell.alias("__cell"), F.row_number().over(in_slice.orderBy(F.desc("window_start"))).alias("__rn"))
+    tails = last.where(F.col("__rn") <= back).groupBy("__at").agg(F.array_sort(F.collect_list("__cell")).alias("__tail"))
+    before = Window.partitionBy(*[f"__at.{k}" for k in keys]).orderBy("__at.__slice").rowsBetween(-max(back, 1), -1)
+    halos = tails.select(F.col("__at").alias("__of"), F.flatten(F.collect_list("__tail").over(before)).alias("__all")).select(
+        "__of", F.when(F.size("__all") > back, F.slice("__all", F.size("__all") - back + 1, max(back, 1))).otherwise(F.col("__all")).alias("__halo"))
+    own = sliced.withColumn("__own", F.collect_list(cell).over(in_slice.orderBy("window_start").rowsBetween(-back, 0)))
+    met = own.join(halos, F.col("__at") == F.col("__of"), "left") if back else own.withColumn("__halo", F.lit(None))
+    joined = F.concat(F.coalesce("__halo", F.array().cast("array<struct<at:bigint,x:array<double>>>")), F.col("__own"))
+    recent = met.withColumn("__seen", joined).withColumn(
+        "__seen", F.when(F.size("__seen") > length, F.slice("__seen", F.size("__seen") - length + 1, length)).otherwise(F.col("__seen")))
     if gap_us is None:
-        frame = by_time.rowsBetween(-(length - 1), 0)
-        seen = windows.withColumn("__seen", F.collect_list(cell).over(frame))
-        padded = F.concat(F.array_repeat(zeros, F.lit(length) - F.size("__seen")), F.col("__seen"))
+        padded = F.concat(F.array_repeat(zeros, F.lit(length) - F.size("__seen")), F.transform("__seen", lambda c: c["x"]))
     else:
-        frame = by_time.rangeBetween(-(length - 1) * gap_us, 0)
-        seen = windows.withColumn(
-            "__seen", F.map_from_entries(F.collect_list(F.struct("window_start", cell)).over(frame))
-        )
+        recent = recent.withColumn("__seen", F.map_from_entries(F.filter("__seen", lambda c: c["at"] >= F.col("window_start") - F.lit(back * gap_us))))
         padded = F.array(*[
             F.coalesce(F.try_element_at("__seen", F.col("window_start") - F.lit(step * gap_us)), zeros)
             for step in reversed(range(length))
         ])
-    return seen.withColumn("sequence", padded).withColumn("n_seen", F.size("__seen")).drop("__seen")
+    return recent.withColumn("sequence", padded).withColumn("n_seen", F.size("__seen")).select(*windows.columns, "sequence", "n_seen")
 
 
 def flat_vector(df: DataFrame, column: str = "sequence", output: str = "features") -> DataFrame:

@@ -95,6 +95,41 @@ def test_lookback(spark):
     assert gaps[1, 20]["sequence"] == [[1.0, 2.0], [11.0, 0.0], [21.0, 2.0]]
 
 
+@pytest.mark.parametrize("slice_us", [1, 7, 100, 10**9])
+@pytest.mark.parametrize("gap", [None, 5])
+def test_slices_change_no_sequence(spark, slice_us, gap):
+    import random
+
+    rng, rows = random.Random(slice_us), []
+    for job in (1, 2, None):
+        rows += [(job, 0, t, float(t)) for t in sorted(rng.sample(range(-100, 500, 5), 60))]
+    df = spark.createDataFrame(rows, "job_id long, task_index long, window_start long, a double")
+    got = {(r["job_id"], r["window_start"]): ([x[0] for x in r["sequence"]], r["n_seen"]) for r in lookback(df, ["a"], 4, gap_us=gap, slice_us=slice_us).collect()}
+    for job in (1, 2, None):
+        times = [t for j, _, t, _ in rows if j == job]
+        for i, t in enumerate(times):
+            if gap is None:
+                seen = times[max(0, i - 3) : i + 1]
+                want = [0.0] * (4 - len(seen)) + [float(x) for x in seen]
+            else:
+                seen = [x for x in range(t - 15, t + 1, 5) if x in times]
+                want = [float(x) if x in times else 0.0 for x in range(t - 15, t + 1, 5)]
+            assert got[job, t] == (want, len(seen))
+
+
+def test_one_long_series_goes_to_many_tasks(spark):
+    from presage.operators import sequences
+
+    df = spark.range(1_000_000).select(F.lit(1).cast("long").alias("job_id"), F.lit(0).cast("long").alias("task_index"),
+                                       (F.col("id") * 1_800_000_000).alias("window_start"), F.col("id").cast("double").alias("a"))
+    out = lookback(df, ["a"], 6)
+    assert out.agg(F.sum(F.get(F.get("sequence", 0), 0))).first()[0] == sum(range(999_995))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    over_rows = [line for line in plan.splitlines() if "Window [" in line and "__tail" not in line]
+    assert over_rows and all("windowspecdefinition(__at" in line for line in over_rows)  # entity and slice
+    assert df.select(F.floor(F.col("window_start") / sequences.SLICE_US)).distinct().count() > 600
+
+
 def test_entity_subset(spark):
     df = spark.createDataFrame(
         [(j, 0, w, int(j < 3 and w == 0)) for j in range(50) for w in range(4)],
