@@ -2,17 +2,20 @@
 
 Every job takes a streaming frame and returns one, or starts a query with an
 idempotent sink. State is keyed by entity and window and leaves with the
-watermark; aggregation combines map-side inside each micro-batch, so a busy
-entity does not concentrate.
+watermark or by a timer; aggregation combines map-side inside each micro-batch,
+so a busy entity does not concentrate.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from presage.config import ENTITY
+from presage.operators.merging import merged_states, window_states
 from presage.operators.windows import task_aggregates
 
 
@@ -69,28 +72,90 @@ def run_alerts(windows: DataFrame, scorer: Callable[[DataFrame], DataFrame], thr
     )
 
 
-def run_first_alerts(alerts: DataFrame, table_path: str, state_path: str, keys: Sequence[str] = ENTITY,
-                     span: str = "1 day", delay: str = "1 hour") -> StreamingQuery:
-    """Keep the earliest alert per entity and ``span`` of time; a span's state leaves once the watermark has
-    passed it. Each update lands in its batch's folder; ``read_first_alerts`` folds them."""
-    earliest = (
-        event_time(alerts, "window_end").withWatermark("ts", delay).groupBy(*keys, F.window("ts", span))
-        .agg(F.min("window_end").alias("first_alert_time")).drop("window")
-    )
+class FirstAlert(StatefulProcessor):
+    """An entity's first alert, told once.
 
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+    The earliest alert so far is held until the watermark has passed it: an earlier row that comes
+    late takes its place, and after that none can come any more. Then it is told, and the entity is
+    remembered until it has had no alert for ``keep_ms`` (for ever without it).
+    """
+
+    def __init__(self, names: Sequence[str], keep_ms: int | None):
+        self.names, self.keep_ms = list(names), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first long, last long, told boolean")
+
+    def _wake(self, at: int, before: int | None) -> None:
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spans = [(int(r["time"].min()), int(r["time"].max())) for r in rows]
+        low, high = min(a for a, _ in spans), max(b for _, b in spans)
+        first, last, told = self.seen.get() if self.seen.exists() else (None, None, False)
+        if told and self.keep_ms is not None and low // 1000 > last // 1000 + self.keep_ms:  # before its timer came up
+            self.handle.deleteTimer(last // 1000 + self.keep_ms)
+            first, last, told = None, None, False
+        if told:
+            if self.keep_ms is not None and high > last:
+                self._wake(high // 1000 + self.keep_ms, last // 1000 + self.keep_ms)
+            self.seen.update((first, max(last, high), True))
+        else:
+            if first is None or low < first:
+                self._wake(low // 1000 + 1, None if first is None else first // 1000 + 1)
+            self.seen.update((low if first is None else min(first, low), high if last is None else max(last, high), False))
+        yield pd.DataFrame({c: pd.Series([], dtype="int64") for c in (*self.names, "first_alert_time")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, last, told = self.seen.get()
+        if told:
+            self.seen.clear()
+            return
+        self.seen.update((first, last, True))
+        if self.keep_ms is not None:
+            self.handle.registerTimer(last // 1000 + self.keep_ms)
+        yield pd.DataFrame({**dict(zip(self.names, ([k] for k in key))), "first_alert_time": [first]})
+
+    def close(self) -> None:
+        pass
+
+
+def first_alerts(alerts: DataFrame, keys: Sequence[str] = ENTITY, delay: str = "1 hour", keep: str | None = None,
+                 time: str = "window_end") -> DataFrame:
+    """(keys, first_alert_time): one row for each entity out of the stream, once the watermark has passed its earliest
+    alert. ``keys`` are numbers. With ``keep``, an entity silent for so long is forgotten, and its next alert is a
+    first one again."""
+    out = ", ".join(f"{k} long" for k in keys)
+    timed = event_time(alerts.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(time).alias("time")), "time").withWatermark("ts", delay)
+    processor = FirstAlert(keys, _micros(keep) // 1000 if keep else None)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{out}, first_alert_time long", outputMode="append", timeMode="EventTime")
+
+
+def still_held(alerts: DataFrame, told: DataFrame, keys: Sequence[str] = ENTITY, time: str = "window_end") -> DataFrame:
+    """First alerts of a finite input that its stream has not told, as the watermark ends before them."""
+    return alerts.groupBy(*keys).agg(F.min(time).alias("first_alert_time")).join(told, list(keys), "left_anti")
+
+
+def run_window_states(usage: DataFrame, window_us: int, table_path: str, state_path: str,
+                      keys: Sequence[str] = ENTITY) -> StreamingQuery:
+    """Store each batch of samples as states of the windows it meets. Nothing is held between batches and no
+    sample is too late: ``read_window_states`` adds a window's parts up. A replayed batch overwrites its own folder."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        window_states(batch, window_us, keys).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return (
-        earliest.writeStream.foreachBatch(emit).outputMode("update")
+        usage.writeStream.foreachBatch(store).outputMode("append")
         .option("checkpointLocation", state_path).trigger(availableNow=True).start()
     )
 
 
-def read_first_alerts(spark: SparkSession, table_path: str, keys: Sequence[str] = ENTITY) -> DataFrame:
-    return spark.read.parquet(table_path).groupBy(*keys).agg(
-        F.min("first_alert_time").alias("first_alert_time")
-    )
+def read_window_states(spark: SparkSession, table_path: str, schema: StructType, keys: Sequence[str] = ENTITY) -> DataFrame:
+    """States of all windows that have been stored; ``schema`` is that of ``window_states``."""
+    return merged_states(spark.read.schema(schema).parquet(table_path).select(*schema.names), keys=keys)
 
 
 def stream_labels(windows: DataFrame, failures: DataFrame, window_us: int, horizon_us: int, delay: str,

@@ -43,7 +43,7 @@ def test_windows_equal_batch_and_late_rows_are_dropped(spark):
     assert got.count() == 5 and got.agg(F.max("cpu_max")).first()[0] < 99.0
 
 
-def test_alerts_and_first_alerts(spark):
+def test_alerts(spark):
     stream = feed(spark, new_path(spark, "in"), [usage_row(1, m, float(m)) for m in range(0, 200, 5)],
                   [usage_row(2, 600 + m) for m in range(0, 60, 5)])
     windows = jobs.stream_windows(stream, W, 2, "10 minutes")
@@ -52,13 +52,61 @@ def test_alerts_and_first_alerts(spark):
     alerts = spark.read.parquet(table)
     assert sorted(r["window_end"] for r in alerts.collect()) == [k * W for k in (3, 4, 5, 6, 7)]
 
-    source = new_path(spark, "in")
-    raw = feed(spark, source, [(1, 0, 50), (2, 0, 70)], [(1, 0, 40), (1, 0, 90)],
-               schema="job_id long, task_index long, window_end long")
-    out = new_path(spark, "first")
-    jobs.run_first_alerts(raw, out, new_path(spark, "state")).awaitTermination()
-    got = {r["job_id"]: r["first_alert_time"] for r in jobs.read_first_alerts(spark, out).collect()}
-    assert got == {1: 40, 2: 70}
+
+ALERTS = "job_id long, task_index long, window_end long"
+SECOND = 1_000_000
+
+
+def alerts_at(*rows):
+    return [(job, 0, t * SECOND) for job, t in rows]
+
+
+def test_first_alert_is_told_once_and_corrected_by_late_rows(spark):
+    source, out, state = (new_path(spark, x) for x in ("in", "first", "state"))
+
+    def run(stream):
+        jobs.run_to_table(jobs.first_alerts(stream, delay="100 seconds"), out, state).awaitTermination()
+        return sorted((r["job_id"], r["first_alert_time"] // SECOND) for r in spark.read.schema("job_id long, task_index long, first_alert_time long").parquet(out).collect())
+
+    stream = feed(spark, source, alerts_at((1, 500), (2, 520)), alerts_at((1, 450), (3, 560)), schema=ALERTS)  # 1 comes again, late
+    assert run(stream) == [(1, 450)]  # the watermark is at 460
+    # started again from its checkpoint: 2 and 3 are still held, 1 has been told
+    stream = feed(spark, source, alerts_at((1, 470), (1, 900), (2, 800)), alerts_at((1, 950), (2, 300), (4, 990)), schema=ALERTS)
+    told = run(stream)
+    assert told == [(1, 450), (2, 520), (3, 560)]
+    held = jobs.still_held(spark.read.schema(ALERTS).parquet(source), spark.read.schema("job_id long, task_index long, first_alert_time long").parquet(out))
+    assert [(r["job_id"], r["first_alert_time"] // SECOND) for r in held.collect()] == [(4, 990)]
+
+
+def test_a_silent_entity_is_forgotten(spark):
+    source, out, state = (new_path(spark, x) for x in ("in", "first", "state"))
+    stream = feed(spark, source, alerts_at((1, 100)), alerts_at((2, 300)), alerts_at((1, 350), (2, 1000)), alerts_at((2, 5000)), alerts_at((1, 5100)), alerts_at((2, 9000)), schema=ALERTS)
+    jobs.run_to_table(jobs.first_alerts(stream, delay="10 seconds", keep="1000 seconds"), out, state).awaitTermination()
+    got = sorted((r["job_id"], r["first_alert_time"] // SECOND) for r in spark.read.parquet(out).collect())
+    assert got[:3] == [(1, 100), (1, 5100), (2, 300)]
+
+
+def test_alerts_of_an_empty_stream(spark):
+    source, out, state = (new_path(spark, x) for x in ("in", "first", "state"))
+    spark.createDataFrame([], ALERTS).write.parquet(source)
+    stream = jobs.first_alerts(spark.readStream.schema(ALERTS).parquet(source))
+    jobs.run_to_table(stream, out, state).awaitTermination()
+    assert spark.read.schema(stream.schema).parquet(out).count() == 0
+
+
+def test_late_samples_reach_closed_windows(spark):
+    from presage.operators.merging import state_features, window_states
+
+    first = [usage_row(1, m, 0.1 * m) for m in range(0, 60, 5)]
+    second = [usage_row(2, m) for m in range(900, 960, 5)]
+    late = [usage_row(1, 2, 99.0), usage_row(1, 33, 7.0)]  # long after the watermark would have closed them
+    table, state = new_path(spark, "states"), new_path(spark, "state")
+    jobs.run_window_states(feed(spark, new_path(spark, "in"), first, second, late), W, table, state).awaitTermination()
+    schema = window_states(spark.createDataFrame([], USAGE), W).schema
+    got = state_features(jobs.read_window_states(spark, table, schema), W, 2)
+    want = usage_windows(spark.createDataFrame(first + second + late, USAGE), ["job_id", "task_index"], W, task_aggregates(), 2)
+    columns = ["job_id", "window_start", "window_end", "n_samples", *[F.round(c, 9) for c in ("cpu_mean", "cpu_std", "cpu_max", "mem_std")]]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
 
 def test_labels(spark):
