@@ -14,8 +14,9 @@ SHARD_PATTERN = r"part-(\d+)-of-\d+\.csv$"
 LAST_CONTINUOUS_SHARD = 172
 
 
-def read_shards(spark: SparkSession, path: str, table: str, with_shard: bool = False) -> DataFrame:
-    """Read one table's shards with its fixed names and types.
+def read_shards(spark: SparkSession, path: str | list[str], table: str, with_shard: bool = False,
+                with_file: bool = False) -> DataFrame:
+    """Read one table's shards, a folder or some files of it, with its fixed names and types.
 
     Every field is read as text first: ``""`` is NULL already, the unknown-time
     marker is nulled in any column, and the cast of what remains raises under
@@ -30,6 +31,8 @@ def read_shards(spark: SparkSession, path: str, table: str, with_shard: bool = F
     ]
     if with_shard:
         typed.append(shard_index().alias("shard"))
+    if with_file:
+        typed.append(F.col("_metadata.file_name").alias("file_name"))
     return raw.select(*typed)
 
 
