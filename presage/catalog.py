@@ -16,13 +16,13 @@ from presage.config import (
 )
 from presage.functions import hour_bucket, sigmoid, wall_micros
 from presage.operators import histogram as hist
-from presage.operators import labels, metrics, sampling, sequences, split, windows
+from presage.operators import labels, merging, metrics, sampling, sequences, sketches, split, windows
 from presage.operators.ordered import exact_quantiles
 from presage.plans import compare, detect, drift, eda, lead_time, models, serving
 from presage.plans import jobs as batch
 from presage.plans.training import stored_split
 from presage.session import new_path, staged
-from presage.sources import profile, shards, tables
+from presage.sources import ledger, profile, shards, tables
 from presage.sources.roles import (
     as_machine_events, as_task_events, as_usage, load_events, load_trace,
 )
@@ -157,6 +157,54 @@ def ingest_manifest(spark, sf_dir):
     return batch.ingest_trace(spark, _raw_trace(spark, sf_dir), new_path(spark, "typed"), earlier)
 
 
+# Shards that the hours of usage are dealt to, two of them past the continuous part.
+SHARDS = (0, 17, 172, 173, 400)
+
+
+def _put_shards(spark, usage, raw_dir, chosen):
+    """Usage of some shards as files with the trace's names, one for each shard; files of the same name are replaced."""
+    from presage.sources.schemas import table_schema
+
+    jvm, drafts = spark.sparkContext._jvm, new_path(spark, "drafts")
+    names = table_schema("task_usage").names
+    text = usage.where(F.col("shard").isin(*chosen)).select("shard", *[
+        (F.col(c) if c in usage.columns else F.lit(None)).cast("string").alias(c) for c in names])
+    text.repartition("shard").write.partitionBy("shard").option("emptyValue", "").option("nullValue", "").csv(drafts, header=False)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{raw_dir}/task_usage")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    for shard in chosen:  # a handful of files
+        found = spark.read.format("binaryFile").load(f"{drafts}/shard={shard}/*.csv").select("path").first()["path"]
+        to = jvm.org.apache.hadoop.fs.Path(f"{raw_dir}/task_usage/part-{shard:05d}-of-00500.csv")
+        fs.delete(to, False)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(found), to)
+
+
+@query
+def ingest_increment(spark, sf_dir):
+    """Four runs over files with the trace's names: the first ones, none new, one more, one changed. What each run read,
+    and rows and profile of both tables at the end."""
+    raw, out = new_path(spark, "raw"), new_path(spark, "typed")
+    usage = as_usage(load_events(spark, sf_dir))
+    place = F.pmod(hour_bucket("start_time"), F.lit(len(SHARDS))).cast("int")
+    usage = usage.withColumn("shard", F.element_at(F.array(*map(F.lit, SHARDS)), place + 1))
+    read, steps = ledger.empty_ledger(spark), None
+    first = [x for x in SHARDS if x != 17]
+    for number, (rows, changed) in enumerate(((usage, first), (usage, []), (usage, [17]), (usage.where(F.col("job_id") % 2 == 0), [172])), 1):
+        if changed:
+            _put_shards(spark, rows, raw, changed)
+        read = staged(ledger.ingest_increment(spark, raw, out, "task_usage", read, str(number)), "ledger")
+        step = read.where(F.col("run") == str(number)).agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).select(
+            F.lit(f"run {number}").alias("what"), "n_files", "n_rows", F.lit(None).cast("long").alias("n_jobs"))
+        steps = step if steps is None else steps.unionByName(step)
+    for name in ("task_usage", "task_usage_snapshots"):
+        rows = ledger.read_ingested(spark, out, name, read)
+        files = read.where(F.col("table_name") == name).agg(F.count(F.lit(1))).scalar()
+        steps = steps.unionByName(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("job_id").alias("n_jobs")).select(
+            F.lit(name).alias("what"), files.alias("n_files"), "n_rows", "n_jobs"))
+    return steps
+
+
 @query
 def feature_job(spark, sf_dir):
     """Features written in the order of time, and their manifest."""
@@ -244,6 +292,38 @@ def usage_quantiles(spark, sf_dir):
     return eda.usage_quantiles(load_trace(spark, sf_dir).usage)
 
 
+def _report_spans(usage):
+    """Spans of days, counted from the first one."""
+    first = usage.agg(F.min("start_time")).first()[0]
+    day = 0 if first is None else first // US_PER_DAY
+    return {"first week": (day, day + 6), "days 4 to 10": (day + 3, day + 9), "all": (day, day + 100_000)}
+
+
+@query
+def quantiles_by_span(spark, sf_dir):
+    """Exact quantiles for spans of days, by sketches that were stored for each day."""
+    usage = load_trace(spark, sf_dir).usage
+    columns = ["cpu_rate", "canonical_memory_usage"]
+    stored = staged(sketches.daily_quantile_sketches(usage, columns, "start_time"), "daily-sketches")
+    return sketches.quantiles_by_span(usage, stored, _report_spans(usage), columns, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, "start_time")
+
+
+@query
+def distinct_by_span(spark, sf_dir):
+    """Distinct jobs, tasks and machines for spans of days by stored sketches, beside the exact counts."""
+    usage = load_trace(spark, sf_dir).usage
+    kinds = {"jobs": ["job_id"], "tasks": list(ENTITY), "machines": ["machine_id"]}
+    stored = staged(sketches.daily_distinct_sketches(usage, kinds, "start_time"), "daily-sketches")
+    spans = _report_spans(usage)
+    exact = None
+    for span, (a, b) in spans.items():
+        one = usage.where(sketches.day_of("start_time").between(a, b)).agg(F.inline(F.array(*[
+            F.struct(F.lit(what).alias("what"), F.count_distinct(F.struct(*keys)).alias("n_exact")) for what, keys in kinds.items()]))).select(F.lit(span).alias("span"), "*")
+        exact = one if exact is None else exact.unionByName(one)
+    within = F.abs(F.col("n_about") - F.col("n_exact")) <= F.col("n_exact") * sketches.DISTINCT_ERROR
+    return exact.join(sketches.distinct_by_span(stored, spans), ["span", "what"]).select("span", "what", "n_exact", within.alias("within"))
+
+
 @query
 def price_quantiles(spark, sf_dir):
     return exact_quantiles(
@@ -403,6 +483,15 @@ def entity_subset(spark, sf_dir):
     return sequences.entity_subset(built).select(*WINDOW_KEYS, TASK_LABEL)
 
 
+@query
+def merged_windows(spark, sf_dir):
+    """Windows of two parts of the samples, each stored as states, added up: equal to those of all samples at once."""
+    usage = as_usage(load_events(spark, sf_dir))
+    late = F.pmod(F.xxhash64("job_id", "start_time"), F.lit(5)) == 0
+    parts = [staged(merging.window_states(usage.where(part), DAILY.window_us), "states") for part in (~late, late)]
+    return merging.state_features(merging.merged_states(*parts), DAILY.window_us, DAILY.min_samples)
+
+
 # ---------------------------------------------------------------- split and balance
 
 
@@ -413,14 +502,18 @@ def daily_split(spark, sf_dir, **config):
 
 @query
 def time_split_stats(spark, sf_dir):
-    s = daily_split(spark, sf_dir)
-    sides = s.train.select(F.lit("train").alias("side"), "window_end", TASK_LABEL).unionByName(
-        s.test.select(F.lit("test").alias("side"), "window_end", TASK_LABEL)
+    t, config = load_trace(spark, sf_dir), SplitConfig()
+    built = staged(windows.task_windows(t.usage, t.task_events, DAILY).select(*WINDOW_KEYS, "window_end", TASK_LABEL), "windows")
+    cutoff = split.fit_cutoff(built, config.test_frac)
+    train, test = split.split_at(built, cutoff, config.embargo_us)
+    train = split.undersample(train, TASK_LABEL, WINDOW_KEYS, config.negative_ratio, config.seed)
+    sides = train.select(F.lit("train").alias("side"), "window_end", TASK_LABEL).unionByName(
+        test.select(F.lit("test").alias("side"), "window_end", TASK_LABEL)
     )
     return sides.groupBy("side").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(TASK_LABEL).cast("long")).alias("n_positive"),
         F.min("window_end").alias("first_end"), F.max("window_end").alias("last_end"),
-    ).withColumn("cutoff", F.lit(s.cutoff).cast("long"))
+    ).withColumn("cutoff", F.lit(cutoff).cast("long"))
 
 
 @query
@@ -641,6 +734,40 @@ def replay(spark, sf_dir):
     return serving.replay(staged(series, "series"), staged(markers, "markers"), ALERT_RISK)
 
 
+@query
+def state_intervals(spark, sf_dir):
+    """How long each state of a machine held."""
+    series, markers = risk_tables(spark, sf_dir)
+    return serving.state_intervals(series, markers, ALERT_RISK).select(
+        "machine_id", "from_time", "to_time", "window_start", "max_predicted_risk", "alert", "n_events", "first_event")
+
+
+@query
+def replay_intervals(spark, sf_dir):
+    """The replay, met with the intervals in which states hold."""
+    series, markers = (staged(df, "serving") for df in risk_tables(spark, sf_dir))
+    intervals = staged(serving.state_intervals(series, markers, ALERT_RISK), "intervals")
+    return serving.states_at(intervals, serving.replay_moments(series))
+
+
+@query
+def risk_series_fitted(spark, sf_dir):
+    """The serving series scored by fitted trees: load and tasks as they are, the highest score and the alerts of a
+    machine's window those of its tasks."""
+    s = daily_split(spark, sf_dir)
+    train, _ = _scored_sides(s, model := models.fit_trees(s.train, WINDOW_KEYS))
+    threshold = metrics.best_threshold(metrics.threshold_sweep(train, TASK_LABEL, "score")).first()["threshold"]
+    t = load_trace(spark, sf_dir)
+    built = windows.task_windows(t.usage, t.task_events, DAILY, by_machine=True)
+    scored = staged(models.score(model, split.fill_medians(built, s.medians, TASK_FEATURES), "predicted_risk"), "scored")
+    series = serving.machine_risk_series(scored)
+    own = scored.groupBy("machine_id", "window_start").agg(
+        F.max("predicted_risk").alias("top"), F.count_if(F.col("predicted_risk") >= threshold).alias("n_flagged"))
+    return series.join(own, ["machine_id", "window_start"]).select(
+        "machine_id", "window_start", "cpu_sum", "n_tasks", "any_fail_soon", F.col("max_predicted_risk").between(0.0, 1.0).alias("valid"),
+        ((F.col("max_predicted_risk") == F.col("top")) & ((F.col("max_predicted_risk") >= threshold) == (F.col("n_flagged") > 0))).alias("agrees"))
+
+
 @query
 def model_comparison(spark, sf_dir):
     """Registry rows of two scores, one saved twice, against the fixed model order."""
@@ -703,16 +830,71 @@ def gbt_report(spark, sf_dir):
     return _report_facts(models.tuned_report(train, test, "boosted_trees")).select("model", "n_test", "n_positive", "adds_up", "ranked")
 
 
+#: All trees allowed, but a planted label is nearly learned when a tree takes less than a fiftieth off the loss.
+QUICK_STOP = models.TreeParams(rate=0.2, patience=0.02)
+
+
+def _planted_sides(s, label=TASK_LABEL):
+    """Both sides with a label that two features decide."""
+    planted = ((F.col("cpu_max") > 60) & (F.col("n_samples") > 5)).cast("int")
+    return (staged(side.withColumn(label, planted), "planted") for side in (s.train, s.test))
+
+
 @query
 def gbt_planted(spark, sf_dir):
     """Trees must rank a label that is planted from two features nearly perfectly."""
-    s = daily_split(spark, sf_dir)
-    planted = ((F.col("cpu_max") > 60) & (F.col("n_samples") > 5)).cast("int")
-    train, test = (side.withColumn(TASK_LABEL, planted) for side in (s.train, s.test))
-    report = metrics.evaluate(models.score(models.fit_trees(train, WINDOW_KEYS, models.TreeParams(trees=60)), test), TASK_LABEL, "score", 0.5)
+    train, test = _planted_sides(daily_split(spark, sf_dir))
+    report = metrics.evaluate(models.score(models.fit_trees(train, WINDOW_KEYS, QUICK_STOP), test), TASK_LABEL, "score", 0.5)
     return report.select("n_test", "n_positive", (F.col("roc_auc") > 0.95).alias("found"))
 
 
+@query
+def importances_planted(spark, sf_dir):
+    """The two features whose mixing up costs most: those that the label was planted from."""
+    s = daily_split(spark, sf_dir)
+    planted = ((F.col("cpu_max") > 60) & (F.col("mem_max") > 60)).cast("int")
+    train, test = (staged(side.withColumn(TASK_LABEL, planted), "planted") for side in (s.train, s.test))
+    model = models.fit_trees(train, WINDOW_KEYS, QUICK_STOP)
+    found = models.permutation_importance(model, test, TASK_FEATURES, TASK_LABEL, WINDOW_KEYS)
+    return found.orderBy(F.desc("importance"), "feature").limit(2).select("feature", (F.col("importance") > 0.1).alias("matters"))
+
+
+@query
+def logreg_planted(spark, sf_dir):
+    """The largest coefficient must be that of the feature that decides the label."""
+    s = daily_split(spark, sf_dir)
+    train = staged(s.train.withColumn(TASK_LABEL, (F.col("mem_peak_mean") > 60).cast("int")), "planted")
+    features = ["cpu_mean", "mem_peak_mean", "disk_io_mean", "priority", "n_samples"]
+    found = models.coefficients(models.fit_logistic(train, features), features, spark)
+    return found.limit(1).select("feature", (F.col("value") > 0).alias("positive"))
+
+
+@query
+def ablation_planted(spark, sf_dir):
+    """The group that the label was planted from must do best, and as well as all features."""
+    s = daily_split(spark, sf_dir)
+    planted = ((F.col("mem_max") > 60) & (F.col("mem_mean") < 55)).cast("int")
+    train, test = (staged(side.withColumn(TASK_LABEL, planted), "planted") for side in (s.train, s.test))
+    found = staged(models.ablation(train, test, WINDOW_KEYS, QUICK_STOP), "ablation")
+    best = models.best_solo_group(found)
+    return best.select(F.col("feature_group").alias("best"), (F.col("roc_auc") > 0.9).alias("found"), (F.col("pct_of_full") > 90).alias("near_full"))
+
+
+@query
+def cv_planted(spark, sf_dir):
+    """Three settings by three folds on a planted label, one of them too weak to learn it: the best one ranks it nearly
+    perfectly in every fold, and the weak one comes last."""
+    s = daily_split(spark, sf_dir)
+    train = staged(s.train.withColumn(TASK_LABEL, ((F.col("cpu_max") > 60) & (F.col("mem_max") > 60)).cast("int")), "planted")
+    weak = models.TreeParams(trees=1, depth=1, rate=0.01)
+    draws = [weak, models.TreeParams(trees=20, depth=4, rate=0.3), models.TreeParams(trees=10, depth=5, rate=0.3)]
+    trials, best = models.tune_trees(train, WINDOW_KEYS, draws)
+    return trials.agg(
+        F.count(F.lit(1)).alias("n_trials"), (F.max("mean_pr_auc") > 0.9).alias("found"),
+        (F.max_by("std_pr_auc", "mean_pr_auc") < 0.1).alias("steady"), (F.min_by("trial", "mean_pr_auc") == 1).alias("weak_is_last"),
+    ).withColumn("best_can_learn", F.lit(best != weak))
+
+
 @query
 def gbt_lead_time(spark, sf_dir):
     """Lead time and drift of the fitted trees on the test side, at the threshold tuned on train."""
@@ -724,6 +906,21 @@ def gbt_lead_time(spark, sf_dir):
     return summary.select("n_failures", (F.col("n_detected") <= F.col("n_failures")).alias("bounded")).crossJoin(bins)
 
 
+@query
+def gbt_drift(spark, sf_dir):
+    """Fitted trees on the test side by thirds of its time, and whether the verdict is that of the numbers."""
+    s = daily_split(spark, sf_dir)
+    train, test = _scored_sides(s, models.fit_trees(s.train, WINDOW_KEYS))
+    threshold = metrics.best_threshold(metrics.threshold_sweep(train, TASK_LABEL, "score")).first()["threshold"]
+    bins = staged(drift.drift_by_bin(test, threshold), "bins")
+    verdict = drift.drift_verdict(bins).select("verdict", "roc_auc_drift")
+    d = F.col("roc_auc_drift")
+    right = F.when(d.isNull(), F.col("verdict").isNull()).otherwise(F.col("verdict").startswith(
+        F.when(F.abs(d) < 0.02, "holds").when(d < 0, "degrades").otherwise("improves")))
+    return _report_facts(bins).crossJoin(verdict.select(right.alias("right_verdict"))).select(
+        "bin", "n_test", "n_positive", "first_day", "last_day", "adds_up", "ranked", "right_verdict")
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     """A stored model scores as the fitted one does."""
@@ -760,6 +957,16 @@ def machine_gbt_report(spark, sf_dir):
     return _report_facts(report).select("model", "n_test", "n_positive", "adds_up", "ranked")
 
 
+@query
+def machine_gbt_planted(spark, sf_dir):
+    """Machine trees must rank a label that two machine features decide."""
+    s = _machine_split(spark, sf_dir)
+    planted = ((F.col("cpu_max") > 80) & (F.col("n_tasks") > 3)).cast("int")
+    train, test = (staged(side.withColumn(MACHINE_LABEL, planted), "planted") for side in (s.train, s.test))
+    report = metrics.evaluate(models.score(_machine_trees(train), test), MACHINE_LABEL, "score", 0.5)
+    return report.select("n_test", "n_positive", (F.col("roc_auc") > 0.95).alias("found"))
+
+
 @query
 def cv_trials(spark, sf_dir):
     """Twelve random settings by three folds, and the refit of the best."""
@@ -771,19 +978,48 @@ def cv_trials(spark, sf_dir):
     return trials.select("trial", fair.alias("valid"), F.lit(n).cast("long").alias("n_test"))
 
 
-@query
-def sequence_net_scores(spark, sf_dir):
+def _sequence_sides(spark, sf_dir, label=None):
+    """(train, test) with the last windows of each: the train side of the entities with a positive window and ten times
+    as many others, undersampled, as sequences are wide."""
     t = load_trace(spark, sf_dir)
     built = staged(windows.task_windows(t.usage, t.task_events, DAILY), "windows")
     cutoff = split.fit_cutoff(built)
     medians = split.fit_medians(split.split_at(built, cutoff)[0], TASK_FEATURES)
     ready = sequences.lookback(split.fill_medians(built, medians, TASK_FEATURES))
-    train, test = split.split_at(ready, cutoff)
-    # the entities with a failure and ten times as many others, as sequences are wide
-    train = sequences.entity_subset(staged(train, "sequences"))
-    train = staged(split.undersample(train, TASK_LABEL, WINDOW_KEYS, 20.0, 42), "sequences")
+    if label is not None:
+        ready = ready.withColumn(TASK_LABEL, label)
+    train, test = split.split_at(staged(ready, "sequences"), cutoff)
+    train = sequences.entity_subset(train)
+    return staged(split.undersample(train, TASK_LABEL, WINDOW_KEYS, 20.0, 42), "sequences"), test
+
+
+def _score_sequences(model, side):
+    return staged(models.score(model, sequences.flat_vector(side, output="raw")).select(*WINDOW_KEYS, TASK_LABEL, "score"), "scored")
+
+
+@query
+def sequence_net_scores(spark, sf_dir):
+    train, test = _sequence_sides(spark, sf_dir)
+    return _scored(_score_sequences(models.fit_sequence_net(train, sequences.SEQUENCE_LENGTH), test), *WINDOW_KEYS, TASK_LABEL)
+
+
+@query
+def sequence_net_report(spark, sf_dir):
+    """Threshold tuned on train, every metric on the full test side."""
+    train, test = _sequence_sides(spark, sf_dir)
     model = models.fit_sequence_net(train, sequences.SEQUENCE_LENGTH)
-    return _scored(models.score(model, sequences.flat_vector(test, output="raw")), *WINDOW_KEYS, TASK_LABEL)
+    report = models.tuned_report(*(_score_sequences(model, side) for side in (train, test)), "sequence_net")
+    on_grid = F.round(F.col("threshold") * 20).cast("int").between(1, 19)
+    return _report_facts(report).select("model", "n_test", "n_positive", "adds_up", "ranked", on_grid.alias("tuned"))
+
+
+@query
+def sequence_net_planted(spark, sf_dir):
+    """A label that the window before last decides: only a model of the sequence can rank it."""
+    before_last = F.col("sequence")[sequences.SEQUENCE_LENGTH - 2][TASK_FEATURES.index("cpu_mean")]
+    train, test = _sequence_sides(spark, sf_dir, (before_last > 60).cast("int"))
+    scored = _score_sequences(models.fit_sequence_net(train, sequences.SEQUENCE_LENGTH), test)
+    return metrics.evaluate(scored, TASK_LABEL, "score", 0.5).select("n_test", "n_positive", (F.col("roc_auc") > 0.9).alias("found"))
 
 
 @query
@@ -841,15 +1077,53 @@ def stream_alerts(spark, sf_dir):
     return alerts.unionByName(last.where(F.col("score") >= ALERT_RISK).select(*columns))
 
 
+@query
+def stream_model_alerts(spark, sf_dir):
+    """Alerts of a stored model, loaded once, over closed windows of the stream: how many windows, and how many alerts
+    differ from scoring the same windows in one batch."""
+    s = daily_split(spark, sf_dir)
+    features = [c for c in TASK_FEATURES if c in ("n_samples", *(f"{m}_{k}" for m, (_, kinds) in merging.MEASURES.items() for k in kinds))]
+    model = models.fit_logistic(s.train, features)
+    best = metrics.best_threshold(metrics.threshold_sweep(staged(models.score(model, s.train), "scored"), TASK_LABEL, "score")).first()
+    stored, path, state = new_path(spark, "model"), new_path(spark, "stream-alerts"), new_path(spark, "stream-state")
+    batch.save_model(spark, batch.StoredModel(model, tuple(features), best["threshold"], {c: s.medians[c] for c in features}), stored)
+    loaded = batch.load_model(spark, stored)
+    scorer = batch.stored_scorer(loaded)
+    jobs.run_alerts(_windows(as_usage(_event_stream(spark, sf_dir))), scorer, loaded.threshold, path, state).awaitTermination()
+    columns = (*WINDOW_KEYS, "score")
+    last = scorer(_windows(_tail(spark, sf_dir)))
+    streamed = spark.read.schema(last.schema).parquet(path).select(*columns).unionByName(
+        last.where(F.col("score") >= loaded.threshold).select(*columns))
+    whole = staged(scorer(_windows(as_usage(load_events(spark, sf_dir)))), "scored")
+    there = whole.where(F.col("score") >= loaded.threshold).select(*WINDOW_KEYS, F.col("score").alias("batch_score"))
+    off = streamed.join(there, list(WINDOW_KEYS), "full").agg(
+        F.count_if(F.col("score").isNull() | F.col("batch_score").isNull() | (F.abs(F.col("score") - F.col("batch_score")) > 1e-9)).alias("n_different"),
+        (F.count(F.lit(1)) > 0).alias("some"))
+    return off.withColumn("n_windows", whole.agg(F.count(F.lit(1))).scalar())
+
+
+def _usage_alerts(events):
+    return as_usage(events).where(F.col("cpu_rate") >= 100).select(*ENTITY, F.col("end_time").alias("window_end"))
+
+
 @query
 def stream_first_alerts(spark, sf_dir):
-    """Earliest high usage sample per task, kept up to date while batches arrive."""
+    """Earliest high usage sample per task, told once; a last batch tells those that the watermark hasn't passed."""
     path, state = new_path(spark, "stream-first"), new_path(spark, "stream-state")
-    alerts = as_usage(_event_stream(spark, sf_dir)).where(F.col("cpu_rate") >= 100).select(
-        *ENTITY, F.col("end_time").alias("window_end")
-    )
-    jobs.run_first_alerts(alerts, path, state).awaitTermination()
-    return jobs.read_first_alerts(spark, path)
+    stream = jobs.first_alerts(_usage_alerts(_event_stream(spark, sf_dir)))
+    jobs.run_to_table(stream, path, state).awaitTermination()
+    told = spark.read.schema(stream.schema).parquet(path)
+    return told.unionByName(jobs.still_held(_usage_alerts(load_events(spark, sf_dir)), told))
+
+
+@query
+def stream_late_windows(spark, sf_dir):
+    """Window states of a stream in which samples of all days come in any order: none is late."""
+    path, state = new_path(spark, "stream-states"), new_path(spark, "stream-state")
+    usage = as_usage(_event_stream(spark, sf_dir))
+    jobs.run_window_states(usage, DAILY.window_us, path, state).awaitTermination()
+    schema = merging.window_states(as_usage(load_events(spark, sf_dir)), DAILY.window_us).schema
+    return merging.state_features(jobs.read_window_states(spark, path, schema), DAILY.window_us, DAILY.min_samples)
 
 
 def _labelled_stream(spark, sf_dir, config):

@@ -546,6 +546,49 @@ m AS (
     out["gbt_report"] = sql(daily_split(), f"SELECT 'boosted_trees' AS model, {sizes}, true AS adds_up, true AS ranked FROM test")
     out["gbt_planted"] = sql(
         daily_split(), "SELECT count(*) AS n_test, count(*) FILTER (cpu_max > 60 AND n_samples > 5) AS n_positive, true AS found FROM test")
+    by_span = f"""{TRACE}, first AS (SELECT min(start_time) // {DAY} AS d0 FROM task_usage),
+spans AS (SELECT span, d0 + a AS a, d0 + b AS b FROM (VALUES ('first week', 0, 6), ('days 4 to 10', 3, 9), ('all', 0, 100000)) s(span, a, b), first),
+u AS (SELECT *, start_time // {DAY} AS day FROM task_usage)"""
+    out["quantiles_by_span"] = sql(
+        by_span, " UNION ALL ".join(
+            f"""SELECT span, '{c}' AS feature, count({c}) AS n, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.9) AS p90, quantile_cont({c}, 0.99) AS p99
+                FROM u JOIN spans ON day BETWEEN a AND b WHERE {c} IS NOT NULL GROUP BY span""" for c in ("cpu_rate", "canonical_memory_usage")),
+        ["p50", "p90", "p99"])
+    out["distinct_by_span"] = sql(
+        by_span, " UNION ALL ".join(
+            f"SELECT span, '{what}' AS what, count(DISTINCT {c}) AS n_exact, true AS within FROM u JOIN spans ON day BETWEEN a AND b GROUP BY span"
+            for what, c in (("jobs", "job_id"), ("tasks", f"({E})"), ("machines", "machine_id"))))
+    shard = f"CASE start_time // {HOUR} % 5 WHEN 0 THEN 0 WHEN 1 THEN 17 WHEN 2 THEN 172 WHEN 3 THEN 173 ELSE 400 END"
+    out["ingest_increment"] = sql(
+        f"""{TRACE}, raw AS (SELECT *, {shard} AS shard FROM task_usage),
+last AS (SELECT * FROM raw WHERE shard <> 172 OR job_id % 2 = 0)""",
+        """SELECT 'run 1' AS what, 4::BIGINT AS n_files, count(*) AS n_rows, NULL::BIGINT AS n_jobs FROM raw WHERE shard <> 17
+           UNION ALL SELECT 'run 2', 0, 0, NULL
+           UNION ALL SELECT 'run 3', 1, count(*), NULL FROM raw WHERE shard = 17
+           UNION ALL SELECT 'run 4', 1, count(*), NULL FROM raw WHERE shard = 172 AND job_id % 2 = 0
+           UNION ALL SELECT 'task_usage', 3, count(*), count(DISTINCT job_id) FROM last WHERE shard <= 172
+           UNION ALL SELECT 'task_usage_snapshots', 2, count(*), count(DISTINCT job_id) FROM last WHERE shard > 172""")
+    out["risk_series_fitted"] = sql(
+        f"{TRACE}, {PROFILES}, {task_windows(by_machine=True)}",
+        """SELECT machine_id, window_start, sum(cpu_mean) AS cpu_sum, count(*) AS n_tasks, max(label_fail_soon) AS any_fail_soon, true AS valid,
+           true AS agrees FROM w GROUP BY machine_id, window_start""", ["cpu_sum"])
+    out["gbt_drift"] = sql(
+        f"""{daily_split()}, span AS (SELECT min(window_end) AS lo, max(window_end) AS hi FROM test),
+binned AS (SELECT *, CAST(least(floor((window_end - lo) / ((hi - lo) / 3.0::DOUBLE)), 2) + 1 AS INT) AS bin FROM test, span)""",
+        f"""SELECT bin, {sizes}, min(window_end) / 8.64e10 AS first_day, max(window_end) / 8.64e10 AS last_day, true AS adds_up, true AS ranked,
+            true AS right_verdict FROM binned GROUP BY bin""", ["first_day", "last_day"])
+    out["importances_planted"] = "SELECT unnest(['cpu_max', 'mem_max']) AS feature, true AS matters"
+    out["logreg_planted"] = "SELECT 'mem_peak_mean' AS feature, true AS positive"
+    out["ablation_planted"] = "SELECT 'memory' AS best, true AS found, true AS near_full"
+    out["cv_planted"] = "SELECT 3::BIGINT AS n_trials, true AS found, true AS steady, true AS weak_is_last, true AS best_can_learn"
+    out["machine_gbt_planted"] = sql(
+        f"{machines}, {nearest('m', 'window_end', 0.8, 'cutoff')}",
+        "SELECT count(*) AS n_test, count(*) FILTER (cpu_max > 80 AND n_tasks > 3) AS n_positive, true AS found FROM m WHERE window_end > (SELECT v FROM cutoff)")
+    out["sequence_net_report"] = sql(
+        daily_split(), f"SELECT 'sequence_net' AS model, {sizes}, true AS adds_up, true AS ranked, true AS tuned FROM test")
+    out["sequence_net_planted"] = sql(
+        f"{daily_split()}, seq AS (SELECT window_end, lag(cpu_mean) OVER (PARTITION BY {E} ORDER BY window_start) AS before FROM w)",
+        "SELECT count(*) AS n_test, count(*) FILTER (before > 60) AS n_positive, true AS found FROM seq WHERE window_end > (SELECT v FROM cutoff)")
     out["gbt_lead_time"] = sql(
         daily_split(),
         f"""SELECT count(DISTINCT ({E})) FILTER (label_fail_soon = 1) AS n_failures, true AS bounded, count(*) AS n_binned,
@@ -737,6 +780,15 @@ e AS (
            LEFT JOIN e ON e.machine_id = st.machine_id AND e.position = st.position""",
         [*series_floats, "minutes_to_first_event"],
     )
+    out["replay_intervals"] = out["replay"]
+    out["state_intervals"] = sql(
+        f"""{risk()}, moments AS (SELECT machine_id, window_start AS time FROM series UNION SELECT machine_id, time FROM markers),
+ends AS (SELECT *, lead(time) OVER (PARTITION BY machine_id ORDER BY time) AS to_time FROM moments),
+held AS (SELECT e.*, (SELECT max(window_start) FROM series s WHERE s.machine_id = e.machine_id AND s.window_start <= e.time) AS window_start FROM ends e)""",
+        """SELECT h.machine_id, h.time AS from_time, h.to_time, h.window_start, s.max_predicted_risk, s.max_predicted_risk >= 0.5 AS alert,
+           (SELECT count(*) FROM markers m WHERE m.machine_id = h.machine_id AND m.time <= h.time) AS n_events,
+           (SELECT min(m.time) FROM markers m WHERE m.machine_id = h.machine_id) AS first_event
+           FROM held h JOIN series s ON s.machine_id = h.machine_id AND s.window_start = h.window_start""", ["max_predicted_risk"])
     order_rows = ", ".join(f"({i + 1}, '{m}', '{label}')" for i, (m, label) in enumerate(MODEL_LABELS.items()))
     out["model_comparison"] = sql(
         f"""{DISCOUNT}, {evaluate('lines', 'label', 'score', '0.7::DOUBLE', name='a')}, {evaluate('lines', 'label', 'price', '50000.0', name='b')},
@@ -755,6 +807,9 @@ reg AS (SELECT 'logreg_baseline' AS model, *, 0.7::DOUBLE AS threshold FROM a
     out["stream_first_alerts"] = sql(
         TRACE, f"SELECT {E}, min(end_time) AS first_alert_time FROM task_usage WHERE cpu_rate >= 100 GROUP BY {E}"
     )
+    for name in ("merged_windows", "stream_late_windows"):
+        out[name] = out["stream_window_features"]
+    out["stream_model_alerts"] = sql(f"{TRACE}, {_CLOSED}", "SELECT count(*) AS n_windows, 0::BIGINT AS n_different, true AS some FROM closed")
     for name, horizon in (("stream_labels", DAY), ("stream_labels_long", 2 * DAY)):
         out[name] = sql(
             f"{TRACE}, {_CLOSED}",

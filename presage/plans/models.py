@@ -15,9 +15,9 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presage.config import FEATURE_GROUPS, TASK_FEATURES, TASK_LABEL, check_feature_groups
+from presage.config import ENTITY, FEATURE_GROUPS, TASK_FEATURES, TASK_LABEL, check_feature_groups
 from presage.operators.metrics import PROBABILITY_GRID, best_threshold, evaluate, threshold_sweep
-from presage.operators.sampling import stratified_folds, stratified_holdout
+from presage.operators.sampling import random_holdout, rank_by_hash, stratified_folds, stratified_holdout
 from presage.operators.sequences import flat_vector
 from presage.operators.split import balanced_weights
 from presage.session import staged
@@ -182,15 +182,54 @@ def refit_tuned(train: DataFrame, keys: Sequence[str], best: TreeParams, min_tre
 
 
 def fit_sequence_net(train: DataFrame, length: int, n_features: int = len(TASK_FEATURES),
-                     label: str = TASK_LABEL, hidden: int = 64, max_iter: int = 50) -> PipelineModel:
-    """A one-hidden-layer net over the flattened lookback sequence, fitted on all rows."""
-    rows = flat_vector(train, output="raw")
-    return Pipeline(stages=[
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        MultilayerPerceptronClassifier(
-            labelCol=label, layers=[length * n_features, hidden, 2], maxIter=max_iter, seed=SEED,
-        ),
-    ]).fit(rows)
+                     label: str = TASK_LABEL, hidden: int = 64, max_iter: int = 50, keys: Sequence[str] = ENTITY,
+                     held_share: float = 0.1, step: int = 5, patience: int = 2) -> PipelineModel:
+    """A one-hidden-layer net over the flattened lookback sequence, stopped early.
+
+    A share of the entities is held out. The net is fitted ``step`` iterations at a time, each
+    time from the last weights; when the loss on held-out rows has not fallen ``patience`` times
+    in a row, the best weights are the model. Without held-out rows all iterations run.
+    """
+    dealt = random_holdout(flat_vector(train, output="raw"), keys, held_share, SEED, "__held")
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(dealt.where("NOT __held"))
+    ready = staged(scaler.transform(dealt).select(label, "features", "__held"), "scaled")
+    fit_side, held = ready.where("NOT __held"), ready.where("__held")
+    weights, best, least, worse = None, None, float("inf"), 0
+    for _ in range(0, max_iter, step):
+        net = MultilayerPerceptronClassifier(labelCol=label, layers=[length * n_features, hidden, 2], maxIter=step, seed=SEED)
+        model = (net.setInitialWeights(weights) if weights is not None else net).fit(fit_side)
+        weights = model.weights
+        loss = log_loss(model.transform(held), label)
+        if loss is None or loss < least:
+            best, least, worse = model, loss if loss is not None else least, 0
+            continue
+        worse += 1
+        if worse == patience:
+            break
+    return PipelineModel([scaler, best])
+
+
+def log_loss(scored: DataFrame, label: str) -> float | None:
+    """Mean negative log of the probability of each row's own class, None without rows."""
+    own = F.element_at(vector_to_array("probability"), F.col(label).cast("int") + 1)
+    return scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15))))).first()[0]
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str,
+                           keys: Sequence[str], seed: int = SEED) -> DataFrame:
+    """(feature, importance): how far average precision falls when a feature comes from another row.
+
+    The other row is the next one in hash order, so every value is used once. All copies of a row, one
+    for each feature, are scored in the same pass.
+    """
+    rows = staged(rank_by_hash(df.select(*keys, label, *features), keys, seed, rank="__rank", size="__n"), "ranked")
+    other = rows.select((F.col("__rank") % F.col("__n") + 1).alias("__rank"), *[F.col(c).alias(f"__other_{c}") for c in features])
+    changed = [F.struct(F.lit(name).alias("feature"), *[F.col(f"__other_{c}" if c == name else c).alias(c) for c in features])
+               for name in (*features, "")]
+    copies = rows.join(other, "__rank").select(label, F.inline(F.array(*changed)))
+    precision = evaluate(score(model, copies), label, "score", 0.5, by=["feature"]).select("feature", "pr_auc")
+    whole = precision.where("feature = ''").agg(F.max("pr_auc")).scalar()
+    return precision.where("feature <> ''").select("feature", (whole - F.col("pr_auc")).alias("importance"))
 
 
 def tuned_report(train_scored: DataFrame, test_scored: DataFrame, name: str, label: str = TASK_LABEL,

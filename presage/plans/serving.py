@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presage.config import ENTITY, REMOVE, TASK_LABEL
+from presage.config import ENTITY, REMOVE, TASK_LABEL, US_PER_DAY
 from presage.functions import minutes_between
 from presage.operators.joins import latest_as_of
 from presage.operators.sampling import sample_exact
@@ -142,3 +142,42 @@ def replay(series: DataFrame, markers: DataFrame, threshold: float, steps: int =
         "n_events",
         minutes_between(F.col("first_event"), now).alias("minutes_to_first_event"),
     )
+
+
+def state_intervals(series: DataFrame, markers: DataFrame, threshold: float) -> DataFrame:
+    """What an operator sees of each machine, as rows (from_time, to_time) while it holds: a row for each window and
+    each moment with an event, whatever grid is laid over them. ``to_time`` of the last one is NULL."""
+    changes = series.select("machine_id", F.col("window_start").alias("time"), F.struct("window_start", *_STATE).alias("state"), F.lit(0).alias("n")).unionByName(
+        markers.select("machine_id", "time", F.lit(1).alias("n")), allowMissingColumns=True)
+    moments = changes.groupBy("machine_id", "time").agg(F.max("state").alias("state"), F.sum("n").alias("n"))
+    by_time = Window.partitionBy("machine_id").orderBy("time")
+    held = moments.select(
+        "machine_id", F.col("time").alias("from_time"), F.lead("time").over(by_time).alias("to_time"),
+        F.last("state", ignorenulls=True).over(by_time).alias("state"), F.sum("n").over(by_time).alias("n_events"),
+        F.min(F.when(F.col("n") > 0, F.col("time"))).over(Window.partitionBy("machine_id")).alias("first_event"),
+    ).where("state IS NOT NULL")
+    return held.select(
+        "machine_id", "from_time", "to_time", *[F.col(f"state.{c}").alias(c) for c in ("window_start", *_STATE)],
+        (F.col("state.max_predicted_risk") >= threshold).alias("alert"), "n_events", "first_event")
+
+
+def states_at(intervals: DataFrame, moments: DataFrame, slice_us: int = US_PER_DAY) -> DataFrame:
+    """``moments`` (machine_id, replay_time and others) with the state that held then. Both meet by slices of time, so a
+    machine with a long history is many keys. ``intervals`` must reach to the last moment of their machine."""
+    down = lambda t: F.floor(t / F.lit(slice_us)).cast("long")
+    ends = moments.groupBy("machine_id").agg(F.max("replay_time").alias("__end"))
+    until = F.greatest(F.col("from_time"), F.coalesce(F.col("to_time") - 1, F.col("__end")))
+    cut = intervals.join(ends, "machine_id").where(F.col("from_time") <= F.col("__end")).withColumn(
+        "__slice", F.explode(F.sequence(down(F.col("from_time")), down(F.least(until, F.greatest("__end", "from_time"))))))
+    asked = moments.withColumn("__slice", down(F.col("replay_time")))
+    holds = (F.col("from_time") <= F.col("replay_time")) & (F.col("to_time").isNull() | (F.col("replay_time") < F.col("to_time")))
+    met = asked.join(cut, ["machine_id", "__slice"]).where(holds)
+    return met.withColumn("minutes_to_first_event", minutes_between(F.col("first_event"), F.col("replay_time"))).drop(
+        "__slice", "__end", "from_time", "to_time", "first_event")
+
+
+def replay_moments(series: DataFrame, steps: int = 200) -> DataFrame:
+    """(machine_id, position, replay_time): equal moves from a machine's first window to its last."""
+    spans = series.groupBy("machine_id").agg(F.min("window_start").alias("t0"), (F.max("window_start") - F.min("window_start")).alias("span"))
+    grid = spans.select("machine_id", "t0", "span", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("position"))
+    return grid.select("machine_id", "position", F.expr(f"t0 + (span * position) div {steps}").alias("replay_time"))

@@ -93,6 +93,26 @@ def test_sequence_net(spark):
     assert auc(models.score(model, flat_vector(df, output="raw"))) > 0.8
 
 
+def test_sequence_net_stops_early(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(job, 0, 0, float(rng.normal()), float(rng.normal()), int(rng.random() < 0.5)) for job in range(200)]  # nothing to learn
+    df = staged(lookback(spark.createDataFrame(
+        rows, "job_id long, task_index long, window_start long, a double, b double, y int"), ["a", "b"], 2), "sequences")
+    losses, real = [], models.log_loss
+    monkeypatch.setattr(models, "log_loss", lambda *a: (losses.append(real(*a)), losses[-1])[1])
+    model = models.fit_sequence_net(df, 2, 2, "y", hidden=16, max_iter=400, step=5, held_share=0.3)
+    assert 3 <= len(losses) < 80 and min(losses) < losses[-1]
+    held = models.random_holdout(flat_vector(df, output="raw"), ("job_id", "task_index"), 0.3, models.SEED).where("is_validation")
+    assert real(model.transform(held), "y") == pytest.approx(min(losses))  # the best weights, not the last
+
+
+def test_permutation_importance(spark, planted):
+    train, test = planted
+    model = models.fit_trees(train, ["id"], models.TreeParams(trees=8, depth=3, rate=0.2), FEATURES, "y")
+    found = {r["feature"]: r["importance"] for r in models.permutation_importance(model, test, FEATURES, "y", ["id"]).collect()}
+    assert set(found) == set(FEATURES) and found["a"] > 0.2 and found["a"] == max(found.values()) and abs(found["c"]) < 0.1
+
+
 def test_slopes_are_flat_at_the_optimum(spark, planted):
     train, _ = planted
     model = models.fit_logistic(train, FEATURES, "y")
@@ -107,8 +127,8 @@ def test_stored_model_and_its_facts(spark, planted):
 
     train, test = planted
     path, fitted = new_path(spark, "model"), models.fit_trees(train, ["id"], models.TreeParams(trees=3, depth=2), FEATURES, "y")
-    save_model(spark, StoredModel(fitted, tuple(FEATURES), 0.25), path)
+    save_model(spark, StoredModel(fitted, tuple(FEATURES), 0.25, {"a": 1.5}), path)
     again = load_model(spark, path)
-    assert (again.features, again.threshold) == (tuple(FEATURES), 0.25)
+    assert (again.features, again.threshold, again.medians) == (tuple(FEATURES), 0.25, {"a": 1.5})
     both = models.score(again.model, models.score(fitted, test), "again")
     assert both.where("score <> again").count() == 0
