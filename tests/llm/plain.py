@@ -188,3 +188,24 @@ def believed_patterns(edges, rounds, confident, support):
                 believed[pattern] = confidence
         score = {i: max(float(i in seeds), 1 - math.prod(1 - believed.get(p, 0.0) for p in of)) for i, of in instances.items()}
     return believed
+
+
+def quality_features(text):
+    """The features of the additive model, by regular expressions."""
+    text = text or ""
+    c, w = quality_counts(text), WORDS.findall(text)
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    n, upper, lower = max(len(w), 1), len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    chars = max(len(text), 1)
+    return [
+        math.log(1 + len(w)), c["word_chars"] / n, c["n_symbols"] / n, c["n_dup_lines"] / max(len(lines), 1), c["n_repeat_words"] / n,
+        upper / max(upper + lower, 1), len(re.findall("[0-9]", text)) / chars, len(re.findall("[!?]", text)) / n, len(re.findall("[.,;:]", text)) / n,
+        len(set(w)) / n, math.log(1 + len(lines)), len(w) / max(len(lines), 1), (len(text.encode()) - len(text)) / chars,
+        math.log(1 + max((len(x.encode()) for x in w), default=0)),
+    ]
+
+
+def best_cut(g, h, ridge):
+    """(gain, cut) of the best split of ordered bins in two."""
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + ridge)
+    return max((worth(0, k) + worth(k, len(g)) - worth(0, len(g)), -k) for k in range(1, len(g)))

@@ -162,6 +162,26 @@ def test_model_learns_shape_and_interaction():
     assert model.score(x[:1])[0] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_features_equal_plain_ones(odd_rows):
+    texts = [r[1] for r in odd_rows] + ["Größe 12,5 % #x!\n\nGröße", "a\x0bb\x85c\u3000d", "ÀÉ É! 1.2.3"]
+    for t in texts:
+        assert gam.features(t) == pytest.approx(plain.quality_features(t)), t
+
+
+def test_trees_make_the_best_cut_and_bins_hold_their_edges():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        g, h = rng.normal(size=12), rng.uniform(0.1, 2, 12)
+        _, cut = plain.best_cut(g, h, gam.RIDGE)
+        got = gam._tree(g, h, 2)
+        assert got[: -cut] == pytest.approx(g[:-cut].sum() / (h[:-cut].sum() + gam.RIDGE)) and got[-cut:] == pytest.approx(g[-cut:].sum() / (h[-cut:].sum() + gam.RIDGE))
+    x = rng.integers(0, 200, 5000).astype(float)
+    edges = gam._edges(x, gam.BINS)
+    sizes = np.bincount(np.searchsorted(edges, x, "right"))
+    assert len(edges) < gam.BINS and sizes.min() > 0 and sizes.max() < 3 * len(x) / gam.BINS  # even bins, of whole values
+    assert set(edges) <= set(x) and len(gam._edges(np.zeros(50), gam.BINS)) == 1
+
+
 def test_model_without_two_kinds():
     x = np.zeros((5, len(gam.FEATURES)))
     assert gam.fit(x, np.ones(5)).score(x)[0] > 0.99 and gam.fit(x[:0], np.empty(0)).score(x)[0] == pytest.approx(0.5)
