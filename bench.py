@@ -14,7 +14,8 @@ HEADLINE = (
     "exhaustion_pattern", "load_before_removal", "request_vs_peak", "usage_sample", "stratified_folds",
     "time_split_stats", "zscore_report", "ranking_metrics", "ranking_metrics_by_group", "threshold_sweep",
     "drift_by_bin", "lead_time_summary", "machine_risk_series", "replay", "logreg_scores", "gbt_scores",
-    "stream_window_features", "ingest_manifest",
+    "stream_window_features", "ingest_manifest", "ingest_increment", "merged_windows", "quantiles_by_span",
+    "stream_first_alerts",
 )
 
 

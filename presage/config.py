@@ -44,7 +44,7 @@ FEATURE_GROUPS = {
 TASK_LABEL = "label_fail_soon"
 MACHINE_LABEL = "label_remove_soon"
 
-# Display order and labels of the compared models.
+# The order and display words of the compared models; their keys are our own.
 MODEL_LABELS = {
     "zscore_anomaly_baseline": "Z-score (unsupervised)",
     "logreg_baseline": "Logistic Regression",

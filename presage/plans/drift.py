@@ -7,6 +7,10 @@ from presage.config import TASK_LABEL
 from presage.functions import days
 from presage.operators.metrics import evaluate
 
+# The words of the verdict and the change below which it holds.
+HOLDS, DEGRADES, IMPROVES = "holds up over time", "degrades over time", "improves over time"
+TOLERANCE = 0.02
+
 
 def with_time_bin(df: DataFrame, n_bins: int = 3, time: str = "window_end") -> DataFrame:
     """Add ``bin`` (1..n): equal-width, half-open pieces of the time span, the last closed.
@@ -31,7 +35,7 @@ def drift_by_bin(scored: DataFrame, threshold: Column | float, n_bins: int = 3,
     return rows.join(spans, F.col("bin").eqNullSafe(F.col("__bin"))).drop("__bin")
 
 
-def drift_verdict(bins: DataFrame, tolerance: float = 0.02) -> DataFrame:
+def drift_verdict(bins: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Last bin minus first bin, and what that says (NULL if either lacks a class)."""
     moved = bins.agg(
         (F.max_by("roc_auc", "bin") - F.min_by("roc_auc", "bin")).alias("roc_auc_drift"),
@@ -41,7 +45,7 @@ def drift_verdict(bins: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return moved.withColumn(
         "verdict",
         F.when(d.isNull(), F.lit(None))
-        .when(F.abs(d) < tolerance, "holds up over time")
-        .when(d < 0, "degrades over time")
-        .otherwise("improves over time"),
+        .when(F.abs(d) < tolerance, HOLDS)
+        .when(d < 0, DEGRADES)
+        .otherwise(IMPROVES),
     )
