@@ -127,7 +127,7 @@ def shape(token: str) -> str | None:
     if token.isdigit() or not DIGIT.search(token) or not any(map(str.isalpha, token)):
         return None
     if HEX.fullmatch(token):
-        return f"hex{len(token)}"
+        return f"{'hex' if token.islower() else 'HEX'}{len(token)}"
     return "".join(f"{'9' if r[0].isdigit() else 'a' if r[0].isalpha() else r[0]}{len(r)}" for r in RUNS.findall(token))
 
 

@@ -240,7 +240,7 @@ def test_secrets_are_learned_from_a_few_names(spark):
 
 
 def test_shapes():
-    assert pii.shape("04dbebab91ab85687d33eeaaf9ac699e1188f962") == "hex40" and pii.shape("QX-998877-Z") == "a2-196-1a1"
+    assert pii.shape("04dbebab91ab85687d33eeaaf9ac699e1188f962") == "hex40" and pii.shape("9233A8EC") == "HEX8" and pii.shape("QX-998877-Z") == "a2-196-1a1"
     assert pii.shape("123456") is None and pii.shape("1.2.3") is None and pii.shape("word") is None
 
 
