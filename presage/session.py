@@ -9,6 +9,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 # Streaming state on disk: it may outgrow executor memory.
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,7 +21,7 @@ def build_session(app: str = "presage", master: str | None = None, **conf) -> Sp
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+        .config(_STATE_STORE, _ROCKSDB)
     )
     if master:
         builder = builder.master(master)
@@ -29,6 +30,12 @@ def build_session(app: str = "presage", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
+def state_on_disk(spark: SparkSession) -> None:
+    """Keep the state of streams started from now on in RocksDB. Stateful processors run on no other store; a query
+    restarted from its checkpoint keeps the store that it began with."""
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``. Only a local session may go without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,9 +6,11 @@ watermark or by a timer; aggregation combines map-side inside each micro-batch,
 so a busy entity does not concentrate.
 """
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -17,6 +19,7 @@ from pyspark.sql.types import StructType
 from presage.config import ENTITY
 from presage.operators.merging import merged_states, window_states
 from presage.operators.windows import task_aggregates
+from presage.session import state_on_disk
 
 
 def event_time(df: DataFrame, micros: str, output: str = "ts") -> DataFrame:
@@ -126,18 +129,31 @@ class FirstAlert(StatefulProcessor):
 def first_alerts(alerts: DataFrame, keys: Sequence[str] = ENTITY, delay: str = "1 hour", keep: str | None = None,
                  time: str = "window_end") -> DataFrame:
     """(keys, first_alert_time): one row for each entity out of the stream, once the watermark has passed its earliest
-    alert. ``keys`` are numbers. With ``keep``, an entity silent for so long is forgotten, and its next alert is a
-    first one again."""
-    out = ", ".join(f"{k} long" for k in keys)
-    timed = event_time(alerts.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col(time).alias("time")), "time").withWatermark("ts", delay)
-    processor = FirstAlert(keys, _micros(keep) // 1000 if keep else None)
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=f"{out}, first_alert_time long", outputMode="append", timeMode="EventTime")
+    alert. ``keys`` are numbers or NULL, which is an entity like any other; alerts without a time are no first ones.
+    With ``keep``, an entity silent for so long is forgotten, and its next alert is a first one again.
+
+    Timers need the state store on disk, which the session is set to. The processor travels by value, as the
+    workers that run it may not have this package on their path."""
+    state_on_disk(alerts.sparkSession)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    named = [*keys, "__nulls"]  # pandas has no NULL of numbers: a bit for each key says which ones are
+    nulls = sum((F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0)).cast("long")
+    dated = alerts.where(F.col(time).isNotNull()).select(
+        *[F.coalesce(F.col(k).cast("long"), F.lit(0)).alias(k) for k in keys], nulls.alias("__nulls"), F.col(time).alias("time"))
+    timed = event_time(dated, "time").withWatermark("ts", delay)
+    processor = FirstAlert(named, _micros(keep) // 1000 if keep else None)
+    told = timed.groupBy(*named).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=", ".join(f"{c} long" for c in (*named, "first_alert_time")),
+        outputMode="append", timeMode="EventTime")
+    return told.select(*[F.when(F.col("__nulls").bitwiseAND(F.lit(1 << i)) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)], "first_alert_time")
 
 
 def still_held(alerts: DataFrame, told: DataFrame, keys: Sequence[str] = ENTITY, time: str = "window_end") -> DataFrame:
-    """First alerts of a finite input that its stream has not told, as the watermark ends before them."""
-    return alerts.groupBy(*keys).agg(F.min(time).alias("first_alert_time")).join(told, list(keys), "left_anti")
+    """First alerts of a finite input that its stream has not told, as the watermark ends before them. NULL keys
+    are equal."""
+    first = alerts.groupBy(*keys).agg(F.min(time).alias("first_alert_time"))
+    known = told.select(F.struct(*keys).alias("__told"))
+    return first.join(known, F.struct(*[F.col(k).cast("long").alias(k) for k in keys]) == F.col("__told"), "left_anti")
 
 
 def run_window_states(usage: DataFrame, window_us: int, table_path: str, state_path: str,

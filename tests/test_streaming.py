@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 from presage.config import US_PER_HOUR, US_PER_MIN, WindowConfig
@@ -94,6 +98,37 @@ def test_alerts_of_an_empty_stream(spark):
     assert spark.read.schema(stream.schema).parquet(out).count() == 0
 
 
+PLAIN_SESSION = '''
+import sys
+
+sys.path.insert(0, sys.argv[1])  # the driver alone finds the package
+from pyspark.sql import SparkSession
+from presage.session import new_path
+from presage.streaming import jobs
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+schema = "job_id long, task_index long, window_end long"
+rows = [(1, 0, 500), (1, 0, 450), (None, 0, 400), (None, 0, None), (None, None, 9000), (5, 5, None), (2, 0, 9100)]
+at = lambda t: None if t is None else t * 1_000_000
+source, out, state = (new_path(spark, x) for x in ("in", "first", "state"))
+spark.createDataFrame([(j, i, at(t)) for j, i, t in rows], schema).write.parquet(source)
+stream = jobs.first_alerts(spark.readStream.schema(schema).parquet(source), delay="100 seconds")
+jobs.run_to_table(stream, out, state).awaitTermination()
+told = spark.read.schema(stream.schema).parquet(out)
+held = jobs.still_held(spark.read.parquet(source), told)
+print("FOUND", [sorted(map(str, (tuple(r) for r in df.collect()))) for df in (told, held)])
+'''
+
+
+def test_first_alerts_of_a_session_with_defaults(tmp_path):
+    """No state store is set, workers don't find the package, and keys or times are NULL."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", PLAIN_SESSION, os.getcwd()], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    found = next((x for x in done.stdout.splitlines() if x.startswith("FOUND")), done.stderr[-2000:])
+    told, held = [(1, 0, 450 * SECOND), (None, 0, 400 * SECOND)], [(2, 0, 9100 * SECOND), (5, 5, None), (None, None, 9000 * SECOND)]
+    assert found == f"FOUND {[sorted(map(str, x)) for x in (told, held)]}"
+
+
 def test_late_samples_reach_closed_windows(spark):
     from presage.operators.merging import state_features, window_states
 
