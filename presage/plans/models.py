@@ -149,8 +149,14 @@ def draw_params(n: int, seed: int = SEED) -> list[TreeParams]:
 
 def tune_trees(train: DataFrame, keys: Sequence[str], draws: Sequence[TreeParams], n_folds: int = 3,
                features: Sequence[str] = TASK_FEATURES, label: str = TASK_LABEL,
-               parallelism: int = 2) -> tuple[DataFrame, TreeParams]:
-    """(trials, best): cross-validated average precision of every draw, best first."""
+               parallelism: int | None = None) -> tuple[DataFrame, TreeParams]:
+    """(trials, best): cross-validated average precision of every draw, best first.
+
+    A fit is some thousand short jobs, one after another, which leave most cores idle: by default a fold's draws are
+    fitted side by side, as many as there are cores. What a draw finds does not depend on it.
+    """
+    if parallelism is None:
+        parallelism = max(2, min(len(draws), train.sparkSession.sparkContext.defaultParallelism))
     held = stratified_holdout(train, label, keys, 0.1, SEED)  # may end the boosting of a fold early
     folded = staged(stratified_folds(held, label, keys, n_folds, SEED + 1), "folds")
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(folded)

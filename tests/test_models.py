@@ -61,6 +61,14 @@ def test_tuning(spark, planted):
     assert final.stages[-1].getMaxIter() == 8 and auc(models.score(final, planted[1])) > 0.75
 
 
+def test_draws_are_fitted_side_by_side(spark, planted, monkeypatch):
+    asked, real = [], models.CrossValidator
+    monkeypatch.setattr(models, "CrossValidator", lambda **kw: (asked.append(kw["parallelism"]), real(**kw))[1])
+    draws = [models.TreeParams(1, depth) for depth in (1, 2, 3)]
+    found = [models.tune_trees(planted[0], ["id"], draws, 2, FEATURES, "y", **kw)[0].collect() for kw in ({}, {"parallelism": 1})]
+    assert asked == [max(2, min(3, spark.sparkContext.defaultParallelism)), 1] and found[0] == found[1]
+
+
 def test_draws_stay_in_their_ranges():
     draws = models.draw_params(50)
     assert draws == models.draw_params(50)
