@@ -152,8 +152,8 @@ def tune_trees(train: DataFrame, keys: Sequence[str], draws: Sequence[TreeParams
                parallelism: int | None = None) -> tuple[DataFrame, TreeParams]:
     """(trials, best): cross-validated average precision of every draw, best first.
 
-    A fit is some thousand short jobs, one after another, which leave most cores idle: by default a fold's draws are
-    fitted side by side, as many as there are cores. What a draw finds does not depend on it.
+    A fit is many short jobs, one after another: by default a fold's draws are fitted side by side, as many as there
+    are cores. What a draw finds does not depend on it.
     """
     if parallelism is None:
         parallelism = max(2, min(len(draws), train.sparkSession.sparkContext.defaultParallelism))
