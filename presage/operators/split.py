@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presage.config import SplitConfig
-from presage.operators.ordered import column_quantiles
+from presage.operators.ordered import column_quantiles, exact_quantiles
 from presage.operators.sampling import sample_exact
 
 
 def fit_cutoff(windows: DataFrame, test_frac: float = 0.2, time: str = "window_end") -> int | None:
     """The window end at rank ``round((n - 1) * (1 - test_frac))``, as a plain number, so
-    that later filters on it reach the file scan."""
-    row = column_quantiles(windows, [time], {"cutoff": 1 - test_frac}, method="nearest").first()
-    return int(row["cutoff"]) if row else None
+    that later filters on it reach the file scan. Windows end at few moments: counts of
+    these are ranked, and no window is."""
+    row = exact_quantiles(windows, time, {"cutoff": 1 - test_frac}, method="nearest").first()
+    return int(row["cutoff"]) if row and row["cutoff"] is not None else None
 
 
 def split_at(windows: DataFrame, cutoff: int | None, embargo_us: int = 0, time: str = "window_end"):

@@ -1,5 +1,6 @@
 """Classifiers fitted with MLlib on a stored split."""
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
@@ -23,6 +24,10 @@ from presage.operators.split import balanced_weights
 from presage.session import staged
 
 SEED = 42
+#: Fewer rows than this are no task of their own in the passes of a fit.
+TASK_ROWS = 8192
+#: Rows that the net takes as one matrix; MLlib's own number is 128.
+NET_BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -108,6 +113,16 @@ def logistic_slopes(model: PipelineModel, train: DataFrame, label: str = TASK_LA
     ])))
 
 
+def dealt_evenly(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df``, which has ``rows`` rows, stored in files of equal length, one for each core.
+
+    A fit passes over its rows hundreds of times, and a pass ends with its longest task: files as the
+    steps before left them are uneven, and some cores get two of them or none.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return staged(df.repartition(max(1, min(cores, math.ceil(rows / TASK_ROWS)))), name)
+
+
 def _trees(params: TreeParams, label: str, validation: str | None) -> GBTClassifier:
     trees = GBTClassifier(
         labelCol=label, featuresCol="features", maxIter=params.trees, maxDepth=params.depth,
@@ -198,11 +213,11 @@ def fit_sequence_net(train: DataFrame, length: int, n_features: int = len(TASK_F
     """
     dealt = random_holdout(flat_vector(train, output="raw"), keys, held_share, SEED, "__held")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(dealt.where("NOT __held"))
-    ready = staged(scaler.transform(dealt).select(label, "features", "__held"), "scaled")
+    ready = dealt_evenly(scaler.transform(dealt).select(label, "features", "__held"), train.count(), "scaled")
     fit_side, held = ready.where("NOT __held"), ready.where("__held")
     weights, best, least, worse = None, None, float("inf"), 0
     for _ in range(0, max_iter, step):
-        net = MultilayerPerceptronClassifier(labelCol=label, layers=[length * n_features, hidden, 2], maxIter=step, seed=SEED)
+        net = MultilayerPerceptronClassifier(labelCol=label, layers=[length * n_features, hidden, 2], maxIter=step, seed=SEED, blockSize=NET_BLOCK)
         model = (net.setInitialWeights(weights) if weights is not None else net).fit(fit_side)
         weights = model.weights
         loss = log_loss(model.transform(held), label)

@@ -114,6 +114,34 @@ def test_sequence_net_stops_early(spark, monkeypatch):
     assert real(model.transform(held), "y") == pytest.approx(min(losses))  # the best weights, not the last
 
 
+def _stored_lengths(spark, monkeypatch, fit):
+    """Rows of each partition of what a fit stores and passes over, on three cores."""
+    stored, real = [], models.staged
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self: 3))
+    monkeypatch.setattr(models, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(models, "staged", lambda df, name: (stored.append(real(df, name)), stored[-1])[1])
+    fit()
+    return sorted(stored[-1].groupBy(F.input_file_name()).count().toPandas()["count"])
+
+
+def _uneven(spark, n=1200):
+    rows = spark.range(n).select(
+        "id", F.lit(0).alias("task_index"), F.lit(0).alias("window_start"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+        *[F.rand(i).alias(c) for i, c in enumerate(FEATURES)])
+    return staged(rows.where(F.col("id") < n - 100).coalesce(1).unionByName(rows.where(F.col("id") >= n - 100).repartition(4)), "uneven")
+
+
+def test_net_passes_over_even_files(spark, monkeypatch):
+    train = _uneven(spark).withColumn("sequence", F.array(F.array(*FEATURES)))
+    found = _stored_lengths(spark, monkeypatch, lambda: models.fit_sequence_net(train, 1, 3, "y", 4, 1, ["id"], step=1))
+    assert len(found) == 3 and sum(found) == 1200 and found[-1] - found[0] <= 16
+
+
+def test_net_takes_rows_as_large_matrices(spark):
+    train = _uneven(spark, 300).withColumn("sequence", F.array(F.array(*FEATURES)))
+    assert models.fit_sequence_net(train, 1, 3, "y", 4, 1, ["id"], step=1).stages[-1].getBlockSize() == 512
+
+
 def test_permutation_importance(spark, planted):
     train, test = planted
     model = models.fit_trees(train, ["id"], models.TreeParams(trees=8, depth=3, rate=0.2), FEATURES, "y")

@@ -69,6 +69,18 @@ def test_split_is_ordered(features):
     assert a[1] and b[1] and a[0] <= cutoff < b[0]
 
 
+def test_cutoff_ranks_counts_of_moments(spark, monkeypatch):
+    from presage.operators import split
+
+    monkeypatch.setattr(split, "column_quantiles", None)  # it sketches every row
+    ends = [W, None, 3 * W, 3 * W, 2 * W, W, None, 5 * W, 4 * W, 2 * W]
+    df = spark.createDataFrame([(e,) for e in ends], "window_end long")
+    known = sorted(e for e in ends if e is not None)
+    for frac in (0.0, 0.2, 0.5, 0.9, 1.0):
+        assert fit_cutoff(df, frac) == known[int((len(known) - 1) * (1 - frac) + 0.5)]
+    assert fit_cutoff(df.where("window_end IS NULL")) is None and fit_cutoff(df.limit(0)) is None
+
+
 def test_only_the_last_window_of_the_failing_task_is_positive(features):
     rows = features.where(F.col(TASK_LABEL) == 1).collect()
     assert [(r["job_id"], r["window_start"]) for r in rows] == [(1, 9 * W)]
