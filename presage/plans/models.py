@@ -145,7 +145,7 @@ def fit_trees(train: DataFrame, keys: Sequence[str], params: TreeParams = TreePa
     """Boosted trees; with ``early_stop`` a stratified tenth decides when to stop."""
     if not early_stop:
         return _tree_pipeline(params, features, label, None).fit(train)
-    held = staged(stratified_holdout(train, label, keys, 0.1, SEED), "holdout")
+    held = dealt_evenly(stratified_holdout(train, label, keys, 0.1, SEED), train.count(), "holdout")
     return _tree_pipeline(params, features, label, "is_validation").fit(held)
 
 
@@ -173,7 +173,7 @@ def tune_trees(train: DataFrame, keys: Sequence[str], draws: Sequence[TreeParams
     if parallelism is None:
         parallelism = max(2, min(len(draws), train.sparkSession.sparkContext.defaultParallelism))
     held = stratified_holdout(train, label, keys, 0.1, SEED)  # may end the boosting of a fold early
-    folded = staged(stratified_folds(held, label, keys, n_folds, SEED + 1), "folds")
+    folded = dealt_evenly(stratified_folds(held, label, keys, n_folds, SEED + 1), train.count(), "folds")
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(folded)
     base = _trees(TreeParams(), label, "is_validation")
     grid = [
